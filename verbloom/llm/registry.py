@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("cooccur", "termfreq", "neighbours", "distinct", "topn", "tokens", "leaks", "quality")
+_MODULES = ("cluster", "cooccur", "termfreq", "neighbours", "distinct", "topn", "tokens", "leaks", "quality")
 
 
 def _collected(what: str) -> dict:
