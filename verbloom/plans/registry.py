@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("hot_keys",)
+_MODULES = ("hot_keys", "metrics", "association", "distributions")
 
 
 def _collected(what: str) -> dict:
