@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("hot_keys", "metrics", "association", "distributions", "features")
+_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering")
 
 
 def _collected(what: str) -> dict:
@@ -20,3 +20,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return _collected("SQL")
+
+
+def flagship(spark, sf_dir: str):
+    """How good the label baseline is: purity and collocation by verb type and over all."""
+    return queries()["purity_collocation"](spark, sf_dir)
