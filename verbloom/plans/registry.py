@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering")
+_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering", "serving", "streaming")
 
 
 def _collected(what: str) -> dict:
