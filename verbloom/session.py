@@ -5,9 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session's executors, once per application, so that they need
+    neither an installation nor the driver's working folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="verbloom-"), f"{root.name}.zip")  # of the driver; Spark copies it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
 
 def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A local session with the settings that tests and the bench use."""
@@ -28,6 +47,7 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder; `name` is the file or folder without its ending."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read from there: short lineage that survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     base = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
