@@ -2,8 +2,10 @@
 
 Method: inverted multi-index. Unit vectors are cut into two halves, each quantised by its own codebook; a vector's
 cell is its pair of nearest centroids. A query walks pairs of centroids by growing summed distance with a heap until
-it has met enough entries, and these are reranked by exact cosine. Equal vectors are searched once, and cells with
-many entries are cut into pieces, so no task holds more than a bounded block of entries at a time.
+it has met enough entries, and the entries of those cells are reranked by exact cosine. How many are enough is
+measured: the exact neighbours of a bounded number of queries are searched in all vectors, and the budget is what
+finds the wanted share of them. Equal vectors are searched once, and entries are cut into blocks by first centroid
+and size, so no task holds more than a bounded block of entries at a time.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from verbloom.functions.clean import latest
 from verbloom.session import cut, parallelism, table
 
-#: Vectors that the codebooks are fitted on, at most; entries a query has to meet; entries of a block of one first half.
-SAMPLE, VISIT, BLOCK = 20_000, 600, 8_192
-_LISTS = 24
+#: Vectors that the codebooks are fitted on, at most; queries that measure the budget; share of their neighbours that it
+#: has to reach; entries of a block; entries of a cell, were all cells even; queries that are compared at once.
+SAMPLE, MEASURED, RECALL, BLOCK, PER_CELL, BATCH = 20_000, 256, 0.93, 12_000, 40, 8_192
+_EMPTY_KEY = np.iinfo(np.int64).max
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -65,23 +68,26 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T) + (x * x).sum(axis=1)[:, None]
 
 
-def walk(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Centroid pairs by growing a + b, until the cells met hold `enough` entries; a and b are sorted distances, ia and
-    ib their centroids."""
-    heap, seen, met, out = [(float(a[0] + b[0]), 0, 0)], {(0, 0)}, 0, []
+def walk(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[list[int], float]:
+    """First centroids met and the summed distance reached when cells, by growing a + b, hold `enough` entries; a and b
+    are sorted distances, ia and ib their centroids. The heap holds the next cell of every row that was begun."""
+    a, b, ia, ib = a.tolist(), b.tolist(), ia.tolist(), ib.tolist()
+    rows = [sizes[ia[0]]]
+    heap, met, reached, used, last = [(a[0] + b[0], 0, 0)], 0, 0.0, {ia[0]}, len(b) - 1
     while heap and met < enough:
-        _, i, j = heapq.heappop(heap)
-        n = sizes[ia[i], ib[j]]
+        reached, i, j = heap[0]
+        n = rows[i][ib[j]]
         if n:
             met += n
-            out.append((int(ia[i]), int(ib[j])))
-        if i + 1 < len(a) and (i + 1, j) not in seen:
-            seen.add((i + 1, j))
-            heapq.heappush(heap, (float(a[i + 1] + b[j]), i + 1, j))
-        if j + 1 < len(b) and (i, j + 1) not in seen:
-            seen.add((i, j + 1))
-            heapq.heappush(heap, (float(a[i] + b[j + 1]), i, j + 1))
-    return out
+            used.add(ia[i])
+        if j < last:
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(a):
+            rows.append(sizes[ia[i + 1]])
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+    return sorted(used), reached
 
 
 def _cells(books):
@@ -96,88 +102,126 @@ def _cells(books):
     return run
 
 
-def _routes(books, sizes, pieces):
-    """A row for each block that a vector is an entry of (one; is_query false) or has to be compared with (is_query true)."""
+def _exact(queries, k: int):
+    """(q, id, sim, i, j): of each batch of entries the k best for each of a few queries (rows of unit vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ca, cb), n, cuts = books.value, sizes.value, pieces.value
+        qid, qm = queries.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, i, j = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
+            sim = qm @ _matrix(b.column(1), qm.shape[1]).T
+            sim[qid[:, None] == ids[None, :]] = -2.0
+            top = np.argpartition(-sim, min(k, len(ids)) - 1, axis=1)[:, :k]
+            q = np.repeat(np.arange(len(qid)), top.shape[1])
+            t = top.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids[t]), pa.array(sim[q, t].astype(np.float64)), pa.array(i[t]), pa.array(j[t])], ["q", "id", "sim", "i", "j"])
+
+    return run
+
+
+def _budget(entry: DataFrame, books, sizes: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int) -> int:
+    """Entries that a query has to meet so that RECALL of the exact neighbours of the sample queries are among them."""
+    (ca, cb), (qid, qm) = books.value, sample
+    half = ca.shape[1]
+    found = entry.mapInArrow(_exact(entry.sparkSession.sparkContext.broadcast(sample), k), "q int, id bigint, sim double, i int, j int")
+    w = Window.partitionBy("q").orderBy(F.col("sim").desc(), "id")
+    best = found.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= k) & (F.col("sim") > -2.0)).select("q", "i", "j").toArrow()  # MEASURED * k rows
+    if not best.num_rows:
+        return 1
+    q, i, j = (best.column(c).to_numpy() for c in range(3))
+    da, db = _distances(qm[:, :half], ca), _distances(qm[:, half:], cb)
+    need = []
+    for x in np.unique(q).tolist():
+        d = (da[x][:, None] + db[x][None, :]).ravel()
+        order = np.argsort(d, kind="stable")
+        met = np.empty(len(d), np.int64)
+        met[order] = np.cumsum(sizes.ravel()[order])
+        need.append(met[i[q == x] * sizes.shape[1] + j[q == x]])
+    return int(np.quantile(np.concatenate(need), RECALL, method="higher"))
+
+
+def _routes(books, sizes, blocks, enough: int):
+    """A row for the block that a vector is an entry of (is_query false), and one for each block that it has to be
+    compared with (is_query true), with the summed distance up to which cells count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ca, cb), n, (first, pieces) = books.value, sizes.value.tolist(), blocks.value
         half = ca.shape[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 m = _matrix(b.column(1), half + cb.shape[1])
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                own_i, own_j = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                own = b.column(2).to_numpy(zero_copy_only=False)
                 da, db = _distances(m[:, :half], ca), _distances(m[:, half:], cb)
-                oa, ob = np.argsort(da, axis=1)[:, :_LISTS], np.argsort(db, axis=1)[:, :_LISTS]
+                oa, ob = np.argsort(da, axis=1), np.argsort(db, axis=1)
                 da, db = np.take_along_axis(da, oa, 1), np.take_along_axis(db, ob, 1)
-                row, block, query, js = [], [], [], []
+                row, block, query, reach = [], [], [], []
                 for r in range(len(m)):
-                    i = int(own_i[r])
+                    i = int(own[r])
                     row.append(r)
-                    block.append((i << 32) + int(ids[r]) % int(cuts[i]))
+                    block.append(int(first[i]) + int(ids[r]) % int(pieces[i]))
                     query.append(False)
-                    js.append([int(own_j[r])])
-                    by_i: dict[int, list[int]] = {}
-                    for i, j in walk(da[r], oa[r], db[r], ob[r], n, VISIT):
-                        by_i.setdefault(i, []).append(j)
-                    for i, found in by_i.items():
-                        for piece in range(int(cuts[i])):
-                            row.append(r)
-                            block.append((i << 32) + piece)
-                            query.append(True)
-                            js.append(found)
+                    reach.append(0.0)
+                    used, reached = walk(da[r], oa[r], db[r], ob[r], n, enough)
+                    for x in {int(first[i]) + p for i in used for p in range(int(pieces[i]))}:
+                        row.append(r)
+                        block.append(x)
+                        query.append(True)
+                        reach.append(reached)
                 take = pa.array(row)
-                columns = [pa.array(block, pa.int64()), pa.array(query), b.column(0).take(take), b.column(1).take(take), pa.array(js, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "is_query", "id", "vec", "js"])
+                columns = [pa.array(block, pa.int64()), pa.array(query), *(b.column(c).take(take) for c in range(4)), pa.array(reach, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "is_query", "id", "vec", "i", "j", "reach"])
 
     return run
 
 
-def _rerank(k: int, dim: int):
-    """Exact cosines of the queries of each block with its entries in the cells they chose; rows come with the entries
-    of a block before its queries. Per query and block the best `k` are handed on."""
-
-    def compare(entries: list, q: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, m, cell = entries
-        qid, qm = q.column(2).to_numpy(zero_copy_only=False), _matrix(q.column(3), dim)
-        js = q.column(4)
-        who = np.repeat(np.arange(len(qid)), pa.compute.list_value_length(js).to_numpy(zero_copy_only=False))
-        what = js.flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(what, kind="stable")
-        who, what = who[order], what[order]
-        found = []
-        for j in np.unique(what).tolist():
-            rows = who[np.searchsorted(what, j) : np.searchsorted(what, j, "right")]
-            a, b = np.searchsorted(cell, j), np.searchsorted(cell, j, "right")
-            if a == b:
+def _rerank(books, k: int):
+    """Exact cosines of the queries of each block with its entries in the cells within their reach; rows come with the
+    entries of a block before its queries. Per query and block the best `k` are handed on."""
+
+    def compare(entries: tuple, qid: np.ndarray, qm: np.ndarray, reach: np.ndarray) -> pa.RecordBatch | None:
+        ids, m, ci, cj, cuts = entries
+        ca, cb = books.value
+        half = ca.shape[1]
+        da, db = _distances(qm[:, :half], ca), _distances(qm[:, half:], cb)
+        slack = reach + 1e-5
+        keys = np.full((len(qid), k), _EMPTY_KEY)  # rounded distance in the high bits, place by id in the low ones
+        worst = keys[:, -1].copy()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows = np.flatnonzero(da[:, ci[a]] + db[:, cj[a]] <= slack)
+            if not len(rows):
                 continue
-            for s in range(0, len(rows), 1024):
-                part = rows[s : s + 1024]
-                sim = qm[part] @ m[a:b].T
-                sim[qid[part][:, None] == ids[a:b][None, :]] = -2.0
-                n = min(k, b - a)
-                top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                edge = np.take_along_axis(sim, top, 1).min(axis=1)
-                r, c = np.nonzero((sim >= edge[:, None] - 1e-6) & (sim > -2.0))
-                if len(r) > 4 * n * len(part):  # many ties: keep the smallest ids of those at the edge
-                    o = np.lexsort((ids[a:b][c], -np.round(sim[r, c], 6), r))
-                    r, c = r[o], c[o]
-                    rank = np.arange(len(r)) - np.searchsorted(r, r)
-                    r, c = r[rank < 2 * k], c[rank < 2 * k]
-                exact = np.einsum("ij,ij->i", qm[part[r]].astype(np.float64), m[a:b][c].astype(np.float64))
-                found.append((part[r], ids[a:b][c], exact))
-        if not found:
+            key = (np.rint((1.0 - qm[rows] @ m[a:b].T) * 1e6).astype(np.int64) << 24) | np.arange(a, b)
+            key[qid[rows][:, None] == ids[a:b][None, :]] = _EMPTY_KEY
+            better = np.flatnonzero(key.min(axis=1) < worst[rows])
+            if not len(better):
+                continue
+            rows, key = rows[better], key[better]
+            if key.shape[1] > k:
+                key = np.partition(key, k - 1, axis=1)[:, :k]
+            best = np.partition(np.concatenate([keys[rows], key], axis=1), k - 1, axis=1)[:, :k]
+            keys[rows] = best
+            worst[rows] = best.max(axis=1)
+        r, c = np.nonzero(keys < _EMPTY_KEY)
+        if not len(r):
             return None
-        r, other, sim = (np.concatenate(x) for x in zip(*found))
-        sim = np.round(sim, 6)
-        o = np.lexsort((other, -sim, r))
-        r, other, sim = r[o], other[o], sim[o]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        return pa.RecordBatch.from_arrays([pa.array(qid[r[keep]]), pa.array(other[keep]), pa.array(sim[keep])], ["id", "other", "cosine"])
+        e = keys[r, c] & ((1 << 24) - 1)
+        exact = np.round(np.einsum("ij,ij->i", qm[r].astype(np.float64), m[e].astype(np.float64)), 6)
+        return pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[e]), pa.array(exact)], ["id", "other", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, entries = None, [], None
+        dim = sum(c.shape[1] for c in books.value)
+        block, held, entries, asked = None, [], None, []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal asked
+            if asked and entries is not None and (out := compare(entries, *(np.concatenate(x) for x in zip(*asked)))) is not None:
+                yield out
+            asked = []
+
         for batch in batches:
             codes, query = (batch.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
             cuts = np.r_[0, np.flatnonzero((np.diff(codes) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1, len(codes)]
@@ -185,17 +229,22 @@ def _rerank(k: int, dim: int):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
+                ids, m, i, j, reach = (_matrix(part.column(x), dim) if x == 3 else part.column(x).to_numpy(zero_copy_only=False) for x in range(2, 7))
                 if codes[a] != block:
+                    yield from answer()
                     block, held, entries = codes[a], [], None
                 if not query[a]:
-                    held.append((part.column(2).to_numpy(zero_copy_only=False), _matrix(part.column(3), dim), part.column(4).flatten().to_numpy(zero_copy_only=False)))
+                    held.append((ids, m, i, j))
                     continue
                 if entries is None and held:
-                    ids, m, cell = (np.concatenate(x) for x in zip(*held))
-                    o = np.argsort(cell, kind="stable")
-                    entries, held = [ids[o], m[o], cell[o]], []
-                if entries is not None and (out := compare(entries, part)) is not None:
-                    yield out
+                    ei, em, ci, cj = (np.concatenate(x) for x in zip(*held))
+                    o = np.lexsort((ei, cj, ci))
+                    ei, em, ci, cj = ei[o], em[o], ci[o], cj[o]
+                    entries, held = (ei, em, ci, cj, np.r_[0, np.flatnonzero((np.diff(ci) != 0) | (np.diff(cj) != 0)) + 1, len(ei)]), []
+                asked.append((ids, m, reach))
+                if sum(len(x[0]) for x in asked) >= BATCH:
+                    yield from answer()
+        yield from answer()
 
     return run
 
@@ -207,7 +256,8 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     Takes part: rows whose id isn't null and whose vector has `dim` finite numbers, not all zero; ids have to be
     unique. Fewer than k + 1 vectors give each all others. Equal vectors (after scaling) are one entry with its k + 1
     smallest ids; every row of theirs gets its own result. Codebooks are fitted on at most SAMPLE vectors, chosen by
-    hash; every vector is indexed and is a query. Accuracy is approximate: a query meets VISIT entries or more.
+    hash; every vector is indexed and is a query. Accuracy is approximate: about RECALL of all neighbours are found, and
+    more of the close ones.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "id bigint, other bigint, cosine double")
@@ -219,20 +269,31 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     n = groups.count()
     if not n:
         return empty
-    sample = groups.select("vec").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()  # SAMPLE rows at most
-    x = _matrix(sample.column(0).combine_chunks(), dim)
+    sample = groups.select("id", "vec").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()  # SAMPLE rows at most
+    sample_ids, x = sample.column(0).to_numpy(), _matrix(sample.column(1).combine_chunks(), dim)
     half = dim // 2
-    size = int(min(1024, max(4, 2 ** round(np.log2(max(n / 24, 16)) / 2))))  # some 24 entries a cell, were cells even
+    size = int(min(1024, max(4, 2 ** round(np.log2(max(n / PER_CELL, 16)) / 2))))
     books = spark.sparkContext.broadcast((codebook(x[:, :half], size, 1), codebook(x[:, half:], size, 2)))
     entry = cut(groups.select("id", "vec").mapInArrow(_cells(books), "id bigint, vec array<float>, i int, j int"))
     sizes = np.zeros((len(books.value[0]), len(books.value[1])), np.int64)
     for r in entry.groupBy("i", "j").count().toLocalIterator():  # size * size rows at most
         sizes[r.i, r.j] = r["count"]
-    pieces = np.maximum(1, -(-sizes.sum(axis=1) // BLOCK))
-    share = [spark.sparkContext.broadcast(v) for v in (sizes, pieces)]
-    routed = entry.mapInArrow(_routes(books, *share), "block bigint, is_query boolean, id bigint, vec array<float>, js array<int>")
-    blocks = routed.repartition(max(parallelism(spark), int(pieces.sum()) // 4), "block").sortWithinPartitions("block", "is_query")
-    met = blocks.mapInArrow(_rerank(k, dim), "id bigint, other bigint, cosine double")
+    enough = _budget(entry, books, sizes, (sample_ids[:MEASURED], x[:MEASURED]), k)
+    by_row = sizes.sum(axis=1)
+    pieces = np.maximum(1, -(-by_row // BLOCK))  # of a first centroid with many entries; those with few share a block
+    first, at, held = np.zeros(len(by_row), np.int64), 0, 0
+    for i, (n_row, p) in enumerate(zip(by_row.tolist(), pieces.tolist())):
+        if held and (p > 1 or held + n_row > BLOCK):
+            at, held = at + 1, 0
+        first[i] = at
+        if p > 1:
+            at, held = at + p, 0
+        else:
+            held += n_row
+    share = [spark.sparkContext.broadcast(v) for v in (sizes, (first, pieces))]
+    routed = entry.mapInArrow(_routes(books, *share, enough), "block bigint, is_query boolean, id bigint, vec array<float>, i int, j int, reach double")
+    blocks = routed.repartition(max(parallelism(spark), at + 1), "block").sortWithinPartitions("block", "is_query")
+    met = blocks.mapInArrow(_rerank(books, k), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     met = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
     ids = groups.select(F.col("id").alias("rep"), "ids")
