@@ -79,7 +79,7 @@ def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
     path = os.path.join(shared_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def parallelism(spark: SparkSession) -> int:
