@@ -27,6 +27,7 @@ BLOCK = 4
 RECURS = 3
 
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_INLINE = re.compile(r"</?(?:a|b|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|tt|u)\b[^<>]*>", re.I)
 _START = re.compile(r"^[ \t>|#*+•–—-]*(?:\(?\d{1,4}[.):\]])?[ \t]+", re.M)
 _BREAK = re.compile(r"(?<=\w)[-‐‑­][ \t]*\r?\n[ \t]*(?=\w)")
 _LINK = re.compile(r"\]\([^()\s]*\)")
@@ -41,7 +42,7 @@ def _plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _INLINE.sub("", text))
     if "](" in text:
         text = _LINK.sub(" ", text)
     if "\n" in text:

@@ -111,8 +111,8 @@ def frequencies(records: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
         if not big:
             break
         level += 1
-        split = pending.filter(F.col("leaf").isin(big)).withColumn(f"b{level}", _bits(level))
-        part, _ = written(split.drop("leaf").withColumn("up", split["leaf"]), "up", f"b{level}")
+        split = pending.filter(F.col("leaf").isin(big)).select("h", "occurrences", "records", F.col("leaf").alias("up"), _bits(level).alias(f"b{level}"))
+        part, _ = written(split, "up", f"b{level}")
         pending = part.withColumn("leaf", (F.col("up") * 2**RADIX_BITS + F.col(f"b{level}")).cast("bigint"))
     columns = ["leaf", "h", "occurrences", "records"]
     rows = None
