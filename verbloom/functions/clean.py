@@ -29,12 +29,13 @@ def usable(weight: Column) -> Column:
     return F.coalesce((weight > 0) & (weight < float("inf")) & ~F.isnan(weight), F.lit(False))
 
 
-def latest(df: DataFrame, keys: list[str], order: str = "produced_at") -> DataFrame:
-    """The newest row of each key (a missing time is the oldest); of rows equal in key and time one stays.
+def latest(df: DataFrame, keys: list[str], order: str = "produced_at", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The newest row of each key (a missing time is the oldest); of rows equal in key and time one stays, that with the
+    largest `ties`, missing ones last.
 
     Ask for it after the projection: whole rows of `df` are shuffled by the keys.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in (order, *ties)))
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 

@@ -112,6 +112,32 @@ def mixture_step(dist: DataFrame, theta: DataFrame, prior: DataFrame, per_docume
     return s.select(*INSTANCE, "cluster", F.exp(c("s") - log_sum_exp(c("s"), Window.partitionBy(*INSTANCE))).alias("p"))
 
 
+def run_mixture(dist: DataFrame, assign: DataFrame, alpha: float, steps: int, per_document: bool = False) -> DataFrame:
+    """A number of soft steps of the mixture of unigrams, or of topics whose priors belong to each document: there the
+    prior of a document is its add-one averaged item assignment, smoothed like a cluster's parameters."""
+    dist = cut(dist)
+    if not per_document:
+        for _ in range(steps):
+            assign = cut(mixture_step(dist, estimate(dist, assign, alpha), size_prior(assign)))
+        return assign
+    names = assign.select("verb_type", "cluster").distinct()
+    k = F.count(F.lit(1)).over(Window.partitionBy(*INSTANCE))
+    prior = cut(dist.select(*INSTANCE).distinct().join(names, "verb_type").withColumn("prior", 1.0 / k))
+    theta, out = estimate(dist, assign, alpha), None
+    for _ in range(steps):
+        out = cut(mixture_step(dist, theta, prior, per_document=True))
+        n = out.groupBy(*INSTANCE, "cluster").agg(F.sum(c("p") * c("value")).alias("n"))
+        full = prior.drop("prior").join(n, [*INSTANCE, "cluster"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)) + 1)
+        share = c("n") / F.sum("n").over(Window.partitionBy(*INSTANCE))
+        prior = cut(full.withColumn("s", share).select(*INSTANCE, "cluster", dirichlet(c("s"), F.lit(1.0), k.cast("double"), alpha).alias("prior")))
+        per_item = out.groupBy("verb_type", "cluster", "item").agg(F.sum(c("p") * c("value")).alias("n"))
+        size = dist.select("verb_type", "item").distinct().withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("verb_type")))
+        grid = names.join(size, "verb_type").join(per_item, ["verb_type", "cluster", "item"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+        whole = F.sum("n").over(Window.partitionBy("verb_type", "cluster"))
+        theta = cut(grid.select("verb_type", "cluster", "item", dirichlet(c("n"), whole, c("k"), alpha).alias("theta")))
+    return out
+
+
 # --- other kinds of parameters
 
 

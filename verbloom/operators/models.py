@@ -83,6 +83,55 @@ def parse(text: str) -> Model:
 DEFAULT_CUT = {"verb_clusters": 1, "arg_entropy": 0.35}
 
 
+#: Model strings offered by name in the browser.
+PRESETS = {
+    "syntactic function": "arg/syntf", "syntactic function, converted": "arg/syntf2", "questions": "arg/mnd->qent", "questions with passive converted": "arg/mnd->qent_active",
+    "constituents": "arg/pent", "masked span": "arg/span_mlm_masked", "masked span and questions": "arg/mnd->span_mlm_symm_both+qent", "gold": "arg/gold_nosense",
+}
+
+_ADVERBIAL = r"^(how much|how long|how|when|where|why) "
+
+
+def term_distribution(term: str, features: dict[str, DataFrame]) -> DataFrame:
+    """The distribution (verb_type, instance, item, value) that a term clusters by, from named features of that shape:
+    questions, active_questions, adjuncts (instance, is_adjunct), constituents, functions, converted functions,
+    prepositions, and mlm vectors in long form by `<kind>_mlm_<mode>`."""
+    q = lambda name: features[name]
+    how = lambda d: d.withColumn("value", F.when(c("item").startswith("how "), c("value") / 100).otherwise(c("value")))
+
+    def adjunct(d: DataFrame) -> DataFrame:
+        mark = q("adjuncts").select("verb_type", "instance", F.when(c("is_adjunct"), "adj:").otherwise("arg:").alias("_m"))
+        return d.join(mark, ["verb_type", "instance"]).withColumn("item", F.concat("_m", "item")).drop("_m")
+
+    named = {
+        "qent": lambda: q("questions"), "qent_active": lambda: q("active_questions"), "qent_argadj": lambda: adjunct(q("questions")), "qent_nohow": lambda: how(q("questions")),
+        "qent_argadj_nohow": lambda: adjunct(how(q("questions"))), "pent": lambda: q("constituents"), "syntf": lambda: q("functions"), "syntf2": lambda: q("converted_functions"),
+        "syntc": lambda: q("constituents"), "syntc2": lambda: q("converted_constituents"), "prep": lambda: q("prepositions"),
+        "qent_nadv": lambda: q("questions").withColumn("item", F.regexp_replace("item", _ADVERBIAL, "how ")).groupBy("verb_type", "instance", "item").agg(F.sum("value").alias("value")),
+    }
+    if term in named:
+        return named[term]()
+    if "mlm_" in term:
+        return q(term)
+    raise NotImplementedError(f"{term} has no distribution")  # noop, dv and the size prior are terms of the kernels
+
+
+def argument_model(model: Model, features: dict[str, DataFrame], side: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, leaves, side clusters): side clusters come out first, the remaining instances are clustered by the
+    weighted distributions of the model's terms."""
+    dist = combined([(term_distribution(t, features), w) for t, w in model.terms.items()])
+    if side is not None:
+        dist = dist.join(side.select("verb_type", "instance").distinct(), ["verb_type", "instance"], "left_anti")
+    return *hybrid_model(dist, **options), side
+
+
+def frames(verb_clusters: DataFrame, arg_clusters: DataFrame, verb_of: DataFrame) -> DataFrame:
+    """Roles within frames: (verb_type, frame, role, instance), from clusters of verbs, clusters of arguments and the verb
+    of each argument. A role is an argument cluster seen from one verb cluster."""
+    v = verb_clusters.select("verb_type", c("instance").alias("verb"), c("cluster").alias("frame"))
+    return arg_clusters.join(verb_of, "instance").join(v, ["verb_type", "verb"]).select("verb_type", "frame", c("cluster").alias("role"), "instance")
+
+
 # --- baselines
 
 

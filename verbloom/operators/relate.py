@@ -65,3 +65,13 @@ def while_true(df: DataFrame, keys: list[str], order: list[Column], condition: C
     """The leading rows of each key up to the first that doesn't meet the condition."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_ok", F.min(F.coalesce(condition, F.lit(False)).cast("int")).over(w)).filter("_ok = 1").drop("_ok")
+
+
+def aligned(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
+    """(left_key, right_key): rows whose texts are equal without blanks and case, the smallest right key of several. A left
+    row without partner fails the query when its row is read."""
+    norm = lambda df: df.withColumn("_t", F.regexp_replace(F.lower(c(text)), r"\s+", ""))
+    first = norm(right).groupBy("_t").agg(F.min(right_key).alias(right_key))
+    missing = F.raise_error(F.concat(F.lit("no text for "), c(left_key).cast("string")))
+    joined = norm(left).join(first, "_t", "left")
+    return joined.select(left_key, F.when(c(right_key).isNull(), missing).otherwise(c(right_key)).alias(right_key))

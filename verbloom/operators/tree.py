@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbloom.operators.agglom import DIRECT_LIMIT, Tree, hybrid, max_prior, min_entropy
+from verbloom.operators.agglom import DIRECT_LIMIT, Term, Tree, hybrid, max_prior, min_entropy
 
 c = F.col
 NODE_SCHEMA = "verb_type string, node int, parent int, left int, right int, loss double, size bigint, depth int, leaf_lo int, leaf_hi int, born int, died int"
@@ -154,6 +154,18 @@ def entropy_cut(nodes: DataFrame, weight: float, limit: int = 100) -> DataFrame:
     return s.groupBy("verb_type").agg(F.min_by("step", F.struct(F.round(score, 9), "step")).alias("step"))
 
 
+def at_most_cut(nodes: DataFrame, k: int) -> DataFrame:
+    """(verb_type, step): the last cut with no more than k clusters, else the first."""
+    s = steps(nodes, 2**31 - 2)
+    return s.groupBy("verb_type").agg(F.coalesce(F.max(F.when(c("n_clusters") <= k, c("step"))), F.min("step")).alias("step"))
+
+
+def leaf_fold(nodes: DataFrame, leaves: DataFrame, value, name: str = "value") -> DataFrame:
+    """An aggregate over the members of every node, from (verb_type, leaf, instance, ...) rows and the leaf intervals."""
+    at = nodes.select("verb_type", "node", F.explode(F.sequence("leaf_lo", "leaf_hi")).alias("leaf"))
+    return at.join(leaves, ["verb_type", "leaf"]).groupBy("verb_type", "node").agg(value.alias(name))
+
+
 def depth_limited(nodes: DataFrame, depth: int) -> DataFrame:
     """The tree down to `depth`; nodes at that depth become leaves that keep their loss, size and leaf interval."""
     return nodes.filter(c("depth") <= depth).withColumns({k: F.when(c("depth") == depth, -1).otherwise(c(k)) for k in ("left", "right")})
@@ -179,6 +191,19 @@ def restricted(tree: Tree, keep: set[int]) -> Tree:
     return out
 
 
+def re_merged(tree: Tree, keep: set[int], terms: list[Term]) -> Tree:
+    """The tree of the kept leaves with all losses computed anew from the statistics of their members."""
+    out = restricted(tree, keep)
+    rows = [t.rows[sorted(keep)] for t in terms]
+    loss = lambda parts: float(sum(t.weight * t.loss(p[None, :])[0] for t, p in zip(terms, parts)))
+    state = {i: [r[i] for r in rows] for i in range(out.n)}
+    fresh = Tree(out.n, [loss(state[i]) for i in range(out.n)])
+    for k, (a, b, _) in enumerate(out.merges):
+        state[out.n + k] = [x + y for x, y in zip(state[a], state[b])]
+        fresh.merges.append((a, b, loss(state[out.n + k])))
+    return fresh
+
+
 def to_json(tree: Tree, value=lambda i: i) -> str:
     """Nested form: {"loss", "value"} for leaves, {"loss", "left", "right"} for merges, built without recursion."""
     import json
