@@ -23,7 +23,9 @@ from verbloom.session import cut, parallelism, table
 
 #: Vectors that the codebooks are fitted on, at most; queries that measure the budget; share of their neighbours that it
 #: has to reach; entries of a block; entries of a cell, were all cells even; queries that are compared at once.
-SAMPLE, MEASURED, RECALL, BLOCK, PER_CELL, BATCH = 20_000, 256, 0.93, 12_000, 40, 8_192
+SAMPLE, MEASURED, RECALL, BLOCK, PER_CELL, BATCH = 20_000, 256, 0.93, 20_000, 40, 8_192
+#: Similarities that are computed at once.
+PIECE = 2_000_000
 _EMPTY_KEY = np.iinfo(np.int64).max
 
 
@@ -178,9 +180,10 @@ def _routes(books, sizes, blocks, enough: int):
     return run
 
 
-def _rerank(books, k: int):
+def _rerank(books, k: int, least: float | None):
     """Exact cosines of the queries of each block with its entries in the cells within their reach; rows come with the
-    entries of a block before its queries. Per query and block the best `k` are handed on."""
+    entries of a block before its queries. Per query and block the best `k` are handed on, of those with a cosine of
+    `least` or more if it is given."""
 
     def compare(entries: tuple, qid: np.ndarray, qm: np.ndarray, reach: np.ndarray) -> pa.RecordBatch | None:
         ids, m, ci, cj, cuts = entries
@@ -189,27 +192,33 @@ def _rerank(books, k: int):
         da, db = _distances(qm[:, :half], ca), _distances(qm[:, half:], cb)
         slack = reach + 1e-5
         keys = np.full((len(qid), k), _EMPTY_KEY)  # rounded distance in the high bits, place by id in the low ones
-        worst = keys[:, -1].copy()
+        lowest = np.float32(-2.0 if least is None else least - 1e-5)
+        floor = np.full(len(qid), lowest, np.float32)  # what a similarity has to exceed to matter
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            rows = np.flatnonzero(da[:, ci[a]] + db[:, cj[a]] <= slack)
-            if not len(rows):
-                continue
-            key = (np.rint((1.0 - qm[rows] @ m[a:b].T) * 1e6).astype(np.int64) << 24) | np.arange(a, b)
-            key[qid[rows][:, None] == ids[a:b][None, :]] = _EMPTY_KEY
-            better = np.flatnonzero(key.min(axis=1) < worst[rows])
-            if not len(better):
-                continue
-            rows, key = rows[better], key[better]
-            if key.shape[1] > k:
-                key = np.partition(key, k - 1, axis=1)[:, :k]
-            best = np.partition(np.concatenate([keys[rows], key], axis=1), k - 1, axis=1)[:, :k]
-            keys[rows] = best
-            worst[rows] = best.max(axis=1)
+            near = np.flatnonzero(da[:, ci[a]] + db[:, cj[a]] <= slack)
+            step = max(1, PIECE // (b - a))
+            for at in range(0, len(near), step):
+                rows = near[at : at + step]
+                sim = qm[rows] @ m[a:b].T
+                better = np.flatnonzero(sim.max(axis=1) > floor[rows])
+                if not len(better):
+                    continue
+                rows = rows[better]
+                key = (np.rint((1.0 - sim[better]) * 1e6).astype(np.int64) << 24) | np.arange(a, b)
+                key[qid[rows][:, None] == ids[a:b][None, :]] = _EMPTY_KEY
+                if key.shape[1] > k:
+                    key = np.partition(key, k - 1, axis=1)[:, :k]
+                best = np.partition(np.concatenate([keys[rows], key], axis=1), k - 1, axis=1)[:, :k]
+                keys[rows] = best
+                worst = best.max(axis=1)
+                floor[rows] = np.where(worst == _EMPTY_KEY, lowest, 1.0 - (worst >> 24) * 1e-6 - 1e-6)
         r, c = np.nonzero(keys < _EMPTY_KEY)
         if not len(r):
             return None
         e = keys[r, c] & ((1 << 24) - 1)
         exact = np.round(np.einsum("ij,ij->i", qm[r].astype(np.float64), m[e].astype(np.float64)), 6)
+        if least is not None:
+            r, e, exact = (v[exact >= least] for v in (r, e, exact))
         return pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(ids[e]), pa.array(exact)], ["id", "other", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +258,9 @@ def _rerank(books, k: int):
     return run
 
 
-def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str = "vec") -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str = "vec", least: float | None = None) -> DataFrame:
     """(id, other, cosine) of the `k` most similar other vectors of every vector, by cosine, then by id; cosines are
-    rounded to 6 digits.
+    rounded to 6 digits. With `least`, only those of them with such a cosine; the others are left out before they move.
 
     Takes part: rows whose id isn't null and whose vector has `dim` finite numbers, not all zero; ids have to be
     unique. Fewer than k + 1 vectors give each all others. Equal vectors (after scaling) are one entry with its k + 1
@@ -293,7 +302,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     share = [spark.sparkContext.broadcast(v) for v in (sizes, (first, pieces))]
     routed = entry.mapInArrow(_routes(books, *share, enough), "block bigint, is_query boolean, id bigint, vec array<float>, i int, j int, reach double")
     blocks = routed.repartition(max(parallelism(spark), at + 1), "block").sortWithinPartitions("block", "is_query")
-    met = blocks.mapInArrow(_rerank(books, k), "id bigint, other bigint, cosine double")
+    met = blocks.mapInArrow(_rerank(books, k, least), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     met = met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
     ids = groups.select(F.col("id").alias("rep"), "ids")
@@ -312,15 +321,15 @@ def usable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(raw, ["feature_id"]).drop("produced_at")
 
 
-def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p5_neighbours(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
     """The 5 most similar other features of every usable feature."""
-    found = nearest(usable_features(spark, sf_dir), key="feature_id", vec="arg_mlm_vec")
+    found = nearest(usable_features(spark, sf_dir), key="feature_id", vec="arg_mlm_vec", least=least)
     return found.select(F.col("id").alias("feature_id"), F.col("other").alias("neighbour_id"), "cosine")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.95, one of them among the 5 most similar of the other."""
-    near = p5_neighbours(spark, sf_dir).filter("cosine >= 0.95")
+    near = p5_neighbours(spark, sf_dir, 0.95)
     return near.select(F.least("feature_id", "neighbour_id").alias("feature_id_a"), F.greatest("feature_id", "neighbour_id").alias("feature_id_b")).distinct()
 
 
