@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLANKS = " \t\r\n\x0b\x0c "
+_BLANKS = " \t\r\n\x0b\x0c\u00a0"
 
 
 def norm_id(c: Column | str) -> Column:
@@ -20,7 +20,11 @@ def norm_label(c: Column | str) -> Column:
 
 def norm_question(c: Column | str) -> Column:
     """Lower case, runs of white space as one blank, none in front, no question marks and blanks at the end."""
-    one = F.regexp_replace(F.lower(_col(c)), r"[\s ]+", " ")
+    raw = _col(c)
+    odd = raw.contains("  ")
+    for blank in _BLANKS[1:]:
+        odd = odd | raw.contains(blank)
+    one = F.when(odd, F.regexp_replace(F.lower(raw), r"[\s\u00a0]+", " ")).otherwise(F.lower(raw))  # the pattern is costly and rarely needed
     return F.ltrim(F.rtrim(one, F.lit("? ")), F.lit(" "))
 
 

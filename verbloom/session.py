@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 
@@ -45,10 +46,26 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the data folder; `name` is the file or folder without its ending."""
+def table(spark: SparkSession, sf_dir: str, name: str, fields: list[str] | None = None) -> DataFrame:
+    """One table of the data folder; `name` is the file or folder without its ending.
+
+    `fields` (dotted, through arrays) are all that the scan reads: the optimiser doesn't prune fields of structs in
+    arrays of arrays, or under functions of array elements.
+    """
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spark.read.schema(_kept(df.schema, [f.split(".") for f in fields])).parquet(path) if fields else df
+
+
+def _kept(kind: T.DataType, paths: list[list[str]]) -> T.DataType:
+    """The part of a type that the paths name; a path's end keeps everything below it."""
+    if any(not p for p in paths):
+        return kind
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_kept(kind.elementType, paths), kind.containsNull)
+    wanted = {p[0] for p in paths}
+    return T.StructType([T.StructField(f.name, _kept(f.dataType, [p[1:] for p in paths if p[0] == f.name]), f.nullable) for f in kind.fields if f.name in wanted])
 
 
 def shared_dir(spark: SparkSession) -> str:
