@@ -9,6 +9,10 @@ from verbloom.functions.clean import latest, norm_id, norm_question, usable
 from verbloom.session import table
 
 
+#: What names a page and its version.
+PAGE = ["sentence_id", "verb_index", "beam_page", "produced_at"]
+
+
 def term_hash(c: Column) -> Column:
     """64 bits that stand for a term in shuffles; dictionaries check that no two terms share them."""
     return F.xxhash64(c)
@@ -36,15 +40,16 @@ def span_question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.filter(F.coalesce(F.col("beam"), F.array()), lambda e: good_span(e["span"])),
         lambda e: F.struct(e["span"][0].alias("b"), e["span"][1].alias("e"), F.transform(hashes(F.coalesce(e["questions"], F.array())), term_hash).alias("q")),
     )
-    pages = valid_pages(table(spark, sf_dir, "verb_prediction"), spans)
+    pages = valid_pages(table(spark, sf_dir, "verb_prediction", [*PAGE, "beam.span", "beam.questions.question_string"]), spans)
     entry = pages.select("sentence_id", "verb_index", F.explode("payload").alias("s")).select("sentence_id", "verb_index", "s.b", "s.e", "s.q").filter(F.size("q") > 0)
     return entry.groupBy("sentence_id", "verb_index", "b", "e").agg(F.flatten(F.collect_list("q")).alias("items")).select("items")
 
 
 def question_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question of verb_prediction, normalised: `term`. Distinct spellings are found before normalising."""
-    q = table(spark, sf_dir, "verb_prediction").select(F.explode("beam.questions").alias("qs")).select(F.explode("qs.question_string").alias("q"))
-    return q.distinct().select(norm_question("q").alias("term")).filter("term IS NOT NULL AND term <> ''")
+    t = table(spark, sf_dir, "verb_prediction", ["beam.questions.question_string"])
+    q = t.select(F.explode("beam.questions").alias("qs")).select(F.explode("qs.question_string").alias("q"))
+    return q.distinct().select(norm_question("q").alias("term"))
 
 
 def valid_args(df: DataFrame, *payload: Column) -> DataFrame:
@@ -60,7 +65,9 @@ def dist_entries(dist: str, key: str, norm) -> Column:
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
-    """(h, term) of every distinct term. Two terms with one hash make the query fail instead of mixing them."""
+    """(h, term) of every distinct term but null and empty ones. Two terms with one hash make the query fail instead of
+    mixing them. Null terms are left out here, after the grouping: a filter before it would be pushed below the
+    distinct of the callers and make them normalise every occurrence."""
     pairs = terms.select(term_hash(F.col("term")).alias("h"), "term").groupBy("h").agg(F.min("term").alias("term"), F.max("term").alias("_other"))
     clash = F.raise_error(F.concat(F.lit("two terms share a hash: "), F.col("term"), F.lit(" / "), F.col("_other")))
-    return pairs.select("h", F.when(F.col("term") == F.col("_other"), F.col("term")).otherwise(clash).alias("term"))
+    return pairs.filter("term <> ''").select("h", F.when(F.col("term") == F.col("_other"), F.col("term")).otherwise(clash).alias("term"))

@@ -130,7 +130,7 @@ def together(records: DataFrame, min_count: int = 1, min_share: int = 0) -> Data
     merged = runs.repartition(parallelism(spark), "code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint")
     pairs = merged.filter(F.col("n") >= least).select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("id_b"), F.col("n").alias("n_ab"))
     side = lambda x: ids.join(single, "h").select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.col("n_item").alias(f"n_{x}"))
-    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("n", F.lit(n))
+    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("n", F.lit(n).cast("bigint"))
     return both.withColumns({"odds_ratio": odds_ratio(), "lift": F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))}).drop("id_a", "id_b")
 
 
@@ -150,7 +150,7 @@ def role_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every role label, normalised: `term`."""
-    return table(spark, sf_dir, "prop_bank_role").select("role_label").distinct().select(norm_label("role_label").alias("term")).filter("term IS NOT NULL AND term <> ''")
+    return table(spark, sf_dir, "prop_bank_role").select("role_label").distinct().select(norm_label("role_label").alias("term"))
 
 
 def _named(pairs: DataFrame, terms: DataFrame, kind: str) -> DataFrame:

@@ -98,7 +98,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records of the questions of valid arguments, and the question strings."""
     raw = table(spark, sf_dir, "arg_feature")
     records = valid_args(raw, dist_entries("question_dist", "question", norm_question).alias("terms")).select(F.col("arg_id").alias("id"), "terms")
-    terms = raw.select(F.explode("question_dist.question").alias("q")).distinct().select(norm_question("q").alias("term")).filter("term IS NOT NULL")
+    terms = raw.select(F.explode("question_dist.question").alias("q")).distinct().select(norm_question("q").alias("term"))
     return records, terms
 
 

@@ -135,7 +135,7 @@ def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of arg_mlm_dist, normalised: `term`."""
-    return table(spark, sf_dir, "arg_feature").select(F.explode("arg_mlm_dist.item").alias("i")).distinct().select(norm_id("i").alias("term")).filter("term IS NOT NULL")
+    return table(spark, sf_dir, "arg_feature").select(F.explode("arg_mlm_dist.item").alias("i")).distinct().select(norm_id("i").alias("term"))
 
 
 def _field(name: str, records: DataFrame, terms: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbloom.llm.common import good_span, valid_pages
+from verbloom.llm.common import PAGE, good_span, valid_pages
 from verbloom.session import table
 
 
@@ -29,7 +29,7 @@ def best_spans(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
     prob = lambda e: F.coalesce((e["span_prob"] >= 0) & (e["span_prob"] <= 1), F.lit(False))
     usable = F.filter(F.coalesce(F.col("beam"), F.array()), lambda e: good_span(e["span"]) & prob(e))
     narrow = F.transform(usable, lambda e: F.struct(e["span"][0].alias("b"), e["span"][1].alias("e"), e["span_prob"].alias("p")))
-    pages = valid_pages(table(spark, sf_dir, "verb_prediction"), narrow)
+    pages = valid_pages(table(spark, sf_dir, "verb_prediction", [*PAGE, "beam.span", "beam.span_prob"]), narrow)
     spans = pages.select("sentence_id", "verb_index", F.explode("payload").alias("s")).groupBy("sentence_id", "verb_index", F.col("s.b").alias("span_begin"), F.col("s.e").alias("span_end")).agg(F.max("s.p").alias("span_prob"))
     return top_n(spans, ["sentence_id", "verb_index"], n, [F.col("span_prob").desc(), F.col("span_begin"), F.col("span_end")])
 
