@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbloom.operators.agglom import DIRECT_LIMIT, Term, Tree, hybrid, max_prior, min_entropy
+from verbloom.session import cut
 
 c = F.col
 NODE_SCHEMA = "verb_type string, node int, parent int, left int, right int, loss double, size bigint, depth int, leaf_lo int, leaf_hi int, born int, died int"
@@ -101,22 +102,19 @@ def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, l
     """
     rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"))
 
-    def build(pdf: pd.DataFrame):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, counts = _matrix(pdf)
         terms = [min_entropy(counts)] + ([max_prior(np.ones(len(ids)), len(ids), prior_weight)] if prior_weight else [])
-        return ids, *hybrid(terms, counts, alpha, seed, limit)
-
-    def nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, tree, at = build(pdf)
-        return frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, minlength=tree.n).tolist())
-
-    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, tree, at = build(pdf)
-        position = frame("", tree, [1] * tree.n).set_index("node")["leaf_lo"]
-        return pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": position.loc[at].to_numpy(), "instance": ids})
-
-    by = rows.groupBy("verb_type")
-    return by.applyInPandas(nodes, NODE_SCHEMA), by.applyInPandas(leaves, LEAF_SCHEMA)
+        tree, at = hybrid(terms, counts, alpha, seed, limit)
+        nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, minlength=tree.n).tolist())
+        leaves = pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": nodes["leaf_lo"].to_numpy()[at], "instance": ids})
+        both = pd.concat([nodes, leaves], ignore_index=True)
+        whole = {"leaf": "Int32", "instance": "Int64", "size": "Int64"} | {k: "Int32" for k in ("node", "parent", "left", "right", "depth", "leaf_lo", "leaf_hi", "born", "died")}
+        return both.astype(whole)
+
+    both = cut(rows.groupBy("verb_type").applyInPandas(build, f"{NODE_SCHEMA}, {LEAF_SCHEMA.split(', ', 1)[1]}"))  # one pass for both tables
+    names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
+    return both.filter("node IS NOT NULL").select(*names), both.filter("leaf IS NOT NULL").select("verb_type", "leaf", "instance")
 
 
 def cut_at(nodes: DataFrame, leaves: DataFrame, step) -> DataFrame:
