@@ -62,6 +62,18 @@ def test_hybrid_recovers_planted_clusters():
     assert max(frame.depth) <= agglom.MAX_DEPTH
 
 
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(2)
+    dense = rng.poisson(0.6, (700, 9)) + np.eye(9)[rng.integers(9, size=700)]
+    i, j = np.nonzero(dense)
+    rows = agglom.Rows(np.searchsorted(i, np.arange(701)), j, dense[i, j], 9)
+    theta = rng.dirichlet(np.ones(9), 4)
+    assert rows.losses(theta) == pytest.approx(-dense @ np.log(theta).T) and (rows.row(5) == dense[5]).all()
+    at = rng.integers(4, size=700)
+    assert rows.sums(at, 4) == pytest.approx(np.array([dense[at == k].sum(axis=0) for k in range(4)]))
+    assert (agglom.flat_sets(rows, 20, 0.01, 3) == agglom.flat_sets(agglom.Rows.of(dense), 20, 0.01, 3)).all()
+
+
 def test_depth_cap_keeps_losses_and_members():
     t = agglom.Tree(6, [0.0] * 6, [(0, 1, 1.0), (6, 2, 2.0), (7, 3, 3.0), (8, 4, 4.0), (9, 5, 5.0)])
     out, at = agglom.capped(t, np.arange(6), 2)

@@ -84,3 +84,11 @@ def test_lexicon(spark):
     ids = spark.createDataFrame([("a:10",), ("a:9",), ("b",), ("a",)], "i string")
     assert [x.i for x in ids.orderBy(*lexicon.sentence_order(c("i"))).collect()] == ["a", "a:9", "a:10", "b"]
     assert spark.createDataFrame([("NP-SBJ-1",)], "l string").select(lexicon.without_function_tag(c("l"))).first()[0] == "NP"
+
+
+def test_question_frames_of_all_lemmas(spark, data):
+    from verbloom.plans import distributions, more
+
+    q = distributions.arg_questions(spark, data).filter("verb_lemma IS NOT NULL").groupBy("verb_lemma").agg(F.countDistinct("arg_id").alias("n"))
+    want = {r.verb_lemma: r.n for r in q.collect()}
+    assert len(want) > 5 and {r.verb_type: r.n_args for r in more.question_frames(spark, data).collect()} == want

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Largest group that is agglomerated directly, flat clusters otherwise and trials to find them, deepest tree kept.
 DIRECT_LIMIT, FLAT_CLUSTERS, TRIALS, MAX_DEPTH = 100, 100, 5, 50
+#: A loop until a threshold that takes more steps is an error.
+MAX_STEPS = 1000
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -137,32 +139,110 @@ def complete_linkage(distance: np.ndarray) -> Tree:
     return tree
 
 
-def hard_em(counts: np.ndarray, k: int, alpha: float, rng: np.random.Generator, delta: float = 1e-5, max_steps: int = 100) -> tuple[np.ndarray, float]:
-    """Dirichlet mixture clusters of the rows of `counts`: assignment and mean loss. Starts from rows drawn with chances
-    in proportion to their loss under those drawn so far; ties go to the smaller cluster."""
-    n, items = counts.shape
-    estimate = lambda c: (c + alpha / items) / (c.sum(axis=1, keepdims=True) + alpha)
-    if n <= k:
-        return np.arange(n), 0.0
-    chosen = [int(rng.integers(n))]
-    best = -(counts @ np.log(estimate(counts[chosen])).T)[:, 0]
-    while len(chosen) < k:
-        p = np.maximum(best - best.min(), 0)
-        p[chosen] = 0
-        chosen.append(int(rng.choice(n, p=p / p.sum())) if p.sum() > 0 else int(rng.choice(np.setdiff1d(np.arange(n), chosen))))
-        best = np.minimum(best, -(counts @ np.log(estimate(counts[chosen[-1:]])).T)[:, 0])
-    theta, before, at = estimate(counts[chosen]), np.inf, np.zeros(n, int)
-    for _ in range(max_steps):
-        loss = -(counts @ np.log(theta).T) + np.log(k)
+@dataclass
+class Rows:
+    """Sparse counts: the entries of row i are start[i]..start[i + 1] of `items` and `values`; every row has some."""
+
+    start: np.ndarray
+    items: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Rows:
+        n, width = counts.shape
+        return Rows(np.arange(n + 1) * width, np.tile(np.arange(width), n), np.asarray(counts, float).ravel(), width)
+
+    @property
+    def n(self) -> int:
+        return len(self.start) - 1
+
+    def sums(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Summed rows of clusters 0..k-1."""
+        code = np.repeat(np.asarray(at, np.int64), np.diff(self.start)) * self.width + self.items
+        return np.bincount(code, self.values, minlength=k * self.width).reshape(k, self.width)
+
+    def row(self, i: int) -> np.ndarray:
+        part = slice(self.start[i], self.start[i + 1])
+        return np.bincount(self.items[part], self.values[part], minlength=self.width)
+
+    def losses(self, theta: np.ndarray) -> np.ndarray:
+        """(row, cluster): negative log-likelihoods, some rows at a time."""
+        log, out = np.ascontiguousarray(np.log(theta).T), np.empty((self.n, len(theta)))
+        for lo in range(0, self.n, 512):
+            hi = min(lo + 512, self.n)
+            a, b = self.start[lo], self.start[hi]
+            out[lo:hi] = -np.add.reduceat(self.values[a:b, None] * log[self.items[a:b]], self.start[lo:hi] - a, axis=0)
+        return out
+
+    # What hard_em asks for, of several trials at once.
+
+    def rows(self, at: list[int]) -> list[np.ndarray]:
+        return [self.row(i) for i in at]
+
+    def under(self, thetas: list[np.ndarray]) -> list[np.ndarray]:
+        """Losses of all rows under one cluster of each trial."""
+        return list(self.losses(np.array(thetas)).T)
+
+    def step(self, thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        """Summed loss and summed rows of each trial's clusters after their rows went to the closest ones."""
+        out = []
+        for theta in thetas:
+            at, loss = self.closest(theta)
+            out.append((float(loss.sum()), self.sums(at, len(theta))))
+        return out
+
+    def closest(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        loss = self.losses(theta) + np.log(len(theta))
         at = np.round(loss, 9).argmin(axis=1)
-        mean = float(loss[np.arange(n), at].mean())
-        if before - mean <= delta:
-            break
-        before = mean
-        sums = np.zeros((k, items))
-        np.add.at(sums, at, counts)
-        theta = estimate(sums)
-    return at, mean
+        return at, loss[np.arange(self.n), at]
+
+
+def hard_em(data: Rows, k: int, alpha: float, rng: np.random.Generator, trials: int = TRIALS, delta: float = 1e-5) -> np.ndarray:
+    """Parameters of the Dirichlet mixture of `k` clusters with the smallest mean loss of some trials, each until the mean
+    loss improves by no more than `delta`. A trial starts from rows drawn with chances in proportion to their loss under
+    those drawn so far; ties go to the smaller cluster. `data` are rows at hand, or a table of them (flat.Blocks)."""
+    n, width = data.n, data.width
+    estimate = lambda c: (c + alpha / width) / (c.sum(axis=-1, keepdims=True) + alpha)
+    draws = [(int(rng.integers(n)), rng.random(k - 1)) for _ in range(trials)]
+    chosen = [[first] for first, _ in draws]
+    start = [[estimate(r)] for r in data.rows([x[0] for x in chosen])]
+    best = data.under([x[0] for x in start])
+    for d in range(k - 1):
+        for t, (_, u) in enumerate(draws):
+            p = np.maximum(best[t] - best[t].min(), 0)
+            p[chosen[t]] = 0
+            if p.sum() > 0:
+                edges = (p / p.sum()).cumsum()
+                chosen[t].append(int((edges / edges[-1]).searchsorted(u[d], side="right")))
+            else:
+                rest = np.setdiff1d(np.arange(n), chosen[t])
+                chosen[t].append(int(rest[int(u[d] * len(rest))]))
+        new = [estimate(r) for r in data.rows([x[-1] for x in chosen])]
+        for t, theta in enumerate(new):
+            start[t].append(theta)
+        if d < k - 2:  # the last ones aren't drawn from
+            best = [np.minimum(*x) for x in zip(best, data.under(new))]
+    theta, before, open_ = [np.array(x) for x in start], [np.inf] * trials, list(range(trials))
+    for _ in range(MAX_STEPS):
+        again = []
+        for t, (loss, sums) in zip(open_, data.step([theta[t] for t in open_])):
+            mean = loss / n
+            if before[t] - mean > delta:
+                theta[t], again = estimate(sums), [*again, t]
+            before[t] = mean
+        open_ = again
+        if not open_:
+            return theta[int(np.nanargmin(before))]
+    raise RuntimeError(f"{len(open_)} trials aren't stable after {MAX_STEPS} steps")
+
+
+def flat_sets(data: Rows, k: int, alpha: float, seed: int) -> np.ndarray:
+    """The flat cluster of each row, 0..number of clusters in use - 1."""
+    if data.n <= k:
+        return np.arange(data.n)
+    theta = hard_em(data, k, alpha, np.random.default_rng(seed))
+    return np.unique(data.closest(theta)[0], return_inverse=True)[1]
 
 
 def set_stats(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -178,9 +258,7 @@ def hybrid(terms: list[Term], flat: np.ndarray, alpha: float = 0.01, seed: int =
     n = len(flat)
     at = np.arange(n)
     if n > limit:
-        rng = np.random.default_rng(seed)
-        found = [hard_em(flat, FLAT_CLUSTERS, alpha, rng) for _ in range(TRIALS)]
-        at = np.unique(min((f for f in found if not np.isnan(f[1])), key=lambda f: f[1])[0], return_inverse=True)[1]
+        at = flat_sets(Rows.of(flat), FLAT_CLUSTERS, alpha, seed)
         terms = [Term(set_stats(t.rows, at), t.loss, t.weight) for t in terms]
     tree = agglomerate(terms, check=False)
     return capped(tree, at, MAX_DEPTH)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbloom.operators.agglom import DIRECT_LIMIT, Term, Tree, hybrid, max_prior, min_entropy
+from verbloom.operators.agglom import DIRECT_LIMIT, FLAT_CLUSTERS, MAX_DEPTH, Rows, Term, Tree, agglomerate, capped, flat_sets, max_prior, min_entropy
 from verbloom.session import cut
 
 c = F.col
@@ -89,23 +89,29 @@ def frame(verb_type: str, tree: Tree, sizes: list[float], by: str = "per_count")
     })
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = pdf.pivot_table(index="instance", columns="item", values="value", aggfunc="sum", fill_value=0.0).sort_index()
-    return table.index.to_numpy(), table.to_numpy(float)
+def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, Rows]:
+    pdf = pdf.dropna(subset=["instance", "item"])
+    ids, i = np.unique(pdf["instance"].to_numpy(), return_inverse=True)
+    j, names = pd.factorize(pdf["item"], sort=True)
+    code, at = np.unique(i.astype(np.int64) * len(names) + j, return_inverse=True)
+    values = np.bincount(at, pdf["value"].to_numpy(float))
+    return ids, Rows(np.searchsorted(code // len(names), np.arange(len(ids) + 1)), code % len(names), values, len(names))
 
 
 def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of the hybrid entropy clustering of each verb type, from (verb_type, instance, item, value).
 
-    One task per verb type; the rows of a verb type have to fit one task, as its instances by items do in numpy. Larger
-    ones go through flat.run first, whose clusters are then the instances here (see models.hybrid_model).
+    One task per verb type, which holds its rows and flat clusters by items. Larger ones get flat clusters first, which
+    are then the instances here (see models.hybrid_model).
     """
     rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, counts = _matrix(pdf)
-        terms = [min_entropy(counts)] + ([max_prior(np.ones(len(ids)), len(ids), prior_weight)] if prior_weight else [])
-        tree, at = hybrid(terms, counts, alpha, seed, limit)
+        ids, counts = _rows(pdf)
+        at = flat_sets(counts, FLAT_CLUSTERS, alpha, seed) if len(ids) > limit else np.arange(len(ids))
+        sets = int(at.max()) + 1
+        terms = [min_entropy(counts.sums(at, sets))] + ([max_prior(np.bincount(at), len(ids), prior_weight)] if prior_weight else [])
+        tree, at = capped(agglomerate(terms, check=False), at, MAX_DEPTH)
         nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, minlength=tree.n).tolist())
         leaves = pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": nodes["leaf_lo"].to_numpy()[at], "instance": ids})
         both = pd.concat([nodes, leaves], ignore_index=True)

@@ -131,13 +131,11 @@ def topic_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_frames(spark: SparkSession, d: str) -> DataFrame:
-    """A full argument model of question entropy over valid arguments of the five most frequent lemmas, cut by entropy:
-    the number of roles and arguments of each lemma."""
+    """A full argument model of question entropy over valid arguments of all lemmas, cut by entropy: the number of
+    roles and arguments of each lemma."""
     from verbloom.plans.distributions import arg_questions
 
     q = arg_questions(spark, d).filter("verb_lemma IS NOT NULL").select(c("verb_lemma").alias("verb_type"), c("arg_id").alias("instance"), c("question").alias("item"), c("weight").alias("value"))
-    often = q.groupBy("verb_type").agg(F.countDistinct("instance").alias("n")).orderBy(c("n").desc(), "verb_type").limit(5).select("verb_type")
-    q = cut(q.join(often, "verb_type"))
     nodes, leaves, _ = models.argument_model(models.parse("arg/qent"), {"questions": q})
     nodes, leaves = cut(nodes), cut(leaves)
     step = trees.entropy_cut(nodes, models.DEFAULT_CUT["arg_entropy"])
