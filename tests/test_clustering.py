@@ -165,6 +165,30 @@ def test_hard_em_recovers(spark):
     assert all(got[i] == got[i % 3] for i in range(30)) and len(set(got.values())) == 3
 
 
+def test_em_goes_on_until_every_verb_type_is_stable(spark, monkeypatch):
+    from pathlib import Path
+
+    from verbloom.plans import clustering
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test data here")
+    seen, run = {}, flat.run
+
+    def kept(dist, *args, **options):
+        seen["dist"], seen["out"] = dist, run(dist, *args, **options)
+        return seen["out"]
+
+    monkeypatch.setattr(flat, "run", kept)
+    clustering.em_until_stable(spark, "/root/testdata/sf0.01")
+    dist, out = seen["dist"], seen["out"]
+    again = flat.hard_step(flat.with_prior(flat.losses(dist, flat.estimate(dist, out, 0.01)), None))
+    mean = lambda d: {r[0]: r[1] for r in d.groupBy("verb_type").agg({"loss": "avg"}).collect()}
+    old, new = mean(out), mean(again)
+    assert out.count() == dist.select("verb_type", "instance").distinct().count() and all(old[v] - new[v] <= 1e-5 for v in old)
+    with pytest.raises(RuntimeError, match="stable"):
+        run(dist, flat.starting(dist, 8), 0.01, max_steps=2)
+
+
 def test_farthest_first_and_empty_cluster(spark):
     loss = spark.createDataFrame([("v", 0, "a", 1.0), ("v", 1, "a", 5.0), ("v", 2, "a", 5.0)], "verb_type string, instance bigint, cluster string, loss double")
     centre = loss.select("verb_type", "cluster").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbloom.functions.dist import dirichlet, log_sum_exp
+from verbloom.operators.agglom import MAX_STEPS
 from verbloom.session import cut
 
 c = F.col
@@ -77,19 +78,28 @@ def farthest_first(loss: DataFrame, centre: DataFrame) -> DataFrame:
     return near.groupBy("verb_type").agg(F.max_by("instance", F.struct("loss", F.negative("instance"))).alias("instance"))
 
 
-def run(dist: DataFrame, assign: DataFrame, alpha: float, soft: bool = False, delta: float | None = None, max_steps: int = 30) -> DataFrame:
-    """Expectation maximisation until the mean loss improves by no more than `delta` (hard 1e-5, soft 1e-8)."""
+def run(dist: DataFrame, assign: DataFrame, alpha: float, soft: bool = False, delta: float | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Expectation maximisation of each verb type until its mean loss improves by no more than `delta` (hard 1e-5, soft
+    1e-8); it then stays as it is while others go on. More than `max_steps` are an error."""
     delta = (1e-8 if soft else 1e-5) if delta is None else delta
-    dist, before = cut(dist), float("inf")
+    dist = cut(dist)
+    before: dict[str, float] = {}
+    done, going = None, dist
     for _ in range(max_steps):
-        loss = with_prior(losses(dist, estimate(dist, assign, alpha)), None)
-        assign = cut(soft_step(loss) if soft else hard_step(loss))
-        whole = assign.agg(F.avg("expected" if soft else "loss")).first()[0]
+        loss = with_prior(losses(going, estimate(going, assign, alpha)), None)
+        assign = cut((soft_step(loss) if soft else hard_step(loss)).withColumn("_mean", c("expected" if soft else "loss")))
+        means = {r[0]: r[1] for r in assign.groupBy("verb_type").agg(F.avg("_mean")).collect()}  # a row per verb type
         assign = assign.select(*INSTANCE, "cluster", "p", "loss")
-        if whole is None or before - whole <= delta:
-            break
-        before = whole
-    return assign
+        stable = [v for v, m in means.items() if before.get(v, float("inf")) - m <= delta]
+        before = means
+        if len(stable) == len(means):
+            return assign if done is None else done.unionByName(assign)
+        if stable:
+            over = c("verb_type").isin(stable)
+            out = assign.filter(over)
+            done = out if done is None else done.unionByName(out)
+            assign, going = assign.filter(~over), going.filter(~over)
+    raise RuntimeError(f"{len(before)} verb types aren't stable after {max_steps} steps")
 
 
 def size_prior(assign: DataFrame) -> DataFrame:

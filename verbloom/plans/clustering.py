@@ -46,7 +46,7 @@ def em_two_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def em_until_stable(spark: SparkSession, d: str) -> DataFrame:
     dist = s.dist(spark, d)
-    return s.rounded(flat.run(dist, flat.starting(dist, 8), ALPHA, max_steps=8).groupBy("verb_type", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss")), 4)
+    return s.rounded(flat.run(dist, flat.starting(dist, 8), ALPHA).groupBy("verb_type", "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss")), 4)
 
 
 def weighted_loss(spark: SparkSession, d: str) -> DataFrame:
