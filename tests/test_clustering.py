@@ -205,6 +205,19 @@ def test_large_groups_go_through_the_flat_stage(spark):
     assert sorted(r.instance for r in leaves.collect()) == list(range(40)) and nodes.filter("parent = -1").first()["size"] >= 1
 
 
+def test_large_groups_get_the_trees_of_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(flat.Blocks, "SIZE", 40)
+    rng = np.random.default_rng(4)
+    counts = np.vstack([rng.multinomial(30, p, 50) for p in rng.dirichlet(np.full(8, 0.3), 3)])
+    rows = [("v", 10 * i, f"w{j}", float(x)) for i, r in enumerate(counts) for j, x in enumerate(r) if x]
+    d = spark.createDataFrame(rows, "verb_type string, instance bigint, item string, value double")
+    one, many = models.hybrid_model(d, flat_clusters=6), models.hybrid_model(d, task_limit=100, flat_clusters=6)
+    a, b = (x[0].orderBy("node").toPandas() for x in (one, many))
+    assert a.drop(columns="loss").equals(b.drop(columns="loss")) and a.loss.tolist() == pytest.approx(b.loss.tolist())
+    assert b["size"].max() == 150 and b[b.left < 0]["size"].sum() == 150
+    assert sorted(map(tuple, one[1].collect())) == sorted(map(tuple, many[1].collect()))
+
+
 def test_cut_and_curve(spark):
     rows = [("v", i, "ab"[i // 3], 4.0) for i in range(6)]
     nodes, leaves = tree.clustered(spark.createDataFrame(rows, "verb_type string, instance bigint, item string, value double"))

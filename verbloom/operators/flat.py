@@ -7,12 +7,16 @@ spread over the cluster; only loops that need many steps write their small state
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbloom.functions.dist import dirichlet, log_sum_exp
-from verbloom.operators.agglom import MAX_STEPS
-from verbloom.session import cut
+from verbloom.operators.agglom import MAX_STEPS, Rows, hard_em
+from verbloom.session import cut, parallelism
 
 c = F.col
 INSTANCE = ["verb_type", "instance"]
@@ -102,6 +106,104 @@ def run(dist: DataFrame, assign: DataFrame, alpha: float, soft: bool = False, de
     raise RuntimeError(f"{len(before)} verb types aren't stable after {max_steps} steps")
 
 
+def _packed(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Parameters without the items that a cluster doesn't have, all of the row's smallest value."""
+    base = theta.min(axis=-1, keepdims=True)
+    at = np.flatnonzero(theta > base)
+    return base, at, theta.ravel()[at], theta.shape
+
+
+def _unpacked(base: np.ndarray, at: np.ndarray, values: np.ndarray, shape: tuple) -> np.ndarray:
+    theta = np.broadcast_to(base, shape).copy()
+    theta.ravel()[at] = values
+    return theta
+
+
+class Blocks:
+    """The rows of one verb type as a table of blocks of instances, for agglom.hard_em: each thing it asks for is a job.
+    The driver holds the clusters' parameters, and one loss per instance and trial while starting rows are drawn."""
+
+    SIZE = 2000
+
+    def __init__(self, dist: DataFrame):
+        x = dist.groupBy(c("instance").cast("bigint").alias("instance"), c("item").cast("string").alias("item")).agg(F.sum(c("value").cast("double")).alias("value"))
+        x = cut(x.filter("instance IS NOT NULL AND item IS NOT NULL"))
+        number = lambda name: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(name)) - 1
+        self.ids = cut(x.select("instance").distinct().withColumn("i", number("instance")))
+        names = cut(x.select("item").distinct().withColumn("j", number("item")))
+        self.n, self.width = self.ids.count(), names.count()
+        rows = x.join(self.ids, "instance").join(names, "item").groupBy(F.floor(c("i") / self.SIZE).alias("block"))
+        rows = rows.agg(F.sort_array(F.collect_list(F.struct("i", "j", "value"))).alias("x")).select("block", "x.i", "x.j", "x.value")
+        self.blocks = cut(rows.repartition(parallelism(dist.sparkSession), "block"))
+
+    def _mapped(self, f: Callable[[Iterator[tuple[int, Rows]]], Iterator[pd.DataFrame]], schema: str, blocks: DataFrame | None = None) -> DataFrame:
+        width = self.width
+
+        def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Rows]]:
+            for pdf in frames:
+                for block, i, j, value in pdf.itertuples(index=False):
+                    i = np.asarray(i)
+                    yield int(i[0]), Rows(np.searchsorted(i, np.arange(i[0], i[-1] + 2)), np.asarray(j), np.asarray(value, float), width)
+
+        return (self.blocks if blocks is None else blocks).mapInPandas(lambda frames: f(parts(frames)), schema)
+
+    def rows(self, at: list[int]) -> list[np.ndarray]:
+        def f(parts):
+            for lo, x in parts:
+                for i in sorted(set(at)):
+                    if lo <= i < lo + x.n:
+                        part = slice(x.start[i - lo], x.start[i - lo + 1])
+                        yield pd.DataFrame({"i": [i], "items": [x.items[part].tolist()], "values": [x.values[part].tolist()]})
+
+        got = self._mapped(f, "i bigint, items array<bigint>, values array<double>", self.blocks.filter(c("block").isin([i // self.SIZE for i in at]))).collect()
+        found = {r[0]: np.bincount(r[1], r[2], minlength=self.width) for r in got}
+        return [found[i] for i in at]
+
+    def under(self, thetas: list[np.ndarray]) -> list[np.ndarray]:
+        sent = _packed(np.array(thetas))
+
+        def f(parts):
+            for lo, x in parts:
+                yield pd.DataFrame({"i": [lo], "loss": [x.losses(_unpacked(*sent)).T.tobytes()]})
+
+        got = sorted(self._mapped(f, "i bigint, loss binary").collect())
+        return list(np.concatenate([np.frombuffer(r[1]).reshape(len(thetas), -1) for r in got], axis=1))
+
+    def step(self, thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        sent = [_packed(t) for t in thetas]
+
+        def f(parts):
+            whole = [_unpacked(*s) for s in sent]
+            loss, sums = np.zeros(len(whole)), [np.zeros(t.size) for t in whole]
+            lo = None
+            for lo, x in parts:
+                for k, (one, rows) in enumerate(x.step(whole)):
+                    loss[k] += one
+                    sums[k] += rows.ravel()
+            if lo is not None:
+                for k, s in enumerate(sums):
+                    at = np.flatnonzero(s)
+                    yield pd.DataFrame({"first": [lo], "trial": [k], "loss": [loss[k]], "at": [at.tobytes()], "sums": [s[at].tobytes()]})
+
+        out = [[0.0, np.zeros(t.shape)] for t in thetas]
+        for _, k, loss, at, sums in sorted(self._mapped(f, "first bigint, trial int, loss double, at binary, sums binary").collect()):
+            out[k][0] += loss
+            out[k][1].ravel()[np.frombuffer(at, np.int64)] += np.frombuffer(sums)
+        return [tuple(x) for x in out]
+
+    def sets(self, k: int, alpha: float, seed: int) -> DataFrame:
+        """(instance, set): the flat clusters that agglom.flat_sets gives the same rows."""
+        if self.n <= k:
+            return self.ids.select("instance", c("i").cast("bigint").alias("set"))
+        sent = _packed(hard_em(self, k, alpha, np.random.default_rng(seed)))
+
+        def f(parts):
+            for lo, x in parts:
+                yield pd.DataFrame({"i": np.arange(lo, lo + x.n), "set": x.closest(_unpacked(*sent))[0]})
+
+        return self._mapped(f, "i bigint, set bigint").join(self.ids, "i").select("instance", "set")
+
+
 def size_prior(assign: DataFrame) -> DataFrame:
     """(verb_type, cluster, prior): share of the instances."""
     n = assign.groupBy("verb_type", "cluster").agg(F.sum("p").alias("n"))

@@ -191,17 +191,22 @@ def combined(parts: list[tuple[DataFrame, float]]) -> DataFrame:
 
 def hybrid_model(dist: DataFrame, alpha: float = 0.01, task_limit: int = 20_000, flat_clusters: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of the hybrid clustering of verb types of any size: those up to `task_limit` instances within a
-    task each, larger ones by a distributed flat mixture whose clusters are then agglomerated as sets."""
+    task each; larger ones get the same flat clusters by jobs, which are then agglomerated as sets of their members."""
     dist = cut(dist)
     size = dist.groupBy("verb_type").agg(F.countDistinct("instance").alias("n"))
-    large = size.filter(c("n") > task_limit).select("verb_type")
+    large = cut(size.filter(c("n") > task_limit).select("verb_type"))
     small = dist.join(large, "verb_type", "left_anti")
-    nodes, leaves = trees.clustered(small, alpha, seed=seed)
-    if large.isEmpty():
+    nodes, leaves = trees.clustered(small, alpha, seed=seed, flat_clusters=flat_clusters)
+    at = None
+    for (name,) in large.collect():  # few: each has more than task_limit instances
+        own = flat.Blocks(dist.filter(c("verb_type") == F.lit(name))).sets(flat_clusters, alpha, seed)
+        own = own.select(F.lit(name).alias("verb_type"), "instance", "set")
+        at = own if at is None else at.unionByName(own)
+    if at is None:
         return nodes, leaves
-    big = cut(dist.join(large, "verb_type", "left_semi"))
-    at = flat.run(big, flat.starting(big, flat_clusters), alpha).select("verb_type", "instance", c("cluster").cast("bigint").alias("set"))
-    sets = big.join(at, ["verb_type", "instance"]).groupBy("verb_type", c("set").alias("instance"), "item").agg(F.sum("value").alias("value"))
-    top, inner = trees.clustered(sets, alpha, seed=seed, limit=flat_clusters)
+    at = cut(at)
+    n = at.groupBy("verb_type", "set").agg(F.count(F.lit(1)).alias("members"))
+    sets = dist.join(at, ["verb_type", "instance"]).groupBy("verb_type", "set", "item").agg(F.sum("value").alias("value")).join(n, ["verb_type", "set"])
+    top, inner = trees.clustered(sets.withColumnRenamed("set", "instance"), alpha, seed=seed, limit=flat_clusters)
     members = inner.withColumnRenamed("instance", "set").join(at, ["verb_type", "set"]).select("verb_type", "leaf", "instance")
     return nodes.unionByName(top), leaves.unionByName(members)

@@ -89,30 +89,31 @@ def frame(verb_type: str, tree: Tree, sizes: list[float], by: str = "per_count")
     })
 
 
-def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, Rows]:
+def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
     pdf = pdf.dropna(subset=["instance", "item"])
-    ids, i = np.unique(pdf["instance"].to_numpy(), return_inverse=True)
+    ids, first, i = np.unique(pdf["instance"].to_numpy(), return_index=True, return_inverse=True)
     j, names = pd.factorize(pdf["item"], sort=True)
     code, at = np.unique(i.astype(np.int64) * len(names) + j, return_inverse=True)
     values = np.bincount(at, pdf["value"].to_numpy(float))
-    return ids, Rows(np.searchsorted(code // len(names), np.arange(len(ids) + 1)), code % len(names), values, len(names))
+    return ids, Rows(np.searchsorted(code // len(names), np.arange(len(ids) + 1)), code % len(names), values, len(names)), pdf["members"].to_numpy()[first]
 
 
-def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0, flat_clusters: int = FLAT_CLUSTERS) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of the hybrid entropy clustering of each verb type, from (verb_type, instance, item, value).
 
     One task per verb type, which holds its rows and flat clusters by items. Larger ones get flat clusters first, which
-    are then the instances here (see models.hybrid_model).
+    are then the instances here, with a column `members` that counts theirs (see models.hybrid_model).
     """
-    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"))
+    members = c("members").cast("bigint") if "members" in dist.columns else F.lit(1).cast("bigint").alias("members")
+    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"), members)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, counts = _rows(pdf)
-        at = flat_sets(counts, FLAT_CLUSTERS, alpha, seed) if len(ids) > limit else np.arange(len(ids))
+        ids, counts, members = _rows(pdf)
+        at = flat_sets(counts, flat_clusters, alpha, seed) if len(ids) > limit else np.arange(len(ids))
         sets = int(at.max()) + 1
-        terms = [min_entropy(counts.sums(at, sets))] + ([max_prior(np.bincount(at), len(ids), prior_weight)] if prior_weight else [])
+        terms = [min_entropy(counts.sums(at, sets))] + ([max_prior(np.bincount(at, members), members.sum(), prior_weight)] if prior_weight else [])
         tree, at = capped(agglomerate(terms, check=False), at, MAX_DEPTH)
-        nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, minlength=tree.n).tolist())
+        nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, members, minlength=tree.n).tolist())
         leaves = pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": nodes["leaf_lo"].to_numpy()[at], "instance": ids})
         both = pd.concat([nodes, leaves], ignore_index=True)
         whole = {"leaf": "Int32", "instance": "Int64", "size": "Int64"} | {k: "Int32" for k in ("node", "parent", "left", "right", "depth", "leaf_lo", "leaf_hi", "born", "died")}
