@@ -80,3 +80,11 @@ def test_syntax(spark):
     lca = syntax.lowest_common(paths, spark.createDataFrame([("s", 0, 4)], "sentence_id string, a int, b int")).first()
     assert (lca.ancestor, lca.steps) == (1, 4)
     assert {(r.idx, r.b, r.e) for r in syntax.spans(paths).collect()} >= {(1, 0, 5), (3, 3, 5)}
+
+
+def test_closures_of_deep_trees_and_cycles(spark):
+    t = spark.createDataFrame([("s", i, i - 1) for i in range(150)], "sentence_id string, idx int, dep_head int")
+    got = syntax.closures(t)
+    assert got.count() == 150 * 151 // 2 and got.agg({"distance": "max"}).first()[0] == 149
+    with pytest.raises(ValueError, match="above itself"):
+        syntax.closures(spark.createDataFrame([("s", 0, 1), ("s", 1, 0)], t.schema))
