@@ -229,3 +229,32 @@ def test_no_records(spark):
     none = spark.createDataFrame([], "id bigint, part string, q array<struct<k:bigint,w:double>>, m array<struct<k:bigint,w:double>>")
     members, links = cluster.clusters(none)
     assert members.count() == 0 and links.count() == 0
+
+
+@pytest.mark.parametrize("enough", [1, 40, 3000])
+def test_walks_with_sorted_heads_equal_full_walks(enough):
+    rng = np.random.default_rng(7)
+    da, db = rng.random((30, 90)), rng.random((30, 70))
+    sizes = rng.integers(0, 3, (90, 70))
+    got = {r: (used, reached) for r, used, reached in neighbours._walks(da, db, sizes.tolist(), enough)}
+    for r in range(30):
+        d = (da[r][:, None] + db[r][None, :]).ravel()
+        order = np.argsort(d)
+        last = np.searchsorted(np.cumsum(sizes.ravel()[order]), enough)
+        assert got[r][1] == pytest.approx(d[order[last]])
+        assert got[r][0] == {int(x) // 70 for x in order[: last + 1] if sizes.ravel()[x]}
+
+
+def test_near_ones_of_equal_vectors_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    base = rng.random((30, 16))
+    m = np.concatenate([base + 0.01 * rng.random((30, 16)) for _ in range(4)] + [base[:3]] * 9)
+    ids = [i * 8 for i in range(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "id bigint, vec array<double>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = np.round(u @ u.T, 6)
+    want = {(ids[a], ids[b]) for a in range(len(m)) for b in sorted((b for b in range(len(m)) if b != a), key=lambda b: (-s[a, b], b))[:5] if s[a, b] >= 0.99}
+    got = {(r.id, r.other) for r in neighbours.nearest(df, 5, 16, least=0.99).collect()}
+    assert len(got - want) <= 2 and len(want - got) <= 2 and len(want) > 300  # float32 decides ties of the last digit
