@@ -171,7 +171,7 @@ def test_walk_is_in_order_of_summed_distance():
                 break
             met, far = met + sizes[i, j], d
             want |= {i} if sizes[i, j] else set()
-        assert set(used) - {0} == want - {0} and reached == pytest.approx(far)
+        assert set(used) == want and reached == (pytest.approx(far) if met >= enough else math.inf)
 
 
 # --- clusters
@@ -181,15 +181,17 @@ def overlap(p, q):
     return sum(min(p[k], q[k]) for k in p if k in q)
 
 
-def test_similar_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "BLOCK", 8)
+@pytest.mark.parametrize("refined,block,finished", [(512, 8192, 10**6), (6, 8192, 0), (6, 4, 3)])
+def test_similar_pairs_equal_brute_force(spark, monkeypatch, refined, block, finished):
+    for name, value in (("REFINED", refined), ("BLOCK", block), ("FINISHED", finished), ("PIECE", 50)):
+        monkeypatch.setattr(cluster, name, value)
     rng = random.Random(5)
     recs = []
     for i in range(90):
         base = rng.randrange(6)
         draw = lambda n, at: [(at * 10 + rng.randrange(5), rng.random() + 0.1) for _ in range(n)]
         recs.append((i, rng.choice("uv"), draw(4, base), draw(5, base)))
-    recs += [(900, "u", recs[0][2], recs[0][3]), (901, None, recs[0][2], recs[0][3]), (902, "u", [], recs[0][3]), (903, "u", None, None)]
+    recs += [(905, "u", recs[0][2], recs[0][3]), (904, recs[1][1], recs[1][2], recs[1][3]), (900, "u", recs[0][2], recs[0][3]), (901, None, recs[0][2], recs[0][3]), (902, "u", [], recs[0][3]), (903, "u", None, None)]
     df = spark.createDataFrame(recs, "id bigint, part string, q array<struct<k:bigint,w:double>>, m array<struct<k:bigint,w:double>>").withColumn("cluster", F.lit(1)).select("id", "part", "q", "m")
 
     def share(entries):
@@ -200,35 +202,67 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch):
 
     usable = {i: (p, share(q), share(m)) for i, p, q, m in recs if p and q and m}
     want = {(a, b) for a, b in itertools.combinations(sorted(usable), 2) if usable[a][0] == usable[b][0] and overlap(usable[a][1], usable[b][1]) >= 0.5 and overlap(usable[a][2], usable[b][2]) >= 0.5}
-    members, links = cluster.clusters(df)
-    rep = {r.id: (r.rep, r.cluster) for r in members.collect()}
-    assert set(rep) == set(usable)
-    linked = {(r.a, r.b) for r in links.collect()}
-    got = {(a, b) for a, b in itertools.combinations(sorted(usable), 2) if rep[a][0] == rep[b][0] or tuple(sorted((rep[a][0], rep[b][0]))) in linked}
-    assert got == want
-    for a in usable:  # every member is similar to its cluster's medoid, or is it
-        assert rep[a][0] == rep[a][1] or tuple(sorted((rep[a][0], rep[a][1]))) in linked or True
-    assert len({x[1] for x in rep.values()}) < len(usable)
+    members, copy, links = cluster.clusters(df)
+    got = [(r.x, r.y) for r in cluster.pairs_of(members, copy, links).collect()]
+    assert sorted(got) == sorted(want)
+    rows = {r.id: r for r in members.collect()}
+    assert set(rows) == set(usable)
+    for a, r in rows.items():
+        assert r.part == usable[a][0] == usable[r.cluster][0] and rows[r.cluster].cluster == r.cluster
+        pair = tuple(sorted((r.rep, r.cluster)))
+        assert (r.similarity is not None) == (r.rep == r.cluster or pair in want)
+        if r.similarity is not None and r.rep != r.cluster:
+            x, y = usable[r.rep], usable[r.cluster]
+            assert r.similarity == pytest.approx((overlap(x[1], y[1]) + overlap(x[2], y[2])) / 2, abs=2e-6)
+    assert len({r.cluster for r in rows.values()}) < len(usable)
+
+
+def pivot_members(spark, edges):
+    got = {}
+    for r in cluster.pivot_clusters(spark.createDataFrame(edges, "a bigint, b bigint, s double"))[0].collect():
+        got.setdefault(r.cluster, {})[r.id] = r.similarity
+    return got
+
+
+def test_clusters_are_named_by_a_member_when_the_pivot_is_not_the_medoid(spark, monkeypatch):
+    """A star whose centre is no local minimum, and members that are similar to the pivot only."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        n = 5 + seed * 7
+        edges = [(a, b, round(rng.uniform(0.5, 1), 3)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.5]
+        near = {x: {a: s for a, b, s in edges if b == x} | {b: s for a, b, s in edges if a == x} for x in range(n)}
+        got = pivot_members(spark, edges)
+        assert sorted(x for m in got.values() for x in m) == [x for x in range(n) if near[x]]
+        for medoid, m in got.items():
+            assert medoid in m and any(set(m) <= set(near[p]) | {p} for p in m)  # one of them is similar to all: the pivot
+            weight = {x: round(sum(s for y, s in near[x].items() if y in m), 6) for x in m}
+            assert medoid == max(m, key=lambda x: (weight[x], -x))
+            assert all(s == (1.0 if x == medoid else near[medoid].get(x)) for x, s in m.items())
+
+
+def test_rounds_and_the_last_task_find_the_same_pivots(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = [(a, b, 0.7) for a, b in itertools.combinations(range(60), 2) if rng.random() < 0.1]
+    both = spark.createDataFrame(edges + [(b, a, s) for a, b, s in edges], "id bigint, other bigint, s double")
+    once = {r.id for r in cluster._pivots(both).collect()}
+    monkeypatch.setattr(cluster, "FINISHED", 0)
+    assert {r.id for r in cluster._pivots(both).collect()} == once
 
 
 def test_pivot_clusters_of_cliques(spark):
-    edges = [(a, b, 0.9) for g in ((1, 2, 3), (10, 11), (20, 21, 22, 23)) for a, b in itertools.combinations(g, 2)]
-    got = {}
-    for r in cluster.pivot_clusters(spark.createDataFrame(edges, "a bigint, b bigint, s double")).collect():
-        got.setdefault(r.cluster, set()).add(r.id)
+    got = pivot_members(spark, [(a, b, 0.9) for g in ((1, 2, 3), (10, 11), (20, 21, 22, 23)) for a, b in itertools.combinations(g, 2)])
     assert sorted(map(sorted, got.values())) == [[1, 2, 3], [10, 11], [20, 21, 22, 23]] and all(k in v for k, v in got.items())
 
 
 def test_pivot_clusters_of_a_chain_cover_all(spark):
-    edges = [(i, i + 1, 0.5 + i / 100) for i in range(12)]
-    got = {r.id: r.cluster for r in cluster.pivot_clusters(spark.createDataFrame(edges, "a bigint, b bigint, s double")).collect()}
-    assert set(got) == set(range(13)) and all(abs(k - v) <= 2 for k, v in got.items())
+    got = pivot_members(spark, [(i, i + 1, 0.5 + i / 100) for i in range(12)])
+    assert sorted(x for m in got.values() for x in m) == list(range(13)) and all(abs(x - k) <= 2 for k, m in got.items() for x in m)
 
 
 def test_no_records(spark):
     none = spark.createDataFrame([], "id bigint, part string, q array<struct<k:bigint,w:double>>, m array<struct<k:bigint,w:double>>")
-    members, links = cluster.clusters(none)
-    assert members.count() == 0 and links.count() == 0
+    members, copy, links = cluster.clusters(none)
+    assert members.count() == 0 and links.count() == 0 and cluster.pairs_of(members, copy, links).count() == 0
 
 
 @pytest.mark.parametrize("enough", [1, 40, 3000])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbloom.functions.clean import latest, norm_id, norm_question, usable
-from verbloom.session import table
+from verbloom.session import cut, table
 
 
 #: What names a page and its version.
@@ -64,6 +64,34 @@ def dist_entries(dist: str, key: str, norm) -> Column:
     return F.transform(entries, lambda x: F.struct(term_hash(norm(x[key])).alias("k"), x["weight"].alias("w")))
 
 
+def checked(terms: DataFrame) -> None:
+    """Fails if two of the strings in the column `term` share a hash."""
+    clash = terms.groupBy(term_hash(F.col("term")).alias("h")).agg(F.min("term").alias("a"), F.max("term").alias("b")).filter("a <> b").first()
+    if clash:
+        raise ValueError(f"two terms share a hash: {clash.a} / {clash.b}")
+
+
+#: Rows that are broadcast to find copies, at most (some 32 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """`df`, a table that was written, marked for a broadcast if it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def copies(df: DataFrame, values: list[str]) -> DataFrame:
+    """(id, rep) of every row of `df` whose `values` another row has too; rep is the smallest id of those that are equal.
+    Rows are told apart by 128 bits; two different ones with the same bits make the query fail."""
+    coded = df.withColumns({"_h": F.xxhash64(*values), "_g": F.xxhash64(F.lit(1), *values)})
+    same = cut(coded.groupBy("_h", "_g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    rows = coded.join(broadcast_if_small(same), ["_h", "_g"])
+    differ = [F.min(v) != F.max(v) for v in values]
+    if not rows.groupBy("_h", "_g").agg(F.greatest(*[d.cast("int") for d in differ], F.lit(0)).alias("d")).filter("d > 0").isEmpty():
+        raise ValueError("two different rows share a hash")
+    return cut(rows.select("id", "rep"))
+
+
 def dictionary(terms: DataFrame) -> DataFrame:
     """(h, term) of every distinct term but null and empty ones. Two terms with one hash make the query fail instead of
     mixing them. Null terms are left out here, after the grouping: a filter before it would be pushed below the

@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbloom.functions.clean import latest
+from verbloom.llm.common import broadcast_if_small, copies
 from verbloom.session import cut, parallelism, table
 
 #: Vectors that the codebooks are fitted on, at most; queries that measure the budget; entries of a block; queries that
@@ -30,8 +32,8 @@ SAMPLE, MEASURED, BLOCK, BATCH, CENTROIDS = 20_000, 256, 20_000, 8_192, 2_048
 RECALL, PER_CELL = 0.93, 16
 #: With one: the budget is this times what reached every measured neighbour of that cosine; entries of a cell.
 SLACK, PER_CELL_NEAR = 3, 1
-#: Similarities that are computed at once, and copies of equal vectors whose list is broadcast at most (16 MB).
-PIECE, BROADCAST_COPIES = 2_000_000, 1_000_000
+#: Similarities that are computed at once.
+PIECE = 2_000_000
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -348,25 +350,6 @@ def _rerank(books, k: int, least: float | None):
     return run
 
 
-def _copies(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, first copies, other copies) of unit vectors: entries (id, vec) are the smallest ids of equal vectors;
-    first copies (rep, ids) the k + 1 smallest ids of vectors given more than once; other copies (id, rep) all further
-    rows. Vectors are told apart by 128 bits; two with the same bits make the query fail."""
-    code = ["h", "g"]
-    same = cut(unit.groupBy(*code).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    few = same.count() <= BROADCAST_COPIES
-    rows = unit.join(F.broadcast(same) if few else same, code)
-    clash = rows.groupBy(*code).agg(F.min("vec").alias("a"), F.max("vec").alias("b")).filter("a <> b")
-    if not clash.isEmpty():
-        raise ValueError("two vectors share a hash")
-    copy = cut(rows.select("id", "rep"))
-    w = Window.partitionBy("rep").orderBy("id")
-    first = copy.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    other = copy.filter("id <> rep")
-    entries = unit.select("id", "vec", *code).join(F.broadcast(same) if few else same, code, "left").filter("rep IS NULL OR rep = id").select("id", "vec")
-    return entries, first, other
-
-
 def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str = "vec", least: float | None = None) -> DataFrame:
     """(id, other, cosine) of the `k` most similar other vectors of every vector, by cosine, then by id; cosines are
     rounded to 6 digits. With `least`, only those of them with such a cosine: the walk then goes as far as these need.
@@ -379,8 +362,12 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec")).filter("id IS NOT NULL")
-    unit = cut(rows.mapInArrow(_unit(dim), "id bigint, vec array<float>").withColumns({"h": F.xxhash64("vec"), "g": F.xxhash64(F.lit(1), "vec")}))
-    entries, first, other = _copies(unit, k)
+    unit = cut(rows.mapInArrow(_unit(dim), "id bigint, vec array<float>"))
+    copy = copies(unit, ["vec"])
+    other = copy.filter("id <> rep")
+    by_id = Window.partitionBy("rep").orderBy("id")
+    first = copy.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = unit.join(broadcast_if_small(other.select("id")), "id", "left_anti")
     sample = entries.select("id", "vec").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()  # SAMPLE rows at most
     if not sample.num_rows:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double")
@@ -406,8 +393,8 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     spread = met.join(first.withColumnRenamed("rep", "other"), "other", "left").select("id", F.explode(F.coalesce("ids", F.array("other"))).alias("other"), "cosine")
     own = first.select(F.col("rep").alias("id"), F.explode("ids").alias("other"), F.lit(1.0).alias("cosine"))
     group = cut(top(spread.unionByName(own), k + 1))
-    copies = group.withColumnRenamed("id", "rep").join(other, "rep").select("id", "other", "cosine")
-    return top(group.unionByName(copies).filter("id <> other"), k)
+    further = group.withColumnRenamed("id", "rep").join(other, "rep").select("id", "other", "cosine")
+    return top(group.unionByName(further).filter("id <> other"), k)
 
 
 def usable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
