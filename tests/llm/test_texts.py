@@ -100,9 +100,46 @@ LINE = "Read the passage below and answer every question."
 
 
 def test_instruction_lines_are_left_out():
-    items = [(k, f"{LINE}\n\n{PASSAGE} {k}") for k in range(3)] + [(3, f"other words {PASSAGE}\n\n{LINE}"), (4, None), (5, "...")]
-    got = dict(leaks.passages(items))
-    assert set(got) == {0, 1, 2, 3} and all("answer" not in w for w in got.values())
+    whole = leaks.words(PASSAGE)
+    assert leaks.passage(f"{LINE}\n\n{PASSAGE}") == leaks.passage(f"{PASSAGE}\n \n{LINE}") == leaks.passage(PASSAGE) == whole
+    assert leaks.passage(f"{LINE}\n\n{PASSAGE}\n\n{PASSAGE}") == whole * 2
+    assert leaks.passage(f"{LINE}\n\n{PASSAGE}", instructions=False) == leaks.words(LINE) + whole
+    assert leaks.passage(None) == leaks.passage("...") == leaks.passage(" \n\n ") == []
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_a_passage_of_many_items_is_found_for_all(spark, n):
+    items = spark.createDataFrame([(k, f"{PASSAGE}\n\nQuestion {k}: which tower?") for k in range(n)] * 2, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{LINE} {PASSAGE}"), (2, LINE), (3, "Question 1: which tower?")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaking(docs, items).collect()) == [(1, k) for k in range(n)]
+
+
+def test_short_items_are_reported(spark):
+    items = spark.createDataFrame([(1, "seven words are one less than eight"), (2, None), (3, ""), (4, PASSAGE)], "item_id bigint, text string")
+    got = sorted(leaks.looked_for(items).collect())
+    assert [tuple(r) for r in got] == [(1, 7, False), (2, 0, False), (3, 0, False), (4, len(leaks.words(PASSAGE)), True)]
+
+
+@pytest.mark.parametrize("shard", [30, 10**6])
+def test_removal(spark, monkeypatch, shard):
+    monkeypatch.setattr(leaks, "SHARD_WORDS", shard)
+    long = [f"w{i}" for i in range(200)]
+    items = spark.createDataFrame([(1, PASSAGE), (2, " ".join(long)), (3, " ".join(long[20:60]))], "item_id bigint, text string")
+    head, tail = "Ünlike\tthis:\n\n", "\n\n  and  so on &amp; on."
+    docs = [
+        (1, head + PASSAGE + tail, head + tail), (2, head + "<p>" + PASSAGE.replace("old", "<b>old</b>").replace("it isn't", "it isn&#x27;t") + "</p>" + tail, None),
+        (3, head + " ".join(long[100:140]) + tail, head + tail), (4, head + " ".join(long[100:120]) + tail, ""), (5, head + " ".join(long[10:70]) + tail + " " + PASSAGE, head + tail + " "), (6, None, ""), (7, "", ""), (8, "nothing of it", ""),
+    ]
+    got = {r.doc_id: r for r in leaks.cleaned(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string"), items).collect()}
+    assert set(got) == {1, 2, 3, 5}
+    for key, text, want in docs:
+        if key in got:
+            r = got[key]
+            left = "".join(text[a:b] for a, b in zip([0] + [x.end for x in r.spans], [x.begin for x in r.spans] + [len(text)]))
+            assert r.text == left and r.removed_chars == len(text) - len(left) and (want is None or left == want)
+            assert "judge" not in left and left.startswith(head) and "so on &amp; on." in left
+    clean = spark.createDataFrame([(k, r.text) for k, r in got.items()], "doc_id bigint, text string")
+    assert leaks.leaking(clean, items).count() == 0 and leaks.cleaned(clean, items).count() == 0
 
 
 @pytest.mark.parametrize("dress", [
