@@ -40,6 +40,7 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,13 +70,15 @@ def _kept(kind: T.DataType, paths: list[list[str]]) -> T.DataType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where a session has none (tests), a new one of our own."""
+    """The folder of spark.checkpoint.dir; only where a local session has none (tests), a new one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="verbloom-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -99,6 +102,13 @@ def written(df: DataFrame, *partition_by: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a table of `written` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of partitions for steps that name one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
