@@ -71,27 +71,41 @@ def _tails(total: int):
     return run
 
 
-def distinctive(records: DataFrame) -> DataFrame:
-    """(id, k, share, n_records, n_holding, score, enrichment) of every term hash k of every record.
+def _entries(records: DataFrame) -> tuple[DataFrame, int]:
+    """(id, k, share, n_holding) of every term of every record, and the number of records with a term."""
+    entry = records.select("id", F.explode("terms").alias("t")).groupBy("id", F.col("t.k").alias("k")).agg(F.sum("t.w").alias("w"))
+    entry = cut(entry.select("id", "k", (F.col("w") / F.sum("w").over(Window.partitionBy("id"))).alias("share")))
+    n = entry.agg(F.countDistinct("id")).first()[0]
+    held = entry.groupBy("k").agg(F.count(F.lit(1)).alias("n_holding"))
+    return entry.join(held, "k").select("id", "k", "share", "n_holding"), n
+
+
+def scored(records: DataFrame) -> DataFrame:
+    """(id, k, share, n_records, n_holding, score) of every term hash k of every record.
 
     `records` has `id` and `terms`, an array of (k, w) with w > 0; weights of equal terms add up. Records that are null
-    or empty count for nothing. score = share * ln(n_records / n_holding) rounded to 6 digits; enrichment = -log10 of
-    the hypergeometric upper tail of the term's count (share * DRAWS, rounded, at least 1), adjusted within the record
-    by Benjamini and Hochberg, rounded to 4 digits. A term that all hold has score 0. Ids have to be unique.
+    or empty count for nothing. score = share * ln(n_records / n_holding) rounded to 6 digits; a term that all hold has
+    score 0. Ids have to be unique.
     """
+    entry, n = _entries(records)
+    return entry.withColumns({"n_records": F.lit(n), "score": F.round(F.col("share") * F.log(F.lit(float(n)) / F.col("n_holding")), 6)})
+
+
+def distinctive(records: DataFrame) -> DataFrame:
+    """`scored` with `enrichment`: -log10 of the hypergeometric upper tail of the term's count (share * DRAWS, rounded, at
+    least 1), adjusted within the record by Benjamini and Hochberg, rounded to 4 digits."""
     own = Window.partitionBy("id")
-    entry = records.select("id", F.explode("terms").alias("t")).groupBy("id", F.col("t.k").alias("k")).agg(F.sum("t.w").alias("w"))
-    entry = entry.withColumn("share", F.col("w") / F.sum("w").over(own)).withColumn("count", F.greatest(F.round(F.col("share") * DRAWS), F.lit(1)).cast("bigint"))
-    entry = cut(entry.withColumn("drawn", F.sum("count").over(own)).drop("w"))
-    totals = entry.agg(F.countDistinct("id").alias("n"), F.sum("count").alias("m")).first()
-    held = entry.groupBy("k").agg(F.count(F.lit(1)).alias("n_holding"), F.sum("count").alias("marked"))
-    both = entry.join(held, "k").select("id", "k", "share", "n_holding", "count", "marked", "drawn")
-    tails = both.mapInArrow(_tails(totals["m"] or 0), "id bigint, k bigint, share double, n_holding bigint, count bigint, marked bigint, drawn bigint, log_p double")
+    both = scored(records).withColumn("count", F.greatest(F.round(F.col("share") * DRAWS), F.lit(1)).cast("bigint"))
+    both = cut(both.withColumns({"drawn": F.sum("count").over(own)}))
+    total = both.agg(F.sum("count")).first()[0] or 0
+    marked = both.groupBy("k").agg(F.sum("count").alias("marked"))
+    shape = "id bigint, k bigint, share double, n_holding bigint, n_records bigint, score double, count bigint, drawn bigint, marked bigint"
+    rows = both.join(marked, "k").selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in shape.split(", ")])
+    tails = rows.mapInArrow(_tails(total), f"{shape}, log_p double")
     by_p = own.orderBy("log_p", "k")
     ranked = tails.withColumn("i", F.row_number().over(by_p)).withColumn("adjusted", F.col("log_p") + F.log(F.count(F.lit(1)).over(own) / F.col("i")))
     lowest = F.least(F.min("adjusted").over(by_p.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
-    score = F.round(F.col("share") * F.log(F.lit(float(totals["n"])) / F.col("n_holding")), 6)
-    return ranked.select("id", "k", "share", F.lit(totals["n"]).alias("n_records"), "n_holding", score.alias("score"), F.round(-lowest / F.lit(float(np.log(10))), 4).alias("enrichment"))
+    return ranked.select("id", "k", "share", "n_records", "n_holding", "score", F.round(-lowest / F.lit(float(np.log(10))), 4).alias("enrichment"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +120,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most characteristic question of each argument, of those that two arguments or more have."""
     records, terms = _questions(spark, sf_dir)
     w = Window.partitionBy("id")
-    best = distinctive(records).filter("n_holding >= 2").select("id", "k", "score").withColumn("r", F.rank().over(w.orderBy(F.col("score").desc()))).filter("r = 1")
+    best = scored(records).filter("n_holding >= 2").select("id", "k", "score").withColumn("r", F.rank().over(w.orderBy(F.col("score").desc()))).filter("r = 1")
     named = best.join(dictionary(terms).withColumnRenamed("h", "k"), "k")
     first = named.groupBy("id").agg(F.min("term").alias("question"))
     return first.select(F.col("id").alias("arg_id"), "question")
