@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,26 @@ def test_frequencies(spark, leaf):
     assert got == want
 
 
+def test_spilled_tables_are_removed(spark):
+    from pathlib import Path
+
+    from verbloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    termfreq.frequencies(spark.createDataFrame([([1, 2, 2],)] * 50, "items array<bigint>"), 1).collect()
+    assert not list(folder.glob("table-*"))
+
+
+@pytest.mark.parametrize("rows", [termfreq.LEAF_ROWS, 6_000_000])
+def test_leaves_fit_or_spill(rows, tmp_path, monkeypatch):
+    """A full leaf of distinct terms, and one that DuckDB's memory doesn't hold."""
+    monkeypatch.setattr(termfreq.SparkFiles, "getRootDirectory", lambda: str(tmp_path))
+    one = np.ones(rows, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.arange(rows)), pa.array(one), pa.array(one)], ["leaf", "h", "occurrences", "records"])
+    assert sum(b.num_rows for b in termfreq._aggregate(iter([batch.slice(i, 500_000) for i in range(0, rows, 500_000)]))) == rows
+    assert not list(tmp_path.iterdir())
+
+
 def test_frequencies_of_nothing_and_marks(spark):
     assert termfreq.frequencies(spark.createDataFrame([], "items array<bigint>")).count() == 0
     f = spark.createDataFrame([(1, 9, 2), (2, 9, 3), (3, 9, 11)], "h bigint, occurrences bigint, records bigint")

@@ -2,15 +2,19 @@
 
 Method: recursive radix spilling. Each task combines its own occurrences, the partial counts are spilled to the
 shared folder in partitions by the leading bits of the term's hash, partitions above the row limit are split again
-by further bits until all are small, and DuckDB aggregates each leaf with bounded memory.
+by further bits until all are small, and DuckDB aggregates each leaf with bounded memory, out of core where it has to.
 """
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +22,10 @@ from verbloom.functions.clean import norm_id
 from verbloom.llm.common import dictionary, dist_entries, question_strings, span_question_records, valid_args
 from verbloom.llm.cooccur import NORM_Q
 from verbloom.llm.topn import NORM_ID, VALID_SPANS
-from verbloom.session import table, written
+from verbloom.session import cut, dropped, parallelism, table, written
 
 #: Bits of the hash that split a partition at each level, rows that a leaf may hold, and distinct terms a task combines at once.
-RADIX_BITS, LEAF_ROWS, COMBINE_TERMS = 5, 4_000_000, 1_000_000
+RADIX_BITS, LEAF_ROWS, COMBINE_TERMS = 5, 2_000_000, 1_000_000
 _PARTIAL = "h bigint, occurrences bigint, records bigint"
 
 
@@ -64,10 +68,12 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """DuckDB's sums over the leaves of one Spark partition, a leaf at a time."""
+    """DuckDB's sums over the leaves of one Spark partition, a leaf at a time. What doesn't fit in its memory goes to
+    Spark's own scratch space of this executor, for as long as the task runs."""
     import duckdb
 
-    con = duckdb.connect(config={"memory_limit": "384MB", "threads": 1, "temp_directory": ""})
+    scratch = tempfile.mkdtemp(prefix="leaf-", dir=SparkFiles.getRootDirectory())
+    con = duckdb.connect(config={"memory_limit": "384MB", "threads": 1, "temp_directory": scratch})
     leaf, held = None, []
 
     def done() -> pa.Table:
@@ -75,19 +81,23 @@ def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = con.sql("SELECT h, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM leaf_rows GROUP BY h").arrow()
         return got.read_all() if hasattr(got, "read_all") else got
 
-    for batch in batches:
-        leaves = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = np.r_[0, np.flatnonzero(np.diff(leaves)) + 1, len(leaves)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b == a:
-                continue
-            if leaf is not None and leaves[a] != leaf:
-                yield from done().to_batches()
-                held = []
-            leaf = leaves[a]
-            held.append(batch.slice(a, b - a).select(["h", "occurrences", "records"]))
-    if held:
-        yield from done().to_batches()
+    try:
+        for batch in batches:
+            leaves = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(np.diff(leaves)) + 1, len(leaves)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b == a:
+                    continue
+                if leaf is not None and leaves[a] != leaf:
+                    yield from done().to_batches()
+                    held = []
+                leaf = leaves[a]
+                held.append(batch.slice(a, b - a).select(["h", "occurrences", "records"]))
+        if held:
+            yield from done().to_batches()
+    finally:
+        con.close()
+        shutil.rmtree(scratch, ignore_errors=True)
 
 
 def _bits(level: int):
@@ -95,15 +105,23 @@ def _bits(level: int):
     return F.shiftrightunsigned("h", 64 - RADIX_BITS * (level + 1)).bitwiseAND(2**RADIX_BITS - 1).cast("int")
 
 
+def _spilled(rows: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """Partial counts as a table partitioned `by` hash bits. They are brought together before, spread by further bits, so
+    that a level writes about as many files as there are tasks."""
+    n = parallelism(rows.sparkSession)
+    return written(rows.repartition(n, *by, F.pmod("h", F.lit(max(1, n >> RADIX_BITS)))), *by)
+
+
 def frequencies(records: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(h, occurrences, records) of every term hash in the arrays `items` of `records`.
 
     Repeats within a record are occurrences, the record counts once. Null records, empty records and null items count
-    for nothing; empty input gives an empty result. Other columns of `records` are ignored.
+    for nothing; empty input gives an empty result. Other columns of `records` are ignored. The spilled tables are
+    removed once the result is written.
     """
     lists = records.select(F.array_compact("items").alias("items"))
-    spilled, _ = written(lists.mapInArrow(_partial, _PARTIAL).withColumn("b0", _bits(0)), "b0")
-    leaves, level, pending = [], 0, spilled.withColumn("leaf", F.col("b0").cast("bigint"))
+    spilled, path = _spilled(lists.mapInArrow(_partial, _PARTIAL).withColumn("b0", _bits(0)), "b0")
+    leaves, paths, level, pending = [], [path], 0, spilled.withColumn("leaf", F.col("b0").cast("bigint"))
     while True:  # ends: a level splits by 5 of 64 bits, and rows of one hash are at most one or two a task
         sizes = {r.leaf: r["count"] for r in pending.groupBy("leaf").count().collect()}  # 2^5 rows for each split partition
         big = [k for k, n in sizes.items() if n > leaf_rows] if RADIX_BITS * (level + 2) <= 60 else []
@@ -112,14 +130,18 @@ def frequencies(records: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
             break
         level += 1
         split = pending.filter(F.col("leaf").isin(big)).select("h", "occurrences", "records", F.col("leaf").alias("up"), _bits(level).alias(f"b{level}"))
-        part, _ = written(split, "up", f"b{level}")
+        part, path = _spilled(split, "up", f"b{level}")
+        paths.append(path)
         pending = part.withColumn("leaf", (F.col("up") * 2**RADIX_BITS + F.col(f"b{level}")).cast("bigint"))
     columns = ["leaf", "h", "occurrences", "records"]
     rows = None
     for at, x in enumerate(leaves):
         own = x.select((F.col("leaf") * 16 + at).cast("bigint").alias("leaf"), *columns[1:])
         rows = own if rows is None else rows.unionByName(own)
-    return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_aggregate, _PARTIAL)
+    out = cut(rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_aggregate, _PARTIAL))
+    for path in paths:
+        dropped(records.sparkSession, path)
+    return out
 
 
 def marked(freq: DataFrame, n_records: int, rare_under: int = 3, common_over: int = 10) -> DataFrame:
@@ -139,8 +161,6 @@ def item_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field(name: str, records: DataFrame, terms: DataFrame) -> DataFrame:
-    from verbloom.session import cut
-
     records = cut(records)
     freq = marked(frequencies(records), records.count())
     return freq.join(dictionary(terms), "h").select(F.lit(name).alias("field"), "term", "occurrences", "records", "mark")
