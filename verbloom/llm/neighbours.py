@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from verbloom.functions.clean import latest
 from verbloom.llm.common import broadcast_if_small, copies
-from verbloom.session import cut, parallelism, table
+from verbloom.session import cut, table
 
 #: Vectors that the codebooks are fitted on, at most; queries that measure the budget; entries of a block; queries that
 #: are compared at once; centroids of a half, at most (so cells and their sizes are bounded: 16 MB).
-SAMPLE, MEASURED, BLOCK, BATCH, CENTROIDS = 20_000, 256, 20_000, 8_192, 2_048
+SAMPLE, MEASURED, BLOCK, BATCH, CENTROIDS = 20_000, 256, 12_000, 8_192, 2_048
 #: Without a least cosine: share of all neighbours that the budget has to reach, and entries of a cell, were all even.
 RECALL, PER_CELL = 0.93, 16
 #: With one: the budget is this times what reached every measured neighbour of that cosine; entries of a cell.
-SLACK, PER_CELL_NEAR = 3, 1
+SLACK, PER_CELL_NEAR = 4, 1
 #: Similarities that are computed at once.
 PIECE = 2_000_000
 
@@ -206,6 +206,14 @@ def _blocks(by_row: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, pieces, at + 1
 
 
+def _partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of `n` blocks, so that a repartition by it puts every block into a partition of its own."""
+    tried = spark.range(20 * n + 200).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).toArrow()  # n rows
+    keys = np.arange(n)
+    keys[tried.column(0).to_numpy()] = tried.column(1).to_numpy()
+    return keys
+
+
 def _piece(ids: np.ndarray) -> np.ndarray:
     """A number of an id without the regularities of ids (the last step of a 64-bit mixer)."""
     x = ids.astype(np.uint64)
@@ -214,7 +222,7 @@ def _piece(ids: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
-def _routes(books, sizes, blocks, enough: int):
+def _routes(books, sizes, blocks, keys, enough: int):
     """A row for the block that a vector is an entry of (is_query false), and one for each block that it has to be
     compared with (is_query true), with the summed distance up to which cells count."""
 
@@ -236,7 +244,7 @@ def _routes(books, sizes, blocks, enough: int):
                     reach += [reached] * len(to)
                 query = np.arange(len(row)) >= len(m)
                 take = pa.array(row)
-                columns = [pa.array(block, pa.int64()), pa.array(query), *(b.column(c).take(take) for c in range(4)), pa.array(reach, pa.float64())]
+                columns = [pa.array(keys.value[block]), pa.array(query), *(b.column(c).take(take) for c in range(4)), pa.array(reach, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "is_query", "id", "vec", "i", "j", "reach"])
 
     return run
@@ -254,7 +262,7 @@ def _rerank(books, k: int, least: float | None):
         begin, many = cuts[:-1], np.diff(cuts)  # of cells
         rows = np.r_[0, np.flatnonzero(np.diff(ci[begin])) + 1, len(begin)]  # cells of one first centroid stand together
         da, db = _distances(qm[:, :half], ca[ci[begin[rows[:-1]]]]), _distances(qm[:, half:], cb)
-        slack = reach + 1e-5
+        slack, nearest_b = reach + 1e-5, db.min(axis=1)
         lowest = -2.0 if least is None else least - 1e-5
         got: list[tuple] = []  # query, entry, similarity
 
@@ -269,7 +277,7 @@ def _rerank(books, k: int, least: float | None):
         floor, held = np.full(len(qid), lowest, np.float32), 0  # what a similarity has to reach to matter
         for x, (c0, c1) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
             rest = slack - da[:, x]
-            near = np.flatnonzero(rest >= 0)
+            near = np.flatnonzero(rest >= nearest_b)
             step = max(1, PIECE // int(cuts[c1] - cuts[c0]))
             for at in range(0, len(near), step):
                 sub = near[at : at + step]
@@ -382,9 +390,10 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, key: str = "id", vec: str
     sizes[held.column(0).to_numpy(), held.column(1).to_numpy()] = held.column(2).to_numpy()
     enough = _budget(entry, books, sizes, (sample_ids[:MEASURED], x[:MEASURED]), k, least)
     *blocks, n_blocks = _blocks(sizes.sum(axis=1, dtype=np.int64), _by_place(books.value[0]))
-    share = [spark.sparkContext.broadcast(v) for v in (sizes, tuple(blocks))]
+    keys = _partition_keys(spark, n_blocks)
+    share = [spark.sparkContext.broadcast(v) for v in (sizes, tuple(blocks), keys)]
     routed = entry.mapInArrow(_routes(books, *share, enough), "block bigint, is_query boolean, id bigint, vec array<float>, i int, j int, reach double")
-    met = routed.repartition(max(parallelism(spark), n_blocks), "block").sortWithinPartitions("block", "is_query").mapInArrow(_rerank(books, k, least), "id bigint, other bigint, cosine double")
+    met = routed.repartition(n_blocks, "block").sortWithinPartitions("block", "is_query").mapInArrow(_rerank(books, k, least), "id bigint, other bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     top = lambda rows, k: rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
     if other.isEmpty():
