@@ -60,7 +60,7 @@ def valid_args(df: DataFrame, *payload: Column) -> DataFrame:
 
 def dist_entries(dist: str, key: str, norm) -> Column:
     """Usable entries of a distribution as array<struct<k: 64-bit hash, w: double>>; keys may repeat."""
-    entries = F.filter(F.coalesce(F.col(dist), F.array()), lambda x: usable(x["weight"]) & norm(x[key]).isNotNull())
+    entries = F.filter(F.coalesce(F.col(dist), F.array()), lambda x: usable(x["weight"]) & x[key].isNotNull())
     return F.transform(entries, lambda x: F.struct(term_hash(norm(x[key])).alias("k"), x["weight"].alias("w")))
 
 
