@@ -243,8 +243,8 @@ def test_model_strings():
     assert models.parse("arg/syntf").key != models.parse("arg/syntf+").key
     three = models.parse("arg/qent+pent+dv")
     assert set(three.terms.values()) == {0.33}
-    assert models.parse("arg/msc->qent*2+pent").side == frozenset({"modal", "syntf2"})
-    assert models.side_flags("gr") == frozenset({"gold_wsense"}) and models.side_flags("xyz") == frozenset()
+    assert models.parse("arg/msc->qent*2+pent").side == frozenset({"modal", "syntf"})
+    assert models.side_flags("gr") == frozenset({"gold_nosense"}) and models.side_flags("cr") == frozenset({"syntf2", "gold_wsense"}) and models.side_flags("xyz") == frozenset()
     assert models.parse("verb/gold").kind == "baseline" and models.parse("joint/mlm_masked+qent").index == "joint"
     for bad in ("arg/none", "verb/qent", "text", "arg/"):
         with pytest.raises(ValueError):
@@ -270,3 +270,90 @@ def test_noise_and_random(spark):
     changed = noisy.join(labels.withColumnRenamed("label", "old"), ["verb_type", "instance"]).filter("label <> old").count()
     assert 5 <= changed <= 50 and noisy.count() == 400
     assert models.random_clusters(labels, 3, 1).select("cluster").distinct().count() == 3
+
+
+def _choose(name, points, t):
+    """The rules of the criteria over the points of one verb type, in order of steps: dicts of loss, sizes, losses."""
+    import math
+
+    n = sum(points[0]["sizes"])
+    loss = lambda p: sum(p["losses"])
+    mixing = lambda ws: sum(-w * math.log(w / sum(ws)) for w in ws)
+    top = lambda p: max(x / s for x, s in zip(p["losses"], p["sizes"]))
+
+    def last_above(f):
+        by = sorted(points, key=lambda p: -f(p))
+        above = []
+        for p in by:
+            if f(p) <= t:
+                break
+            above.append(p)
+        return above[-1] if above else by[0]
+
+    if name == "num-clusters":
+        return next((p for p in points if len(p["sizes"]) >= t), points[-1])
+    if name == "cut-delta":
+        by = sorted(points, key=loss)
+        passing = 0
+        while passing + 1 < len(by) and loss(by[passing + 1]) - loss(by[passing]) < t * n:
+            passing += 1
+        return by[max(passing - 1, 0)]
+    if name in ("loss", "max-loss"):
+        return last_above((lambda p: loss(p) / n) if name == "loss" else top)
+    score = {
+        "entropy": lambda p: loss(p) + t * mixing(p["sizes"]), "wentropy": lambda p: loss(p) + t * mixing(p["weights"]), "max-entropy": lambda p: top(p) + t * mixing(p["sizes"]) / n,
+        "log-penalty": lambda p: loss(p) + t * math.log(len(p["sizes"])) * n, "linear-penalty": lambda p: loss(p) + t * len(p["sizes"]) * n, "sq-nclusters": lambda p: loss(p) + t * len(p["sizes"]) ** 2,
+    }[name]
+    return min(points, key=score)
+
+
+def test_criteria_choose_by_their_rules(spark):
+    """Trees of two verb types: what each criterion chooses, from the lists of clusters of every cut."""
+    rng = np.random.default_rng(3)
+    rows = [(v, i, f"i{j}", float(x)) for v, n in (("a", 14), ("b", 9)) for i in range(n) for j, x in enumerate(rng.integers(0, 9, 6)) if x]
+    nodes, leaves = tree.clustered(spark.createDataFrame(rows, "verb_type string, instance long, item string, value double"))
+    weights = spark.createDataFrame([(v, i, float(1 + (i * 7) % 5)) for v in "ab" for i in range(14)], "verb_type string, instance long, weight double")
+    gold = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(14)], "instance long, label string")
+    nodes = tree.weighted(nodes, leaves, weights).cache()
+    points = tuning.curve(nodes, leaves, gold).cache()
+    alive = nodes.toPandas()
+    by_verb = {}
+    for v, own in alive.groupby("verb_type"):
+        at = []
+        for step in sorted({int(x) for x in own["born"]}):
+            now = own[(own["born"] <= step) & (step < own["died"])]
+            at.append({"step": step, "losses": now["loss"].tolist(), "sizes": now["size"].tolist(), "weights": now["weight"].tolist()})
+        by_verb[v] = at
+    assert all(abs(sum(p[0]["weights"]) - sum(1 + (i * 7) % 5 for i in range(n))) < 1e-9 for p, n in ((by_verb["a"], 14), (by_verb["b"], 9)))
+    for r in points.collect():
+        p = next(p for p in by_verb[r.verb_type] if p["step"] == r.step)
+        assert r.top_loss == pytest.approx(max(x / s for x, s in zip(p["losses"], p["sizes"])))
+    for name in tuning.GRIDS:
+        if name != "oracle":
+            ts = tuning.GRIDS[name][:: max(1, len(tuning.GRIDS[name]) // 9)]
+            got = {(r.verb_type, r.t): r.step for r in tuning.chosen(points, f"{name}={','.join(map(str, ts))}").collect()}
+            assert got == {(v, float(t)): _choose(name, p, t)["step"] for v, p in by_verb.items() for t in ts}, name
+
+
+def test_split_by_the_chosen_setting(spark):
+    rows = [("a", i, f"i{i % 3}", 5.0) for i in range(9)]
+    nodes, leaves = (x.cache() for x in tree.clustered(spark.createDataFrame(rows, "verb_type string, instance long, item string, value double")))
+    points = tuning.curve(nodes, leaves, spark.createDataFrame([(i, f"l{i % 3}") for i in range(9)], "instance long, label string")).cache()
+    for name, t in (("num-clusters", 3.0), ("entropy", 0.5), ("sq-nclusters", 0.1), ("log-penalty", 0.5)):
+        out = tuning.split_by(nodes, leaves, points, name, t).collect()
+        assert sorted(r.instance for r in out) == list(range(9))
+        assert len({r.cluster for r in out}) == 3, name
+    best = tuning.best_setting(tuning.tuned_all(points, list(tuning.GRIDS))).collect()
+    assert len(best) == 1 and best[0].criterion != "oracle" and best[0].f1 == pytest.approx(1.0)
+
+
+def test_side_labels(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("would", "MOD", "A", "AM-MOD"), ("no longer", "NEG", "N", "AM-NEG"), ("on the other hand", "ADV", "D", "AM-DIS"), ("then", "TMP", "T", "AM-TMP"), ("the dog", "SBJ", "OBJ", "A0"), (None, "OBJ", None, "A1")]
+    df = spark.createDataFrame(rows, "text string, f string, g string, role string")
+    c = F.col
+    label = lambda flags: [r[0] for r in df.select(models.side_label(models.side_flags(flags), c("text"), c("f"), c("g"), c("role"), F.lit("go.01"))).collect()]
+    assert label("mnad") == ["MODAL", "NEG", "DIS", "TMP", None, None]
+    assert label("s") == ["MOD", "NEG", "ADV", "TMP", "SBJ", "OBJ"] and label("c") == ["A", "N", "D", "T", "OBJ", None]
+    assert label("mg") == ["MODAL", "AM-NEG", "AM-DIS", "AM-TMP", "A0", "A1"] and label("r")[-1] == "go.01.A1" and label("") == [None] * 6

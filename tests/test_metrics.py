@@ -59,8 +59,9 @@ def test_label_never_together_has_minus_one(spark):
 def test_smoothing_and_groups(spark):
     from pyspark.sql import functions as F
 
+    from verbloom.functions import lexicon
     from verbloom.functions.dist import shrunk
 
     assert spark.range(1).select(shrunk(F.lit(0.5), F.lit(2.0), F.lit(0.8), 10)).first()[0] == pytest.approx(0.75)
-    roles = spark.createDataFrame([("ARG1",), ("ARGM-NEG",), ("ARGM-TMP",), ("V",)], "r string")
-    assert [x[0] for x in roles.select(metrics.label_group(F.col("r"))).collect()] == ["Arg", "Lex", "Mod", "Other"]
+    roles = spark.createDataFrame([("ARG1",), ("ARGM-NEG",), ("ARGM-TMP",), ("V",), ("ARGA",), ("ARGM-EXT",), ("ARGM-PNC",)], "r string")
+    assert [x[0] for x in roles.select(lexicon.role_group(F.col("r"))).collect()] == ["Arg", "Lex", "Mod", "Other", "Other", "Other", "Mod"]

@@ -5,17 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Verb tags of the Penn Treebank; auxiliaries; prepositions that may lead an argument.
+#: Verb tags of the Penn Treebank.
 VERB_TAGS = ("VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "MD")
-AUXILIARIES = ("be", "have", "do", "can", "could", "may", "might", "must", "shall", "should", "will", "would")
+#: Auxiliary verbs, by what they are forms of.
+DO_VERBS = ("do", "does", "doing", "did", "done")
+BE_VERBS = ("be", "being", "been", "am", "'m", "is", "'s", "ai", "are", "'re", "was", "were")
+WILL_VERBS = ("will", "'ll", "wo")
+HAVE_VERBS = ("have", "having", "'ve", "has", "had", "'d")
+MODAL_VERBS = ("can", "ca", "could", "may", "might", "must", "shall", "should", "ought", "would", "'d")
+AUXILIARIES = tuple(dict.fromkeys(DO_VERBS + BE_VERBS + WILL_VERBS + HAVE_VERBS + MODAL_VERBS))
+#: Prepositions that may lead an argument.
 PREPOSITIONS = ("about", "above", "across", "after", "against", "along", "around", "at", "before", "behind", "between", "by", "for", "from", "in", "inside", "into", "near", "of", "on", "outside", "over", "through", "to", "toward", "under", "with", "without")
-MODALS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would", "'ll", "'d")
-NEGATIONS = ("no", "not", "n't", "never", "nor", "neither", "none", "nobody", "nothing", "nowhere")
-DISCOURSE = ("however", "but", "and", "so", "therefore", "thus", "then", "instead", "also", "meanwhile", "moreover", "indeed")
+#: Texts of whole arguments that the side rules take out: modals with phrasal ones, negations, discourse.
+MODALS = tuple(dict.fromkeys(MODAL_VERBS + WILL_VERBS + ("won't", "can't", "have", "going", "used", "gonna", "gon", "'ve", "able")))
+NEGATIONS = ("no", "not", "n't", "never", "no longer")
+DISCOURSE = (
+    "also", "however", "too", "as well", "but", "and", "as we've seen before", "instead", "on the other hand", "for instance",
+    "or", "though", "hence", "furthermore", "moreover", "thus", "so", "nonetheless", "regardless", "rather", "ironically", "indeed",
+    "certainly", "frankly", "similarly", "thereby", "therefore", "specifically", "particularly", "in particular", "in turn", "and so",
+    "as a result", "after all", "in addition", "in contrast", "in other words", "for example", "for one thing", "for one",
+    "in this case", "in that case", "in any case", "in any event", "in fact", "of course",
+    "oh my god", "ah", "damn", "uh", "um", "gosh", "oh my gosh", "oh gosh",
+)
+LEXICA = {"negation": NEGATIONS, "modals": MODALS, "discourse": DISCOURSE}
+#: Syntactic functions of adjuncts.
+ADJUNCT_FUNCTIONS = ("TMP", "MNR", "LOC", "DIR")
 #: The order in which roles are listed; others come after them, by name.
-ROLE_ORDER = ("ARG0", "ARG1", "ARG2", "ARG3", "ARG4", "ARG5", "ARGM-TMP", "ARGM-LOC", "ARGM-MNR", "ARGM-ADV", "ARGM-MOD", "ARGM-NEG", "ARGM-DIS")
+ROLE_ORDER = (
+    "ARG0", "ARG1", "ARG2", "ARG3", "ARG4", "ARGM-LOC", "ARGM-MNR", "ARGM-ADV", "ARGM-PNC", "ARGM-CAU", "ARGM-TMP", "ARGM-DIS",
+    "ARGM-DIR", "ARGM-EXT", "ARGM-MOD", "ARGM-NEG", "ARGM-PRD", "ARG5", "ARGA",
+)
 #: Roles left out when question words are compared with roles.
-NO_WH_ROLES = ("ARGM-MOD", "ARGM-NEG", "ARGM-DIS", "ARGM-REC", "ARGM-PRD", "ARG5", "ARGA", "V", "REL", "SUP")
+NO_WH_ROLES = ("ARG4", "ARG5", "ARGA", "ARGM-NEG", "ARGM-MOD", "ARGM-DIS", "ARGM-PRD", "ARGM-EXT")
+#: Groups of roles; all others are Other.
+ROLE_GROUPS = {
+    "Arg": ("ARG0", "ARG1", "ARG2", "ARG3", "ARG4", "ARG5"),
+    "Mod": ("ARGM-TMP", "ARGM-ADV", "ARGM-MNR", "ARGM-LOC", "ARGM-PNC", "ARGM-CAU", "ARGM-DIR"),
+    "Lex": ("ARGM-NEG", "ARGM-MOD", "ARGM-DIS"),
+}
 
 
 def is_verbal(pos: Column) -> Column:
@@ -38,7 +65,8 @@ def is_relevant(role: Column, lemma: Column, begin: Column, end: Column, verb_in
 
 
 def role_group(role: Column) -> Column:
-    return F.when(role.rlike("^ARG[0-5A]$"), "Arg").when(role.rlike("^ARGM-(MOD|NEG|DIS)$"), "Lex").when(role.rlike("^ARGM-"), "Mod").otherwise("Other")
+    """Arg, Mod, Lex or Other."""
+    return F.coalesce(*[F.when(role.isin(*names), group) for group, names in ROLE_GROUPS.items()], F.lit("Other"))
 
 
 def role_rank(role: Column) -> Column:

@@ -18,8 +18,8 @@ def symmetric(counts: DataFrame, within_verb: bool = False) -> DataFrame:
     """Unordered label pairs (x <= y): the chance that two draws in turn, with replacement, from the same cluster have the
     labels x and y in this order, against the product of the labels' shares; with `within_verb`, against shares within the verb type.
 
-    Pairs come from an equi-join of the label counts on the cluster, and for the shares (bounded by labels squared, the
-    result's own size) on the verb type or a constant; pairs that never meet in a cluster are reported with -1.
+    Pairs come from an equi-join of the label counts on the cluster, and for the shares on the verb type, or as the pairs
+    of all labels, which are the result's own rows; pairs that never meet in a cluster are reported with -1.
     """
     side = ["verb_type", "cluster"]
     whole = counts.agg(F.sum("n")).scalar()
@@ -29,21 +29,21 @@ def symmetric(counts: DataFrame, within_verb: bool = False) -> DataFrame:
     joint = cell.groupBy("x", "y").agg((F.sum("v") / whole).alias("joint"))
     by = ["verb_type"] if within_verb else []
     m = counts.groupBy(*by, "label").agg(F.sum("n").alias("m"))
-    if within_verb:
-        m = m.withColumn("t", F.sum("m").over(Window.partitionBy("verb_type")))
-    else:
-        m = m.withColumns({"verb_type": F.lit("*"), "t": whole})
-    a, b = m.select("verb_type", "t", c("label").alias("x"), c("m").alias("mx")), m.select("verb_type", c("label").alias("y"), c("m").alias("my"))
-    pair = a.join(b, "verb_type").filter("x <= y").withColumn("v", c("mx") * c("my") / c("t"))
+    m = m.withColumn("t", F.sum("m").over(Window.partitionBy("verb_type")) if within_verb else whole)
+    a, b = m.select(*by, "t", c("label").alias("x"), c("m").alias("mx")), m.select(*by, c("label").alias("y"), c("m").alias("my"))
+    pair = (a.join(b, "verb_type").filter("x <= y") if within_verb else a.join(b, c("x") <= c("y"))).withColumn("v", c("mx") * c("my") / c("t"))
     independent = pair.groupBy("x", "y").agg((F.sum("v") / whole).alias("independent"))
     out = independent.join(joint, ["x", "y"], "left").withColumn("joint", F.coalesce("joint", F.lit(0.0)))
     return out.withColumn("npmi", _npmi(c("joint"), c("independent")))
 
 
-def with_sources(dist: DataFrame, source: list[str]) -> DataFrame:
+def with_sources(dist: DataFrame, source: list[str], never: bool = True) -> DataFrame:
     """Pairs of items (x <= y) of the same instance, with what share of the joint mass each source adds.
 
-    `dist` has source columns, `instance`, `item`, `value`; each instance counts with its total weight.
+    `dist` has source columns, `instance`, `item`, `value`; each instance counts with its total weight. The correlation is
+    the covariance over both spreads; the spread of an item is sqrt(joint(item, item) - share^2). Pairs that never meet
+    have no source (null), joint 0 and NPMI -1. They make the result as long as the square of the items; without `never`
+    they are left out.
     """
     key = [*source, "instance"]
     d = dist.withColumn("t", F.sum("value").over(Window.partitionBy(*key)))
@@ -53,13 +53,18 @@ def with_sources(dist: DataFrame, source: list[str]) -> DataFrame:
     by_source = cell.groupBy("x", "y", *source).agg((F.sum("v") / whole).alias("source_joint"))
     every = Window.partitionBy("x", "y")
     joined = by_source.withColumn("joint", F.sum("source_joint").over(every)).withColumn("source_share", c("source_joint") / c("joint"))
-    share = dist.groupBy("item").agg((F.sum("value") / whole).alias("s"))
-    out = joined.join(share.select(c("item").alias("x"), c("s").alias("px")), "x").join(share.select(c("item").alias("y"), c("s").alias("py")), "y")
-    independent = c("px") * c("py")
-    out = out.withColumn("independent", independent)
+    share = dist.groupBy("item").agg((F.sum("value") / whole).alias("p"))
+    same = joined.filter("x = y").select(c("x").alias("item"), "joint").distinct()
+    item = share.join(same, "item").select("item", "p", F.sqrt(F.greatest(c("joint") - c("p") * c("p"), F.lit(0.0))).alias("spread"))
+    side = lambda n: item.select(c("item").alias(n), c("p").alias(f"p{n}"), c("spread").alias(f"s{n}"))
+    if never:
+        pairs = side("x").join(side("y"), c("x") <= c("y"))  # as many rows as the result has
+        out = pairs.join(joined, ["x", "y"], "left").withColumn("joint", F.coalesce("joint", F.lit(0.0)))
+    else:
+        out = joined.join(side("x"), "x").join(side("y"), "y")
+    out = out.withColumn("independent", c("px") * c("py"))
     covariance = c("joint") - c("independent")
-    spread = F.sqrt(c("px") * (1 - c("px")) * c("py") * (1 - c("py")))
-    return out.withColumns({"npmi": _npmi(c("joint"), c("independent")), "covariance": covariance, "correlation": covariance / F.nullif(spread, F.lit(0.0))})
+    return out.withColumns({"npmi": _npmi(c("joint"), c("independent")), "covariance": covariance, "correlation": covariance / F.nullif(c("sx") * c("sy"), F.lit(0.0))}).drop("sx", "sy")
 
 
 def heterogeneous(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

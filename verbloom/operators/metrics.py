@@ -64,11 +64,6 @@ def with_main_label(counts: DataFrame) -> DataFrame:
     return b3_cells(counts).join(main, ["verb_type", "label"])
 
 
-def label_group(label):
-    """Arg, Mod, Lex or Other: the kind of a role label."""
-    return F.when(label.rlike("^(ARG)?A?[0-5]$"), "Arg").when(label.rlike("^(ARGM|AM)-(MOD|NEG|DIS)$"), "Lex").when(label.rlike("^(ARGM|AM)-"), "Mod").otherwise("Other")
-
-
 def groupings(cells: DataFrame) -> DataFrame:
     """Scores by verb type, label, verb type and label, label group, verb type and label group, in one pass over the
     cells by grouping sets; keys that don't apply are 'All'."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbloom.functions import lexicon
 from verbloom.operators import flat
 from verbloom.operators import tree as trees
 from verbloom.session import cut
@@ -20,7 +21,7 @@ ARG_TERMS = ("noop", "qent", "qent_active", "qent_argadj", "qent_nohow", "qent_a
 VERB_TERMS = ("noop",) + tuple(f"mlm_{m}" for m in _MODES)
 ARG_BASELINES = ("syntf", "syntf2", "gold_nosense", "gold_wsense", "gold_nosense+noise", "gold_wsense+noise", "random", "random_linear", "random_weighted")
 VERB_BASELINES = ("gold", "gold+uniform_noise", "gold+weighted_noise", "random", "random_linear", "random_weighted")
-SIDE_FLAGS = {"m": "modal", "n": "negation", "a": "adjunct", "d": "discourse", "s": "syntf2", "c": "syntf", "g": "gold_wsense", "r": "gold_nosense"}
+SIDE_FLAGS = {"m": "modal", "n": "negation", "a": "adjunct", "d": "discourse", "s": "syntf", "c": "syntf2", "g": "gold_nosense", "r": "gold_wsense"}
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ DEFAULT_CUT = {"verb_clusters": 1, "arg_entropy": 0.35}
 
 #: Model strings offered by name in the browser.
 PRESETS = {
-    "syntactic function": "arg/syntf", "syntactic function, converted": "arg/syntf2", "questions": "arg/mnd->qent", "questions with passive converted": "arg/mnd->qent_active",
-    "constituents": "arg/pent", "masked span": "arg/span_mlm_masked", "masked span and questions": "arg/mnd->span_mlm_symm_both+qent", "gold": "arg/gold_nosense",
+    "SyntF": "arg/s->noop", "SyntF + lex": "arg/mnds->noop", "SyntF + pass->act": "arg/c->noop", "SyntF + all rules": "arg/mndc->noop",
+    "HUM-QQ": "arg/qent+dv", "HUM-QQ + lex": "arg/mnd->qent+dv", "Gold": "arg/g->noop", "Gold + sense": "arg/r->noop",
 }
 
 _ADVERBIAL = r"^(how much|how long|how|when|where|why) "
@@ -125,6 +126,17 @@ def argument_model(model: Model, features: dict[str, DataFrame], side: DataFrame
     return *hybrid_model(dist, **options), side
 
 
+def side_label(side: frozenset[str], text: Column, function: Column, converted: Column, role: Column, sense: Column) -> Column:
+    """The side cluster of an argument, null for none: of the rules in `side` the first that fits, in the order modal,
+    negation, discourse, adjunct, syntactic function, converted function, role, role with sense. The first three look at
+    the `text` of an argument with one span (null otherwise), in lower case; adjuncts are told by their `function`."""
+    rules = {
+        "modal": F.when(text.isin(*lexicon.MODALS), "MODAL"), "negation": F.when(text.isin(*lexicon.NEGATIONS), "NEG"), "discourse": F.when(text.isin(*lexicon.DISCOURSE), "DIS"),
+        "adjunct": F.when(function.isin(*lexicon.ADJUNCT_FUNCTIONS), function), "syntf": function, "syntf2": converted, "gold_nosense": role, "gold_wsense": F.concat_ws(".", sense, role),
+    }
+    return F.coalesce(*[rule for name, rule in rules.items() if name in side], F.lit(None).cast("string"))
+
+
 def frames(verb_clusters: DataFrame, arg_clusters: DataFrame, verb_of: DataFrame) -> DataFrame:
     """Roles within frames: (verb_type, frame, role, instance), from clusters of verbs, clusters of arguments and the verb
     of each argument. A role is an argument cluster seen from one verb cluster."""

@@ -133,16 +133,42 @@ def cut_at(nodes: DataFrame, leaves: DataFrame, step) -> DataFrame:
 
 
 def steps(nodes: DataFrame, limit: int) -> DataFrame:
-    """(verb_type, step, n_clusters, loss, sizes) of the first `limit` cuts. A node counts at its birth and against at
-    its death, so a running sum over the steps gives what all cuts hold without listing their members."""
+    """(verb_type, step, n_clusters, loss, xlogx, size, top_loss, wlogw, weight_sum) of the first `limit` cuts: xlogx is
+    the sum of s * ln(s) over the cut's clusters, wlogw the same of their weights (the column `weight` of the nodes, see
+    `weighted`; sizes without one), top_loss the largest loss per item of a cluster.
+
+    A node counts at its birth and against at its death, so a running sum over the steps gives what all cuts hold without
+    listing their members. The largest loss per item is that of the nodes split next, where those of the largest are
+    (lives by `per_count`), or of a leaf.
+    """
     never = 2**31 - 1
-    into = nodes.filter(c("born") < limit).select("verb_type", c("born").alias("step"), F.lit(1).alias("s"), "loss", "size")
-    out = nodes.filter((c("died") < limit) & (c("died") < never)).select("verb_type", c("died").alias("step"), F.lit(-1).alias("s"), "loss", "size")
-    weight = lambda x: F.sum(c("s") * x)
-    xlogx = c("size") * F.log(c("size").cast("double"))
-    change = into.unionByName(out).groupBy("verb_type", "step").agg(F.sum("s").alias("n"), weight(c("loss")).alias("loss"), weight(xlogx).alias("xlogx"), weight(c("size")).alias("size"))
+    w = c("weight").cast("double") if "weight" in nodes.columns else c("size").cast("double")
+    rows = nodes.withColumns({"_w": w, "per_item": c("loss") / c("size")})
+    kept = ["verb_type", "step", "s", "loss", "size", "_w"]
+    into = rows.filter(c("born") < limit).withColumns({"step": c("born"), "s": F.lit(1)}).select(*kept, F.when(c("left") < 0, c("per_item")).alias("leaf"))
+    out = rows.filter((c("died") < limit) & (c("died") < never)).withColumns({"step": c("died"), "s": F.lit(-1)}).select(*kept, F.lit(None).cast("double").alias("leaf"))
+    signed = lambda x: F.sum(c("s") * x)
+    xlogx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    size = c("size").cast("double")
+    change = into.unionByName(out).groupBy("verb_type", "step").agg(
+        F.sum("s").alias("n"), signed(c("loss")).alias("loss"), signed(xlogx(size)).alias("xlogx"), signed(c("size")).alias("size"), signed(xlogx(c("_w"))).alias("wlogw"), signed(c("_w")).alias("w"), F.max("leaf").alias("leaf")
+    )
+    split = rows.filter((c("died") <= limit) & (c("died") < never)).groupBy("verb_type", (c("died") - 1).alias("step")).agg(F.max("per_item").alias("next"))
     run = Window.partitionBy("verb_type").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return change.select("verb_type", "step", F.sum("n").over(run).alias("n_clusters"), F.sum("loss").over(run).alias("loss"), F.sum("xlogx").over(run).alias("xlogx"), F.sum("size").over(run).alias("size"))
+    top = F.greatest(F.max("leaf").over(run), c("next"))
+    sums = [F.sum(k).over(run).alias(v) for k, v in (("n", "n_clusters"), ("loss", "loss"), ("xlogx", "xlogx"), ("size", "size"), ("wlogw", "wlogw"), ("w", "weight_sum"))]
+    return change.join(split, ["verb_type", "step"], "left").select("verb_type", "step", *sums, top.alias("top_loss"))
+
+
+def weighted(nodes: DataFrame, leaves: DataFrame, weights: DataFrame) -> DataFrame:
+    """The nodes with `weight`, the summed weights (verb_type, instance, weight) of their members; instances without one
+    weigh nothing. Leaf positions of a node are an interval, so running sums over positions give all nodes."""
+    at = leaves.join(weights, ["verb_type", "instance"], "left").groupBy("verb_type", "leaf").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
+    run = Window.partitionBy("verb_type").orderBy("leaf")
+    sums = at.select("verb_type", "leaf", F.sum("w").over(run).alias("upto"), "w")
+    lo = sums.select("verb_type", c("leaf").alias("leaf_lo"), (c("upto") - c("w")).alias("_before"))
+    hi = sums.select("verb_type", c("leaf").alias("leaf_hi"), "upto")
+    return nodes.join(lo, ["verb_type", "leaf_lo"]).join(hi, ["verb_type", "leaf_hi"]).withColumn("weight", F.round(c("upto") - c("_before"), 9)).drop("upto", "_before")
 
 
 def number_cut(nodes: DataFrame, k: int) -> DataFrame:

@@ -57,11 +57,13 @@ SQL = {
     "npmi_aggregate": f"WITH {s.BASE}, {_SYMMETRIC.format(v='verb_type')} {_ROUND}",
     "npmi_with_sources": f"""WITH {s.DIST}, d AS (SELECT *, sum(value) OVER (PARTITION BY verb_type, instance) AS t FROM dist), w AS (SELECT sum(value) AS w FROM dist),
     src AS (SELECT a.item AS x, b.item AS y, verb_type, sum(a.value * b.value / a.t) / any_value(w) AS sj FROM d a JOIN dist b USING (verb_type, instance), w WHERE a.item <= b.item GROUP BY ALL),
-    j AS (SELECT *, sum(sj) OVER (PARTITION BY x, y) AS joint FROM src),
+    tot AS (SELECT x, y, sum(sj) AS joint FROM src GROUP BY ALL),
     p AS (SELECT item, sum(value) / any_value(w) AS p FROM dist, w GROUP BY item),
-    scored AS (SELECT j.*, px.p * py.p AS independent, px.p AS px, py.p AS py FROM j JOIN p px ON px.item = x JOIN p py ON py.item = y)
+    sd AS (SELECT item, p, sqrt(greatest(joint - p * p, 0)) AS sd FROM p JOIN tot ON x = item AND y = item),
+    j AS (SELECT a.item AS x, b.item AS y, coalesce(joint, 0) AS joint, a.p * b.p AS independent, a.sd * b.sd AS spread FROM sd a JOIN sd b ON a.item <= b.item LEFT JOIN tot ON x = a.item AND y = b.item),
+    scored AS (SELECT j.*, verb_type, sj FROM j LEFT JOIN src USING (x, y))
     SELECT x, y, verb_type, round(joint, 6) AS joint, round(independent, 6) AS independent, round(sj / joint, 6) AS source_share, round({_NPMI}, 6) + 0.0::DOUBLE AS npmi,
-           round(joint - independent, 6) + 0.0::DOUBLE AS covariance, round((joint - independent) / sqrt(px * (1 - px) * py * (1 - py)), 6) + 0.0::DOUBLE AS correlation FROM scored""",
+           round(joint - independent, 6) + 0.0::DOUBLE AS covariance, round((joint - independent) / nullif(spread, 0), 6) + 0.0::DOUBLE AS correlation FROM scored""",
     "npmi_heterogeneous": f"""WITH {s.DIST}, {s.GOLD}, l AS (SELECT verb_type, instance, item, value / sum(value) OVER (PARTITION BY verb_type, instance) AS v FROM dist),
     cell AS (SELECT item AS x, label AS y, sum(v) AS v FROM l JOIN gold USING (instance) GROUP BY ALL), t AS (SELECT sum(v) AS t FROM cell),
     scored AS (SELECT x, y, v / t AS joint, sum(v) OVER (PARTITION BY x) * sum(v) OVER (PARTITION BY y) / (t * t) AS independent FROM cell, t)

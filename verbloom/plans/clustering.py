@@ -169,11 +169,8 @@ def entropy_curve(spark: SparkSession, d: str) -> DataFrame:
 def entropy_tuned(spark: SparkSession, d: str) -> DataFrame:
     """The best threshold of each criterion over the trees of the entropy clustering."""
     nodes, leaves = (cut(x) for x in models.hybrid_model(s.dist(spark, d)))
-    points, out = cut(tuning.curve(nodes, leaves, s.gold(spark, d))), None
-    for name in tuning.GRIDS:
-        own = tuning.tuned(points, name)
-        out = own if out is None else out.unionByName(own)
-    return s.rounded(tuning.best_threshold(out, ["criterion"]))
+    points = cut(tuning.curve(nodes, leaves, s.gold(spark, d)))
+    return s.rounded(tuning.best_threshold(tuning.tuned_all(points, list(tuning.GRIDS)), ["criterion"]))
 
 
 def noisy_baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +181,7 @@ def noisy_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_curve(spark: SparkSession, d: str) -> DataFrame:
-    return s.rounded(tuning.linear_curve(s.counts(spark, d)).drop("loss"))
+    return s.rounded(tuning.linear_curve(s.counts(spark, d)).drop("loss", "top_loss", "wlogw", "weight_sum"))
 
 
 def tuning_num_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -200,11 +197,48 @@ def tuning_best(spark: SparkSession, d: str) -> DataFrame:
     return s.rounded(tuning.best_threshold(tuning.tuned(cut(tuning.linear_curve(s.counts(spark, d))), "num-clusters"), ["criterion"]))
 
 
+def _label_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the linear trees with the label entropies of the clusters as losses."""
+    return cut(tuning.linear_curve(s.counts(spark, d), entropy=True))
+
+
+def label_entropy_curve(spark: SparkSession, d: str) -> DataFrame:
+    return s.rounded(_label_points(spark, d).drop("wlogw", "weight_sum"))
+
+
+def _tuning(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return s.rounded(tuning.tuned(_label_points(spark, d), name))
+
+    query.__name__ = "tuning_" + name.replace("-", "_")
+    query.__doc__ = f"Scores of every threshold of the criterion {name} over the label entropies."
+    return query
+
+
+_CRITERIA = ("entropy", "wentropy", "max-entropy", "log-penalty", "linear-penalty", "sq-nclusters", "cut-delta", "loss", "max-loss")
+
+
+def tuning_setting(spark: SparkSession, d: str) -> DataFrame:
+    """The best criterion, its threshold and its scores."""
+    return s.rounded(tuning.best_setting(tuning.tuned_all(_label_points(spark, d), list(tuning.GRIDS))))
+
+
 def tuning_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of thresholds apart for verb types by their number of items."""
     return s.rounded(tuning.calibration(cut(tuning.linear_curve(s.counts(spark, d))), "num-clusters=1,5,10"))
 
 
-_NAMES = (m_step, hard_e_step, soft_e_step, em_two_steps, em_until_stable, weighted_loss, merge_loss_pairs, best_first_merge, size_prior_loss, repeated_key_loss, state_loss, vector_mean_step, unigram_e_step, topic_e_step, label_baseline, balanced_tree, tree_ancestors, entropy_tree, cut_number, cut_entropy, tree_limited, entropy_curve, entropy_tuned, noisy_baseline, linear_curve, tuning_num_clusters, tuning_oracle, tuning_best, tuning_calibration)
+def tuning_by_verb(spark: SparkSession, d: str) -> DataFrame:
+    """The best number of clusters of each verb type."""
+    return s.rounded(tuning.calibration_by_verb(cut(tuning.linear_curve(s.counts(spark, d))), "num-clusters"))
+
+
+def leaf_points(spark: SparkSession, d: str) -> DataFrame:
+    """The points where every predicted cluster stands for itself."""
+    return s.rounded(tuning.leaf_points(s.counts(spark, d)))
+
+
+_NAMES = (m_step, hard_e_step, soft_e_step, em_two_steps, em_until_stable, weighted_loss, merge_loss_pairs, best_first_merge, size_prior_loss, repeated_key_loss, state_loss, vector_mean_step, unigram_e_step, topic_e_step, label_baseline, balanced_tree, tree_ancestors, entropy_tree, cut_number, cut_entropy, tree_limited, entropy_curve, entropy_tuned, noisy_baseline, linear_curve, tuning_num_clusters, tuning_oracle, tuning_best, label_entropy_curve, *map(_tuning, _CRITERIA), tuning_setting, tuning_calibration, tuning_by_verb, leaf_points)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _THETA = f"""k AS (SELECT verb_type, count(DISTINCT item) AS k FROM dist GROUP BY verb_type),
@@ -262,5 +296,44 @@ SQL = {
     "tuning_oracle": f"WITH {_CURVE}, {_tuned('', 'list_transform(range(-10, 11), lambda i: 1.2::DOUBLE ** i)', '-((1 + t * t) * precision * recall / greatest(t * t * precision + recall, 1e-300::DOUBLE))')} SELECT 'oracle' AS criterion, round(t, 6) AS t, {_MEAN_OUT[3:]} FROM mean",
     "tuning_best": f"""WITH {_CURVE}, {_tuned('', 'range(1, 36)', _FIRST)}, x AS (SELECT *, round(2 * precision * recall / (precision + recall), 9) AS f FROM mean), best AS (SELECT * FROM x WHERE f = (SELECT max(f) FROM x)),
     want AS (SELECT CASE WHEN max(t) = 35 THEN min(t) WHEN min(t) = 1 THEN max(t) ELSE min(t) END AS w FROM best) SELECT 'num-clusters' AS criterion, {_MEAN_OUT} FROM best, want WHERE t = w""",
-    "tuning_calibration": f"WITH {_CURVE}, {_tuned('', '[1, 5, 10]', _FIRST, by='log_items,').replace('FROM points', 'FROM (SELECT *, floor(ln(max(size) OVER (PARTITION BY verb_type)))::BIGINT AS log_items FROM points)')} SELECT 'num-clusters' AS criterion, {_MEAN_OUT}, log_items FROM mean",
+    "tuning_calibration": f"WITH {_CURVE}, {_tuned('', '[1, 5, 10]', _FIRST, by='n_items,').replace('FROM points', 'FROM (SELECT *, size::BIGINT AS n_items FROM points)')}, nv AS (SELECT size::BIGINT AS n_items, count(DISTINCT verb_type) AS n_verbs FROM points GROUP BY 1) SELECT 'num-clusters' AS criterion, n_items, {_MEAN_OUT}, n_verbs, round(ln(n_items), 6) AS log_items FROM mean JOIN nv USING (n_items)",
+    "tuning_by_verb": f"WITH {_CURVE}, {_tuned('', 'range(1, 36)', _FIRST)}, x AS (SELECT verb_type, size::BIGINT AS n_items, t, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM chosen), b AS (SELECT * FROM x QUALIFY round(f1, 9) = max(round(f1, 9)) OVER (PARTITION BY verb_type)), w AS (SELECT verb_type, CASE WHEN max(t) = 35 THEN min(t) WHEN min(t) = 1 THEN max(t) ELSE min(t) END AS t FROM b GROUP BY verb_type) SELECT verb_type, n_items, t, round(f1, 6) AS f1 FROM b JOIN w USING (verb_type, t)",
+    "leaf_points": f"WITH {s.BASE}, {s.CELLS} SELECT verb_type, count(DISTINCT cluster) AS n_clusters, round(sum(n * p) / sum(n), 6) AS precision, round(sum(n * r) / sum(n), 6) AS recall, sum(n) AS weight FROM cells GROUP BY verb_type",
 }
+
+# Rules of the criteria, each said anew: a score whose smallest value wins, or the place of the chosen point in an order.
+_EPOINTS = f"""{_CURVE.replace("points AS (", "points0 AS (")},
+    cl AS (SELECT verb_type, step, cl, any_value(s) AS s, any_value(s) * ln(any_value(s)) - sum(n * ln(n)) AS loss FROM ce GROUP BY verb_type, step, cl),
+    lp AS (SELECT verb_type, step, sum(loss) AS loss, max(loss / s) AS top_loss FROM cl GROUP BY ALL),
+    points AS (SELECT p.*, loss, top_loss FROM points0 p JOIN lp USING (verb_type, step))"""
+_MIX = "(size * ln(size) - xlogx)"
+_SCORED = {
+    "num-clusters": ("range(1, 36)", _FIRST), "oracle": ("list_transform(range(-10, 11), lambda i: 1.2::DOUBLE ** i)", "-((1 + t * t) * precision * recall / greatest(t * t * precision + recall, 1e-300::DOUBLE))"),
+    "entropy": ("list_transform(range(-10, 101), lambda i: i / 20)", f"loss + t * {_MIX}"), "wentropy": ("list_transform(range(-10, 101), lambda i: i / 20)", f"loss + t * {_MIX}"),
+    "max-entropy": ("list_transform(range(-10, 101), lambda i: i / 20)", f"top_loss + t * {_MIX} / size"), "log-penalty": ("list_transform(range(1, 101), lambda i: i / 100)", "loss + t * ln(n_clusters) * size"),
+    "linear-penalty": ("list_transform(range(0, 101), lambda i: i / 1000)", "loss + t * n_clusters * size"), "sq-nclusters": ("list_transform(range(0, 51), lambda i: i / 2)", "loss + t * n_clusters ** 2"),
+}
+_PLACED = {
+    "cut-delta": ("list_transform(range(0, 101), lambda i: i / 10)", "round(loss, 9), step", "greatest(min(k) FILTER (NOT coalesce(round(nxt - loss, 9) < round(t * size, 9), false)) - 1, 1)"),
+    "loss": ("list_transform(range(0, 41), lambda i: i / 10)", "round(loss / size, 9) DESC, step", "coalesce(max(k) FILTER (round(loss / size, 9) > t), 1)"),
+    "max-loss": ("list_transform(range(0, 101), lambda i: i / 100)", "round(top_loss, 9) DESC, step", "coalesce(max(k) FILTER (round(top_loss, 9) > t), 1)"),
+}
+
+
+def _criterion(name: str) -> str:
+    """CTEs up to `mean` for a criterion over `points`."""
+    if name in _SCORED:
+        return _tuned("", *_SCORED[name])
+    grid, order, place = _PLACED[name]
+    return f"""o AS (SELECT *, row_number() OVER w AS k, lead(loss) OVER w AS nxt FROM points WINDOW w AS (PARTITION BY verb_type ORDER BY {order})),
+    q AS (SELECT verb_type, t, {place} AS k FROM o, (SELECT unnest({grid})::DOUBLE AS t) GROUP BY verb_type, t), chosen AS (SELECT o.*, t FROM q JOIN o USING (verb_type, k)),
+    mean AS (SELECT t, sum(precision * weight) / sum(weight) AS precision, sum(recall * weight) / sum(weight) AS recall, sum(weight) AS weight FROM chosen GROUP BY ALL)"""
+
+
+SQL["label_entropy_curve"] = f"WITH {_EPOINTS} SELECT verb_type, step, n_clusters, round(loss, 6) + 0.0::DOUBLE AS loss, round(xlogx, 6) AS xlogx, size, round(top_loss, 6) + 0.0::DOUBLE AS top_loss, round(precision, 6) AS precision, round(recall, 6) AS recall, weight FROM points"
+for _c in _CRITERIA:
+    SQL["tuning_" + _c.replace("-", "_")] = f"WITH {_EPOINTS}, {_criterion(_c)} SELECT '{_c}' AS criterion, {_MEAN_OUT} FROM mean"
+_EVERY = " UNION ALL ".join(f"(WITH {_criterion(k)} SELECT '{k}' AS criterion, t, precision, recall, weight FROM mean)" for k in (*_SCORED, *_PLACED) if k != "oracle")
+SQL["tuning_setting"] = f"""WITH {_EPOINTS}, every AS ({_EVERY}), x AS (SELECT *, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f, max(t) OVER c AS hi, min(t) OVER c AS lo FROM every WINDOW c AS (PARTITION BY criterion)),
+    b AS (SELECT * FROM x QUALIFY f = max(f) OVER (PARTITION BY criterion)), w AS (SELECT criterion, CASE WHEN max(t) = any_value(hi) THEN min(t) WHEN min(t) = any_value(lo) THEN max(t) ELSE min(t) END AS t FROM b GROUP BY criterion)
+    SELECT criterion, round(t, 6) AS t, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f, 6) AS f1, weight FROM b JOIN w USING (criterion, t) ORDER BY f DESC, criterion LIMIT 1"""

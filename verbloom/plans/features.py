@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verbloom.functions import dist as a
 from verbloom.functions import lexicon as x
 from verbloom.functions.clean import latest, norm_id, norm_label, norm_question
-from verbloom.operators import association
+from verbloom.operators import association, models
 from verbloom.operators import relate as r
 from verbloom.plans.distributions import ARG_Q, NORM_ID, NORM_Q, arg_questions
 from verbloom.plans.surrogate import rounded
@@ -183,14 +183,32 @@ def span_texts(spark: SparkSession, d: str) -> DataFrame:
     return r.first_of(n, ["role"], [c("n").desc(), c("text")])
 
 
-def side_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Arguments taken out before clustering, by the first rule that fits: modal, negation and discourse words on one
-    token, then the role itself where it is an adjunct's; the number of each."""
+def argument_sides(spark: SparkSession, d: str, side: str = "mnag") -> DataFrame:
+    """Labelled arguments with `side`, null for those that no rule takes. The tables have no parses, so the function of an
+    argument is that of its role's name (TMP of ARGM-TMP)."""
     arg = roles(spark, d).join(sentences(spark, d).select("sentence_id", "sentence_tokens"), "sentence_id", "left")
-    word = F.when(c("e") - c("b") == 1, F.lower(F.get("sentence_tokens", c("b"))))
-    rules = [F.when(word.isin(*words), F.lit(name)) for name, words in (("modal", x.MODALS), ("negation", x.NEGATIONS), ("discourse", x.DISCOURSE))]
-    side = F.coalesce(*rules, F.when(c("role").startswith("ARGM-"), c("role")), F.lit("remaining"))
-    return arg.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    text = x.span_text(c("sentence_tokens"), c("b"), c("e"))
+    function = F.regexp_replace("role", "^ARGM-", "")
+    label = models.side_label(models.side_flags(side), text, function, function, c("role"), c("frameset"))
+    return arg.select("sentence_id", "verb_index", "frameset", "lemma", "role", "b", "e", label.alias("side"))
+
+
+def side_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments taken out before clustering by texts and adjunct functions: the number of each kind, and of the rest."""
+    return argument_sides(spark, d, "mnad").groupBy(F.coalesce("side", F.lit("remaining")).alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def side_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The same with roles and senses for the rest, as in gold models: by lemma and kind."""
+    return argument_sides(spark, d, "mndr").groupBy("lemma", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rule_lexica(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of each rule that takes arguments out, and how many arguments have each."""
+    arg = roles(spark, d).join(sentences(spark, d).select("sentence_id", "sentence_tokens"), "sentence_id")
+    n = arg.groupBy(x.span_text(c("sentence_tokens"), c("b"), c("e")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    words = spark.createDataFrame([(name, w) for name, ws in x.LEXICA.items() for w in ws], "lexicon string, text string")
+    return words.join(n, "text", "left").select("lexicon", "text", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # --- analyses and views
@@ -214,15 +232,27 @@ def wh_roles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(association.heterogeneous(q, role, ["sentence_id", "verb_index", "b", "e"]))
 
 
+def question_slots(spark: SparkSession, d: str) -> DataFrame:
+    """(question, stem): each question of the predictions without its preposition and second object, told by its slots;
+    of several readings the shortest stem."""
+    t = table(spark, d, "verb_prediction", ["beam.questions.question_string", "beam.questions.question_slots"])
+    q = t.select(F.explode("beam.questions").alias("qs")).select(F.explode("qs").alias("q")).distinct()
+    slots = q.select(norm_question("q.question_string").alias("question"), *(F.lower(F.trim(F.coalesce(f"q.question_slots.{k}", F.lit("")))).alias(k) for k in ("prep", "obj2")))
+    end = F.trim(F.concat_ws(" ", F.nullif("prep", F.lit("")), F.nullif("obj2", F.lit(""))))
+    stem = F.when((end != "") & F.endswith("question", F.concat(F.lit(" "), end)), F.expr("substr(question, 1, length(question) - length(_end) - 1)")).otherwise(c("question"))
+    return slots.filter("question <> ''").withColumn("_end", end).select("question", stem.alias("stem")).groupBy("question").agg(F.min_by("stem", F.struct(F.length("stem"), "stem")).alias("stem"))
+
+
 def question_relatedness(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of frequent `what` questions of the same argument: joint weight, NPMI, and whether they only differ in
-    preposition and second object."""
+    """Pairs of `what` questions of weight above 5, one of them above 15, of the same argument: joint weight, NPMI, and
+    whether they only differ in preposition and second object."""
     q = arg_questions(spark, d)
-    often = a.total(q, [], "question", "weight").filter((c("weight") > 5.0) & c("question").startswith("what ")).select("question")
-    kept = q.join(often, "question").select(F.lit("all").alias("source"), c("arg_id").alias("instance"), c("question").alias("item"), c("weight").alias("value"))
+    often = cut(a.total(q, [], "question", "weight").filter((c("weight") > 5.0) & c("question").startswith("what ")).join(question_slots(spark, d), "question", "left"))
+    kept = q.join(often.select("question"), "question").select(F.lit("all").alias("source"), c("arg_id").alias("instance"), c("question").alias("item"), c("weight").alias("value"))
     pairs = association.with_sources(cut(kept), ["source"]).filter("x <> y")
-    base = lambda s: F.regexp_replace(s, r" (?:" + "|".join(x.PREPOSITIONS) + r")\b.*$", "")
-    return rounded(pairs.select("x", "y", "joint", "npmi", "covariance", (base(c("x")) == base(c("y"))).alias("boring")))
+    side = lambda n: often.select(c("question").alias(n), c("weight").alias(f"w{n}"), F.coalesce("stem", "question").alias(f"stem_{n}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(F.greatest("wx", "wy") > 15.0)
+    return rounded(both.select("x", "y", "joint", "npmi", "covariance", "correlation", (c("stem_x") == c("stem_y")).alias("boring")))
 
 
 def verb_list(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +287,7 @@ def qg_inputs(spark: SparkSession, d: str) -> DataFrame:
     return g.select("sentence_id", "verb_index", F.array_join(F.transform("s", lambda y: F.concat_ws("-", y["b"].cast("string"), y["e"].cast("string"))), " ").alias("arg_spans"))
 
 
-_NAMES = (roles_relevant, roles_plain, role_groups, role_order, verb_types, verbal_forms, questions_valid, documents_by_round, exact_span_questions, questions_or_default, span_containment, verbs_predicted, verbs_unpredicted, span_union, sentence_verbs, relabelled, token_offsets, token_gap_ranks, leading_prepositions, span_texts, side_clusters, sense_counts, role_questions, wh_roles, question_relatedness, verb_list, sentence_navigation, feature_lookup, mlm_inputs, qg_inputs)
+_NAMES = (roles_relevant, roles_plain, role_groups, role_order, verb_types, verbal_forms, questions_valid, documents_by_round, exact_span_questions, questions_or_default, span_containment, verbs_predicted, verbs_unpredicted, span_union, sentence_verbs, relabelled, token_offsets, token_gap_ranks, leading_prepositions, span_texts, side_clusters, side_gold, rule_lexica, sense_counts, role_questions, wh_roles, question_slots, question_relatedness, verb_list, sentence_navigation, feature_lookup, mlm_inputs, qg_inputs)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _LABEL = NORM_ID.replace("lower", "upper")
@@ -271,6 +301,16 @@ SPANS = f"""pages AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s
 SENTENCES = f"""sentences AS (SELECT sentence_id, sentence_tokens FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY ingested_at NULLS FIRST, {NORM_ID.format(c='data_split')} NULLS FIRST) AS n FROM sentence WHERE sentence_id IS NOT NULL) WHERE n = 1)"""
 TOKENS = f"{SENTENCES}, tokens AS (SELECT sentence_id, generate_subscripts(sentence_tokens, 1) - 1 AS idx, coalesce(unnest(sentence_tokens), '') AS token FROM sentences)"
 _IN = lambda ws: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + ")"
+# Literals of their own, so that the word lists of the library are checked.
+_AUX = _IN("do does doing did done be being been am 'm is 's ai are 're was were will 'll wo have having 've has had 'd can ca could may might must shall should ought would".split())
+_MODAL = _IN("can ca could may might must shall should ought would 'd will 'll wo won't can't have going used gonna gon 've able".split())
+_NEG = _IN(["no", "not", "n't", "never", "no longer"])
+_DIS = _IN(
+    "also|however|too|as well|but|and|as we've seen before|instead|on the other hand|for instance|or|though|hence|furthermore|moreover|thus|so|nonetheless|regardless|rather|ironically|indeed|certainly|frankly|similarly|thereby|therefore|specifically|particularly|in particular|in turn|and so|as a result|after all|in addition|in contrast|in other words|for example|for one thing|for one|in this case|in that case|in any case|in any event|in fact|of course|oh my god|ah|damn|uh|um|gosh|oh my gosh|oh gosh".split("|")
+)
+_NO_WH = _IN("ARG4 ARG5 ARGA ARGM-NEG ARGM-MOD ARGM-DIS ARGM-PRD ARGM-EXT".split())
+_ROLES_IN_ORDER = "ARG0 ARG1 ARG2 ARG3 ARG4 ARGM-LOC ARGM-MNR ARGM-ADV ARGM-PNC ARGM-CAU ARGM-TMP ARGM-DIS ARGM-DIR ARGM-EXT ARGM-MOD ARGM-NEG ARGM-PRD ARG5 ARGA".split()
+_TEXT = "lower(array_to_string(list_transform(sentence_tokens[b + 1 : e], lambda w: w), ' '))"
 _IRRELEVANT = "(role IN ('V', 'REL') OR regexp_matches(role, 'DIS|NEG|MOD|C-|R-'))"
 _EXACT = f"""{SPANS}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, verb_index, b, e ORDER BY p DESC, k) AS n FROM (
         SELECT *, (SELECT string_agg(y::VARCHAR) FROM (SELECT unnest(questions) AS y)) AS k FROM spans WHERE p IS NOT NULL AND questions IS NOT NULL)) WHERE n = 1),
@@ -282,10 +322,10 @@ _NPMI = "CASE WHEN joint <= 0 THEN -1 WHEN joint >= 1 THEN 0 ELSE ln(joint / ind
 _ORDER = "regexp_replace(sentence_id, ':[^:]*$', ''), coalesce(try_cast(nullif(regexp_extract(sentence_id, ':([0-9]+)$', 1), '') AS INTEGER), -1), sentence_id"
 
 SQL = {
-    "roles_relevant": f"WITH {ROLES} SELECT sentence_id, verb_index, role, b, e FROM roles WHERE NOT {_IRRELEVANT} AND lemma NOT IN {_IN(x.AUXILIARIES)} AND NOT (b <= verb_index AND verb_index < e)",
+    "roles_relevant": f"WITH {ROLES} SELECT sentence_id, verb_index, role, b, e FROM roles WHERE NOT {_IRRELEVANT} AND lemma NOT IN {_AUX} AND NOT (b <= verb_index AND verb_index < e)",
     "roles_plain": f"WITH {ROLES} SELECT role, count(*) AS n FROM roles WHERE NOT regexp_matches(role, '^[RC]-') GROUP BY role",
-    "role_groups": f"WITH {ROLES} SELECT CASE WHEN regexp_matches(role, '^ARG[0-5A]$') THEN 'Arg' WHEN role IN ('ARGM-MOD', 'ARGM-NEG', 'ARGM-DIS') THEN 'Lex' WHEN role LIKE 'ARGM-%' THEN 'Mod' ELSE 'Other' END AS role_group, count(*) AS n, count(DISTINCT role) AS n_roles FROM roles GROUP BY 1",
-    "role_order": f"WITH {ROLES}, o AS (SELECT * FROM (VALUES {', '.join(f'''('{r0}', {i})''' for i, r0 in enumerate(x.ROLE_ORDER))}) AS t(role, i)) SELECT role, row_number() OVER (ORDER BY coalesce(i, 100), role) AS place FROM (SELECT DISTINCT role FROM roles) LEFT JOIN o USING (role)",
+    "role_groups": f"WITH {ROLES} SELECT CASE WHEN regexp_matches(role, '^ARG[0-5]$') THEN 'Arg' WHEN role IN ('ARGM-MOD', 'ARGM-NEG', 'ARGM-DIS') THEN 'Lex' WHEN role IN ('ARGM-TMP', 'ARGM-ADV', 'ARGM-MNR', 'ARGM-LOC', 'ARGM-PNC', 'ARGM-CAU', 'ARGM-DIR') THEN 'Mod' ELSE 'Other' END AS role_group, count(*) AS n, count(DISTINCT role) AS n_roles FROM roles GROUP BY 1",
+    "role_order": f"WITH {ROLES}, o AS (SELECT * FROM (VALUES {', '.join(f'''('{r0}', {i})''' for i, r0 in enumerate(_ROLES_IN_ORDER))}) AS t(role, i)) SELECT role, row_number() OVER (ORDER BY coalesce(i, 100), role) AS place FROM (SELECT DISTINCT role FROM roles) LEFT JOIN o USING (role)",
     "verb_types": f"WITH {ROLES} SELECT frameset AS verb_type, lemma, count(DISTINCT (sentence_id, verb_index)) AS n_verbs FROM roles GROUP BY ALL",
     "verbal_forms": "SELECT lower(stem) AS lemma, pos, lower(form) AS form FROM (SELECT stem, 'VBZ' AS pos, present_singular3rd AS form FROM verb_inflection UNION SELECT stem, 'VBG', present_participle FROM verb_inflection UNION SELECT stem, 'VBD', past_form FROM verb_inflection UNION SELECT stem, 'VBN', past_participle FROM verb_inflection) WHERE form IS NOT NULL AND stem IS NOT NULL GROUP BY ALL",
     "questions_valid": f"WITH {SPANS} SELECT sentence_id, count(*) AS n_entries FROM spans WHERE len(questions) >= 2 AND len(list_filter(questions, lambda q: coalesce(q.question_prob IS NULL OR isnan(q.question_prob) OR q.question_prob <= 0, true))) <= 1 GROUP BY ALL",
@@ -300,23 +340,31 @@ SQL = {
     "token_gap_ranks": f"WITH {TOKENS}, o AS (SELECT sentence_id, token, idx - coalesce(sum((NOT regexp_matches(token, '[A-Za-z0-9]'))::INT) OVER (PARTITION BY sentence_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM tokens) SELECT sentence_id, count(*) AS n_words, max(k)::BIGINT AS last_rank FROM o WHERE regexp_matches(token, '[A-Za-z0-9]') GROUP BY ALL",
     "leading_prepositions": f"WITH {ROLES}, {SENTENCES}, t AS (SELECT role, CASE WHEN e - b > 1 AND lower(sentence_tokens[b + 1]) IN {_IN(x.PREPOSITIONS)} THEN lower(sentence_tokens[b + 1]) ELSE '<none>' END AS prep FROM roles JOIN sentences USING (sentence_id) WHERE e <= len(sentence_tokens)) SELECT role, prep, count(*) AS n FROM t GROUP BY ALL",
     "span_texts": f"WITH {ROLES}, {SENTENCES}, t AS (SELECT role, lower(array_to_string(sentence_tokens[b + 1 : e], ' ')) AS text FROM roles JOIN sentences USING (sentence_id) WHERE e <= len(sentence_tokens)), n AS (SELECT role, text, count(*) AS n FROM t GROUP BY ALL) SELECT role, text, n FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, text) AS k FROM n) WHERE k = 1",
-    "side_clusters": f"WITH {ROLES}, {SENTENCES}, w AS (SELECT role, CASE WHEN e - b = 1 THEN lower(sentence_tokens[b + 1]) END AS w FROM roles LEFT JOIN sentences USING (sentence_id)) SELECT CASE WHEN w IN {_IN(x.MODALS)} THEN 'modal' WHEN w IN {_IN(x.NEGATIONS)} THEN 'negation' WHEN w IN {_IN(x.DISCOURSE)} THEN 'discourse' WHEN role LIKE 'ARGM-%' THEN role ELSE 'remaining' END AS side, count(*) AS n FROM w GROUP BY 1",
+    "side_clusters": f"WITH {ROLES}, {SENTENCES}, w AS (SELECT role, {_TEXT} AS w FROM roles LEFT JOIN sentences USING (sentence_id)) SELECT CASE WHEN w IN {_MODAL} THEN 'MODAL' WHEN w IN {_NEG} THEN 'NEG' WHEN w IN {_DIS} THEN 'DIS' WHEN role IN ('ARGM-TMP', 'ARGM-MNR', 'ARGM-LOC', 'ARGM-DIR') THEN role[6:] ELSE 'remaining' END AS side, count(*) AS n FROM w GROUP BY 1",
+    "side_gold": f"WITH {ROLES}, {SENTENCES}, w AS (SELECT lemma, frameset, role, {_TEXT} AS w FROM roles LEFT JOIN sentences USING (sentence_id)) SELECT lemma, CASE WHEN w IN {_MODAL} THEN 'MODAL' WHEN w IN {_NEG} THEN 'NEG' WHEN w IN {_DIS} THEN 'DIS' ELSE frameset || '.' || role END AS side, count(*) AS n FROM w GROUP BY ALL",
+    "rule_lexica": f"WITH {ROLES}, {SENTENCES}, n AS (SELECT {_TEXT} AS text, count(*) AS n FROM roles JOIN sentences USING (sentence_id) GROUP BY 1), l AS ({' UNION ALL '.join(f"SELECT '{k}' AS lexicon, unnest([{v[1:-1]}]) AS text" for k, v in (('negation', _NEG), ('modals', _MODAL), ('discourse', _DIS)))}) SELECT lexicon, text, coalesce(n, 0) AS n FROM l LEFT JOIN n USING (text)",
     "sense_counts": f"WITH {ROLES} SELECT lemma, count(DISTINCT frameset) AS n_senses, count(DISTINCT (sentence_id, verb_index)) AS n_verbs FROM roles GROUP BY lemma",
     "exact_span_questions": f"WITH {ROLES}, {_EXACT} SELECT * FROM exact",
     "questions_or_default": f"WITH {_DEFAULT} SELECT * FROM filled",
     "role_questions": f"WITH {_DEFAULT}, t AS (SELECT role, question, sum(weight) AS w FROM filled JOIN (SELECT DISTINCT sentence_id, verb_index, b, e, role FROM roles) USING (sentence_id, verb_index, b, e) GROUP BY ALL), sh AS (SELECT role, question, w / sum(w) OVER (PARTITION BY role) AS w FROM t) SELECT role, question, round(w, 6) AS weight FROM sh WHERE w > 0.005::DOUBLE",
     "wh_roles": f"""WITH {ROLES}, {_EXACT}, l AS (SELECT sentence_id, verb_index, b, e, regexp_extract(question, '^(how much|how long|[a-z]+)', 1) AS x, sum(weight) AS v FROM exact GROUP BY ALL),
     ln1 AS (SELECT *, v / sum(v) OVER (PARTITION BY sentence_id, verb_index, b, e) AS vx FROM l),
-    g AS (SELECT DISTINCT sentence_id, verb_index, b, e, role AS y FROM roles WHERE role NOT IN {_IN(x.NO_WH_ROLES)}), gn AS (SELECT *, 1::DOUBLE / count(*) OVER (PARTITION BY sentence_id, verb_index, b, e) AS vy FROM g),
+    g AS (SELECT DISTINCT sentence_id, verb_index, b, e, role AS y FROM roles WHERE role NOT IN {_NO_WH}), gn AS (SELECT *, 1::DOUBLE / count(*) OVER (PARTITION BY sentence_id, verb_index, b, e) AS vy FROM g),
     cell AS (SELECT x, y, sum(vx * vy) AS v FROM ln1 JOIN gn USING (sentence_id, verb_index, b, e) GROUP BY ALL), t AS (SELECT sum(v) AS t FROM cell),
     scored AS (SELECT x, y, v / t AS joint, sum(v) OVER (PARTITION BY x) * sum(v) OVER (PARTITION BY y) / (t * t) AS independent FROM cell, t)
     SELECT x, y, round(joint, 6) AS joint, round(independent, 6) AS independent, round({_NPMI}, 6) + 0.0::DOUBLE AS npmi FROM scored""",
-    "question_relatedness": f"""WITH {ARG_Q}, f AS (SELECT question FROM arg_q WHERE question LIKE 'what %' GROUP BY question HAVING sum(weight) > 5), k AS (SELECT arg_id, question AS item, weight AS value FROM arg_q JOIN f USING (question)),
+    "question_slots": f"""WITH sl AS (SELECT DISTINCT {NORM_Q.format(c='u.question_string')} AS question, trim(lower(trim(coalesce(u.question_slots.prep, ''))) || ' ' || lower(trim(coalesce(u.question_slots.obj2, '')))) AS tail FROM (SELECT unnest(b.questions) AS u FROM (SELECT unnest(beam) AS b FROM verb_prediction))),
+    st AS (SELECT question, CASE WHEN tail <> '' AND ends_with(question, ' ' || tail) THEN question[: length(question) - length(tail) - 1] ELSE question END AS stem FROM sl WHERE question <> ''),
+    stems AS (SELECT question, first(stem ORDER BY length(stem), stem) AS stem FROM st GROUP BY question) SELECT * FROM stems""",
+    "question_relatedness": f"""WITH {ARG_Q}, sl AS (SELECT DISTINCT {NORM_Q.format(c='u.question_string')} AS question, trim(lower(trim(coalesce(u.question_slots.prep, ''))) || ' ' || lower(trim(coalesce(u.question_slots.obj2, '')))) AS tail FROM (SELECT unnest(b.questions) AS u FROM (SELECT unnest(beam) AS b FROM verb_prediction))),
+    st AS (SELECT question, CASE WHEN tail <> '' AND ends_with(question, ' ' || tail) THEN question[: length(question) - length(tail) - 1] ELSE question END AS stem FROM sl WHERE question <> ''),
+    stems AS (SELECT question, first(stem ORDER BY length(stem), stem) AS stem FROM st GROUP BY question),
+    f AS (SELECT question, sum(weight) AS fw FROM arg_q WHERE question LIKE 'what %' GROUP BY question HAVING sum(weight) > 5), k AS (SELECT arg_id, question AS item, weight AS value FROM arg_q JOIN f USING (question)),
     d AS (SELECT *, sum(value) OVER (PARTITION BY arg_id) AS t FROM k), w AS (SELECT sum(value) AS w FROM k), p AS (SELECT item, sum(value) / any_value(w) AS p FROM k, w GROUP BY item),
-    j AS (SELECT a.item AS x, b.item AS y, sum(a.value * b.value / a.t) / any_value(w) AS joint FROM d a JOIN k b USING (arg_id), w WHERE a.item < b.item GROUP BY ALL),
-    scored AS (SELECT j.*, px.p * py.p AS independent FROM j JOIN p px ON px.item = x JOIN p py ON py.item = y)
-    SELECT x, y, round(joint, 6) AS joint, round({_NPMI}, 6) + 0.0::DOUBLE AS npmi, round(joint - independent, 6) + 0.0::DOUBLE AS covariance,
-           regexp_replace(x, ' ({"|".join(x.PREPOSITIONS)})\\b.*$', '') = regexp_replace(y, ' ({"|".join(x.PREPOSITIONS)})\\b.*$', '') AS boring FROM scored""",
+    j AS (SELECT a.item AS x, b.item AS y, sum(a.value * b.value / a.t) / any_value(w) AS joint FROM d a JOIN k b USING (arg_id), w WHERE a.item <= b.item GROUP BY ALL),
+    sd AS (SELECT p.item, p, sqrt(greatest(joint - p * p, 0)) AS sd, fw, coalesce(stem, p.item) AS stem FROM p JOIN j ON x = item AND y = item JOIN f ON f.question = item LEFT JOIN stems ON stems.question = item),
+    scored AS (SELECT a.item AS x, b.item AS y, coalesce(joint, 0) AS joint, a.p * b.p AS independent, a.sd * b.sd AS spread, a.stem = b.stem AS boring FROM sd a JOIN sd b ON a.item < b.item AND greatest(a.fw, b.fw) > 15 LEFT JOIN j ON j.x = a.item AND j.y = b.item)
+    SELECT x, y, round(joint, 6) AS joint, round({_NPMI}, 6) + 0.0::DOUBLE AS npmi, round(joint - independent, 6) + 0.0::DOUBLE AS covariance, round((joint - independent) / nullif(spread, 0), 6) + 0.0::DOUBLE AS correlation, boring FROM scored""",
     "verb_list": f"WITH {ROLES}, n AS (SELECT lemma, count(DISTINCT (sentence_id, verb_index)) AS n FROM roles GROUP BY lemma) SELECT lemma, n, row_number() OVER (ORDER BY n DESC, lemma) AS place, round(n / sum(n) OVER (), 6) AS share FROM n",
     "sentence_navigation": f"WITH {ROLES}, s AS (SELECT DISTINCT lemma, sentence_id FROM roles) SELECT lemma, sentence_id, coalesce(lead(sentence_id) OVER w, first_value(sentence_id) OVER v) AS next, coalesce(lag(sentence_id) OVER w, last_value(sentence_id) OVER v) AS previous FROM s WINDOW w AS (PARTITION BY lemma ORDER BY {_ORDER}), v AS (PARTITION BY lemma ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "feature_lookup": f"WITH {ARG_Q} SELECT arg_id, count(*) AS n_questions, round(max(weight), 6) AS top_weight FROM arg_q WHERE verb_lemma = 'give' GROUP BY arg_id",

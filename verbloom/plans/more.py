@@ -47,20 +47,18 @@ def culled_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def remaining_arguments(spark: SparkSession, d: str) -> DataFrame:
     """Labelled arguments that no side rule takes, by lemma."""
-    arg = f.roles(spark, d).join(f.sentences(spark, d).select("sentence_id", "sentence_tokens"), "sentence_id", "left")
-    word = F.when(c("e") - c("b") == 1, F.lower(F.get("sentence_tokens", c("b"))))
-    taken = arg.filter(F.coalesce(word.isin(*x.MODALS, *x.NEGATIONS, *x.DISCOURSE), F.lit(False)) | c("role").startswith("ARGM-"))
-    keys = ["sentence_id", "verb_index", "frameset", "role", "b", "e"]
-    return f.roles(spark, d).join(taken.select(*keys), keys, "left_anti").groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+    arg = f.argument_sides(spark, d, "mnad")
+    return arg.filter("side IS NULL").groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mlm_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of mlm_feature as items of their lemma's vocabulary: the three likeliest of each feature."""
+    """Vectors of mlm_feature as items of their lemma's vocabulary, ranked by probability."""
     rows = table(spark, d, "mlm_feature").filter("feature_id IS NOT NULL").select("feature_id", norm_id("verb_lemma").alias("verb_lemma"), "arg_mlm_vec", "produced_at")
     v = latest(rows, ["feature_id"], ties=("verb_lemma",)).filter("size(arg_mlm_vec) = 64 AND verb_lemma IS NOT NULL")
     flat_v = v.select("feature_id", "verb_lemma", F.posexplode("arg_mlm_vec").alias("idx", "v")).filter("v > 0 AND NOT isnan(v)").select("feature_id", "verb_lemma", "idx", c("v").cast("double").alias("value"))
     vocab = table(spark, d, "mlm_vocab").select(norm_id("verb_lemma").alias("verb_lemma"), F.posexplode("items").alias("idx", "item"))
-    return s.rounded(a.top_items(flat_v.join(vocab, ["verb_lemma", "idx"]).drop("idx"), ["feature_id"], 3).drop("verb_lemma"))
+    rank = F.row_number().over(Window.partitionBy("feature_id").orderBy(c("value").desc(), "item", "idx"))
+    return s.rounded(flat_v.join(vocab, ["verb_lemma", "idx"]).select("feature_id", "value", "item", rank.alias("rank")))
 
 
 def lemma_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +75,7 @@ def lemma_collapse(spark: SparkSession, d: str) -> DataFrame:
     forms = table(spark, d, "verb_inflection").select(F.lower("stem").alias("lemma"), F.explode(F.array(*[F.lower(x0) for x0 in ("stem", "present_singular3rd", "present_participle", "past_form", "past_participle")])).alias("form"))
     one = forms.filter("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
     n = t.join(one, "form", "left").groupBy("sentence_id", F.coalesce("lemma", "form").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return s.rounded(a.top_items(a.normalized(n, ["sentence_id"]), ["sentence_id"], 2))
+    return s.rounded(a.normalized(n, ["sentence_id"]))
 
 
 def single_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -151,10 +149,10 @@ SQL = {
     "span_answer_weights": f"WITH {f.SPANS}, l AS (SELECT sid AS sentence_id, verb_index, len(beam) AS n, unnest(beam) AS u FROM pages WHERE len(beam) > 0) SELECT sentence_id, verb_index, u.span[1] AS b, u.span[2] AS e, round(sum(1::DOUBLE / n), 6) AS weight FROM l WHERE len(u.span) = 2 AND u.span[1] < u.span[2] GROUP BY ALL",
     "qa_distribution": f"WITH {f.SPANS}, x AS (SELECT sentence_id, verb_index, p, {NORM_Q.format(c='u.question_string')} AS question FROM (SELECT sentence_id, verb_index, p, unnest(questions) AS u FROM spans WHERE p > 0)), q AS (SELECT sentence_id, verb_index, question, sum(p) AS p, count(*) AS n FROM x WHERE question <> '' GROUP BY ALL) SELECT sentence_id, verb_index, question, n, round(p / sum(p) OVER w, 9) AS share, round(p / (sum(p) OVER w * count(*) OVER w), 9) AS weight FROM q WINDOW w AS (PARTITION BY sentence_id, verb_index)",
     "culled_sentences": f"WITH {f.SPANS} SELECT sentence_id, count(DISTINCT verb_index) AS n_verbs, count(*) AS n_entries FROM spans WHERE len(list_filter(questions, lambda q: coalesce(q.question_prob > 0 AND q.question_prob <= 1, false))) >= 2 GROUP BY ALL",
-    "remaining_arguments": f"WITH {f.ROLES}, {f.SENTENCES} SELECT lemma, count(*) AS n FROM (SELECT lemma, role, CASE WHEN e - b = 1 THEN lower(sentence_tokens[b + 1]) END AS w FROM roles LEFT JOIN sentences USING (sentence_id)) WHERE NOT coalesce(w IN {f._IN((*x.MODALS, *x.NEGATIONS, *x.DISCOURSE))}, false) AND role NOT LIKE 'ARGM-%' GROUP BY lemma",
-    "mlm_probabilities": f"WITH {_FEATURE}, voc AS (SELECT {NORM_ID.format(c='verb_lemma')} AS verb_lemma, generate_subscripts(items, 1) - 1 AS idx, unnest(items) AS item FROM mlm_vocab) SELECT feature_id, round(v, 6) AS value, item, rank FROM (SELECT feature_id, v, item, row_number() OVER (PARTITION BY feature_id ORDER BY v DESC, item) AS rank FROM comp JOIN voc USING (verb_lemma, idx) WHERE v > 0 AND NOT isnan(v)) WHERE rank <= 3",
+    "remaining_arguments": f"WITH {f.ROLES}, {f.SENTENCES} SELECT lemma, count(*) AS n FROM (SELECT lemma, role, {f._TEXT} AS w FROM roles LEFT JOIN sentences USING (sentence_id)) WHERE NOT coalesce(w IN {f._MODAL} OR w IN {f._NEG} OR w IN {f._DIS}, false) AND role NOT IN ('ARGM-TMP', 'ARGM-MNR', 'ARGM-LOC', 'ARGM-DIR') GROUP BY lemma",
+    "mlm_probabilities": f"WITH {_FEATURE}, voc AS (SELECT {NORM_ID.format(c='verb_lemma')} AS verb_lemma, generate_subscripts(items, 1) - 1 AS idx, unnest(items) AS item FROM mlm_vocab) SELECT feature_id, round(v, 6) AS value, item, rank FROM (SELECT feature_id, v, item, row_number() OVER (PARTITION BY feature_id ORDER BY v DESC, item, idx) AS rank FROM comp JOIN voc USING (verb_lemma, idx) WHERE v > 0 AND NOT isnan(v))",
     "lemma_vectors": f"WITH {_FEATURE} SELECT verb_lemma, idx, count(*) AS n, sum(round(v * 100000)::BIGINT)::BIGINT AS sum_e5, round(max(v), 5) AS top FROM comp WHERE v >= 0 AND NOT isnan(v) GROUP BY ALL",
-    "lemma_collapse": f"WITH {f.SENTENCES}, forms AS (SELECT lower(unnest([stem, present_singular3rd, present_participle, past_form, past_participle])) AS form, lower(stem) AS lemma FROM verb_inflection), one AS (SELECT form, min(lemma) AS lemma FROM forms WHERE form IS NOT NULL AND lemma IS NOT NULL GROUP BY form), t AS (SELECT sentence_id, lower(unnest(sentence_tokens)) AS form FROM sentences), n AS (SELECT sentence_id, coalesce(lemma, form) AS item, count(*)::DOUBLE AS v FROM t LEFT JOIN one USING (form) WHERE form IS NOT NULL GROUP BY ALL), sh AS (SELECT sentence_id, item, v / sum(v) OVER (PARTITION BY sentence_id) AS v FROM n) SELECT sentence_id, item, round(v, 6) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY v DESC, item) AS rank FROM sh) WHERE rank <= 2",
+    "lemma_collapse": f"WITH {f.SENTENCES}, forms AS (SELECT lower(unnest([stem, present_singular3rd, present_participle, past_form, past_participle])) AS form, lower(stem) AS lemma FROM verb_inflection), one AS (SELECT form, min(lemma) AS lemma FROM forms WHERE form IS NOT NULL AND lemma IS NOT NULL GROUP BY form), t AS (SELECT sentence_id, lower(unnest(sentence_tokens)) AS form FROM sentences), n AS (SELECT sentence_id, coalesce(lemma, form) AS item, count(*)::DOUBLE AS v FROM t LEFT JOIN one USING (form) WHERE form IS NOT NULL GROUP BY ALL), sh AS (SELECT sentence_id, item, v / sum(v) OVER (PARTITION BY sentence_id) AS v FROM n) SELECT sentence_id, item, round(v, 6) AS value FROM sh",
     "single_parameters": f"WITH {s.DIST}, k AS (SELECT verb_type, count(DISTINCT item) AS k FROM dist GROUP BY verb_type), t AS (SELECT verb_type, instance, value, (value + 0.01::DOUBLE / k) / (sum(value) OVER (PARTITION BY verb_type, instance) + 0.01::DOUBLE) AS theta FROM dist JOIN k USING (verb_type)) SELECT verb_type, instance, round(-sum(value * ln(theta)), 4) AS loss FROM t GROUP BY ALL",
     "model_pairs": "WITH t AS (SELECT DISTINCT source, lower(lang) AS lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) SELECT x.source AS a, y.source AS b, count(*) AS n_shared FROM t x JOIN t y ON x.lang = y.lang AND x.source < y.source GROUP BY ALL",
     "npmi_frequent": None,
