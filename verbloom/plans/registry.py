@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering", "serving", "streaming", "more")
+_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering", "serving", "streaming", "more", "structure")
 
 
 def _collected(what: str) -> dict:
