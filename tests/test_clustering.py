@@ -357,3 +357,66 @@ def test_side_labels(spark):
     assert label("mnad") == ["MODAL", "NEG", "DIS", "TMP", None, None]
     assert label("s") == ["MOD", "NEG", "ADV", "TMP", "SBJ", "OBJ"] and label("c") == ["A", "N", "D", "T", "OBJ", None]
     assert label("mg") == ["MODAL", "AM-NEG", "AM-DIS", "AM-TMP", "A0", "A1"] and label("r")[-1] == "go.01.A1" and label("") == [None] * 6
+
+
+@pytest.mark.parametrize("by_size", [False, True])
+def test_random_trees(spark, by_size):
+    for n in (1, 2, 3, 40):
+        t = agglom.random_tree(n, np.random.default_rng(n), by_size)
+        sizes = t.fold(lambda i: 1, lambda _, a, b: a + b)
+        assert len(t.merges) == n - 1 and len(t.roots()) == 1 and sizes[t.roots()[0]] == n
+    df = spark.createDataFrame([(v, i) for v in "ab" for i in range(30)], "verb_type string, instance long")
+    nodes, leaves = tree.random_trees(df, 1, by_size)
+    assert leaves.groupBy("verb_type").count().collect()[0]["count"] == 30 and nodes.filter("parent < 0").count() == 2
+    again, _ = tree.random_trees(df, 1, by_size)
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_label_trees_split_off_one_label_a_step(spark):
+    rows = [("v", i, label) for i, label in enumerate("aaaabbbccd")] + [("w", 1, "a")]
+    nodes, leaves = models.label_trees(spark.createDataFrame(rows, "verb_type string, instance long, cluster string"))
+    for step in range(4):
+        got = {}
+        for r in tree.cut_at(nodes, leaves, step).filter("verb_type = 'v'").collect():
+            got.setdefault(r.cluster, set()).add(rows[r.instance][2])
+        big = [set("abcd"[: k + 1]) for k in range(4)]
+        assert sorted(map(sorted, got.values())) == sorted([sorted(x) for x in [set("dcba"[: 4 - step])] + [{x} for x in "dcba"[4 - step :]]]), (step, got, big)
+    assert nodes.filter("verb_type = 'w'").count() == 1 and {r.depth for r in nodes.filter("verb_type = 'w'").collect()} == {0}
+    kids = {r.node: (r.left, r.right, r.size) for r in nodes.filter("verb_type = 'v'").collect()}
+    assert all(s == kids[a][2] + kids[b][2] for a, b, s in kids.values() if a >= 0)
+
+
+def test_weighted_terms_cost_their_own_losses(spark):
+    """Question entropy and pairs of one verb: merges equal those of the kernel over both terms; large and small verb
+    types agree, and arguments without questions are placed too."""
+    rng = np.random.default_rng(2)
+    n = 24
+    counts = rng.integers(0, 6, (n, 5)).astype(float)
+    counts[3] = 0
+    verbs = np.arange(n) % 8
+    q = [("v", i, f"q{j}", float(counts[i, j])) for i in range(n) for j in range(5) if counts[i, j]]
+    f = {
+        "questions": spark.createDataFrame(q, "verb_type string, instance long, item string, value double"), "verbs": spark.createDataFrame([("v", i, f"s:{verbs[i]}") for i in range(n)], "verb_type string, instance long, verb string"),
+        "instances": spark.createDataFrame([("v", i) for i in range(n)], "verb_type string, instance long"),
+    }
+    nodes, leaves, _ = models.run("arg/qent+dv", f)
+    assert leaves.count() == n
+    counts = np.c_[counts, np.zeros(n)]
+    counts[3, 5] = 1  # <none>
+    want = agglom.agglomerate([agglom.min_entropy(counts, 0.5), agglom.repeated_keys(np.eye(8)[verbs], 0.5)], check=False)
+    assert sorted(round(r.loss, 6) for r in nodes.collect()) == pytest.approx(sorted(round(want.loss(x), 6) for x in range(2 * n - 1)), abs=2e-6)
+    rows, kinds = models.costs(models.parse("arg/qent+dv"), f)
+    small = models.hybrid_model(rows, flat_clusters=6, terms=kinds, task_limit=100)
+    large = models.hybrid_model(rows, flat_clusters=6, terms=kinds, task_limit=5)
+    groups = lambda leaves: sorted(tuple(sorted(r.instance for r in g)) for g in _by_leaf(leaves).values())
+    assert groups(large[1]) == groups(models.hybrid_model(rows, flat_clusters=6, terms=kinds, task_limit=100, task_entries=1)[1])
+    assert small[1].count() == large[1].count() == n and len(groups(large[1])) <= 6
+    one, members, _ = models.run("arg/noop", f)
+    assert members.count() == n and one.filter("parent < 0").first().size == n and one.first().loss == 0
+
+
+def _by_leaf(leaves):
+    out = {}
+    for r in leaves.collect():
+        out.setdefault(r.leaf, []).append(r)
+    return out

@@ -53,6 +53,11 @@ def vector_mean(vectors: np.ndarray, weight: float = 1.0, scale: float = 175.0)
     return Term(rows, lambda m: (m[..., 1] - (m[..., 2:] ** 2).sum(axis=-1) / m[..., 0]) / scale, weight)
 
 
+def no_loss(n: int) -> Term:
+    """A term that costs nothing: all merges are alike and come in order."""
+    return Term(np.zeros((n, 1)), lambda m: np.zeros(m.shape[:-1]), 1.0)
+
+
 @dataclass
 class Tree:
     """Merges in order: (left, right, loss); leaves are 0..n-1, merge k makes node n + k. Unmerged roots may remain."""
@@ -139,6 +144,31 @@ def complete_linkage(distance: np.ndarray) -> Tree:
     return tree
 
 
+def random_tree(n: int, rng: np.random.Generator, by_size: bool = False) -> Tree:
+    """Pairs of clusters drawn at random are merged, at no loss, until one is left: all clusters alike, or `by_size` with
+    chances in proportion to their members. A cluster is drawn by one of its members (or roots), so a draw takes no scan."""
+    tree, root, node, roots = Tree(n, [0.0] * n), list(range(n)), list(range(n)), list(range(n))
+    place = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k in range(n - 1):
+        draw = (lambda: find(int(rng.integers(n)))) if by_size else (lambda: roots[int(rng.integers(len(roots)))])
+        a = b = draw()
+        while b == a:
+            b = draw()
+        tree.merges.append((node[a], node[b], 0.0))
+        root[b], node[a] = a, n + k
+        at, last = place[b], roots[-1]
+        roots[at], place[last] = last, at
+        roots.pop()
+    return tree
+
+
 @dataclass
 class Rows:
     """Sparse counts: the entries of row i are start[i]..start[i + 1] of `items` and `values`; every row has some."""

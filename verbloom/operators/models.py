@@ -114,16 +114,81 @@ def term_distribution(term: str, features: dict[str, DataFrame]) -> DataFrame:
         return named[term]()
     if "mlm_" in term:
         return q(term)
-    raise NotImplementedError(f"{term} has no distribution")  # noop, dv and the size prior are terms of the kernels
+    raise ValueError(f"{term} has no distribution")  # noop and dv: see costs
+
+
+def costs(model: Model, features: dict[str, DataFrame]) -> tuple[DataFrame | None, trees.Terms]:
+    """The terms of a model: their rows (verb_type, instance, item, value, term), and what each costs. `noop` has no rows
+    and costs nothing; `dv` has the verb of each instance (`verbs`: verb_type, instance, verb) and costs a pair of
+    arguments of one verb; all others have a distribution and cost its entropy."""
+    rows, kinds = None, []
+    for k, (term, weight) in enumerate(model.terms.items()):
+        if term == "noop":
+            kinds.append(("none", weight))
+            continue
+        if term == "dv":
+            own = features["verbs"].select("verb_type", "instance", c("verb").cast("string").alias("item"), F.lit(1.0).alias("value"))
+        else:
+            own = term_distribution(term, features).select("verb_type", "instance", c("item").cast("string").alias("item"), c("value").cast("double").alias("value"))
+        kinds.append(("pairs" if term == "dv" else "entropy", weight))
+        own = own.withColumn("term", F.lit(k))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows, tuple(kinds)
 
 
 def argument_model(model: Model, features: dict[str, DataFrame], side: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(nodes, leaves, side clusters): side clusters come out first, the remaining instances are clustered by the
-    weighted distributions of the model's terms."""
-    dist = combined([(term_distribution(t, features), w) for t, w in model.terms.items()])
+    """(nodes, leaves, side clusters): side clusters (verb_type, instance, cluster) come out first, the remaining
+    `instances` (verb_type, instance) are clustered by the model's terms. Without `instances` those of the terms count."""
+    rows, kinds = costs(model, features)
+    if "instances" in features:
+        every = features["instances"].select("verb_type", "instance").distinct()
+        plain = every.select("verb_type", "instance", F.lit("<none>").alias("item"), F.lit(1.0).alias("value"), F.lit(len(kinds)).alias("term"))
+        rows = plain if rows is None else rows.join(every, ["verb_type", "instance"], "left_semi").unionByName(plain.join(rows.select("verb_type", "instance").distinct(), ["verb_type", "instance"], "left_anti"))
+        if not any(kind == "entropy" for kind, _ in kinds):  # flat clusters need an item of each instance
+            rows = rows.filter(c("term") < len(kinds)).unionByName(plain)
     if side is not None:
-        dist = dist.join(side.select("verb_type", "instance").distinct(), ["verb_type", "instance"], "left_anti")
-    return *hybrid_model(dist, **options), side
+        rows = rows.join(side.select("verb_type", "instance").distinct(), ["verb_type", "instance"], "left_anti")
+    return *hybrid_model(rows, terms=kinds, **options), side
+
+
+def run(text: str, features: dict[str, DataFrame], seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The model of a string over its features: (nodes, leaves, side clusters). `features` has what the terms need (see
+    term_distribution and costs), `instances`, and for side rules and baselines `sides` (verb_type, instance, text,
+    function, converted, role, sense)."""
+    model, side = parse(text), None
+    named = lambda label: features["sides"].select("verb_type", "instance", label.alias("cluster")).filter("cluster IS NOT NULL")
+    if model.side:
+        side = cut(named(side_label(model.side, *(c(k) for k in ("text", "function", "converted", "role", "sense")))))
+    if model.kind == "full":
+        return argument_model(model, features, side, seed=seed)
+    setting = next(iter(model.terms))
+    rest = features["instances"] if side is None else features["instances"].join(side, ["verb_type", "instance"], "left_anti")
+    if setting in ("random", "random_weighted"):
+        return *trees.random_trees(rest, seed, setting == "random_weighted"), side
+    labels = {"syntf": c("function"), "syntf2": c("converted"), "gold_nosense": c("role"), "gold_wsense": F.concat_ws(".", "sense", "role"), "random_linear": c("instance").cast("string")}
+    own = named(labels[setting.removesuffix("+noise")]).join(rest.select("verb_type", "instance"), ["verb_type", "instance"], "left_semi")
+    if setting.endswith("+noise"):
+        own = noisy(own.withColumnRenamed("cluster", "label"), 0.1, seed).withColumnRenamed("label", "cluster")
+    return *label_trees(own), side
+
+
+def label_trees(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of linear trees at no loss whose leaves are the labels of (verb_type, instance, cluster), joined in
+    the order of label_tree; step k of their lives splits off the k-th label from the end."""
+    order = label_tree(clusters.withColumnRenamed("cluster", "label")).withColumn("k", F.max("step").over(Window.partitionBy("verb_type")))
+    last = 2**31 - 1
+    whole = lambda **x: [v.cast("int").alias(k) for k, v in x.items()]
+    # leaves are nodes 0..k-1 in order; the merge of the labels up to step j (from 2) is node k + j - 2
+    leaf = order.select(
+        "verb_type", *whole(node=c("step") - 1, parent=F.when(c("k") == 1, -1).otherwise(c("k") + F.greatest(c("step"), F.lit(2)) - 2), left=F.lit(-1), right=F.lit(-1)), F.lit(0.0).alias("loss"), c("n").alias("size"),
+        *whole(depth=F.when(c("k") == 1, 0).otherwise(c("k") - F.greatest(c("step"), F.lit(2)) + 1), leaf_lo=c("step") - 1, leaf_hi=c("step") - 1, born=F.when(c("k") == 1, 0).otherwise(c("k") - F.greatest(c("step"), F.lit(2)) + 1), died=F.lit(last)),
+    )
+    merge = order.filter("step >= 2").select(
+        "verb_type", *whole(node=c("k") + c("step") - 2, parent=F.when(c("step") == c("k"), -1).otherwise(c("k") + c("step") - 1), left=F.when(c("step") == 2, 0).otherwise(c("k") + c("step") - 3), right=c("step") - 1), F.lit(0.0).alias("loss"), c("n_below").alias("size"),
+        *whole(depth=c("k") - c("step"), leaf_lo=F.lit(0), leaf_hi=c("step") - 1, born=c("k") - c("step"), died=c("k") - c("step") + 1),
+    )
+    leaves = clusters.join(order.select("verb_type", c("label").alias("cluster"), (c("step") - 1).cast("int").alias("leaf")), ["verb_type", "cluster"]).select("verb_type", "leaf", "instance")
+    return cut(leaf.unionByName(merge)), cut(leaves)
 
 
 def side_label(side: frozenset[str], text: Column, function: Column, converted: Column, role: Column, sense: Column) -> Column:
@@ -170,13 +235,14 @@ def noisy(labels: DataFrame, share: float, seed: int, uniform: bool = False) ->
     unit = lambda salt: F.pmod(F.xxhash64("verb_type", "instance", F.lit(seed), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.lit(1) if uniform else c("n"))
     w = Window.orderBy("label")  # a row per label
-    edges = n.select(c("label").alias("drawn"), ((F.sum("n").over(w) - c("n")) / F.sum("n").over(Window.partitionBy())).alias("lo"), (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("hi"))
-    drawn = labels.withColumns({"u": unit(1), "v": unit(2)})
-    table = F.array_sort(F.collect_list(F.struct("lo", "hi", "drawn")))
-    picks = edges.agg(table.alias("t")).select("t").first()["t"]  # a row per label
-    options = F.array(*[F.struct(F.lit(r.hi).alias("hi"), F.lit(r.drawn).alias("drawn")) for r in picks])
-    pick = F.get(F.filter(options, lambda o: c("v") < o["hi"]), F.lit(0))["drawn"]
-    return drawn.withColumn("label", F.when(c("u") > 1 - share, F.coalesce(pick, c("label"))).otherwise(c("label"))).drop("u", "v")
+    hi = F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())
+    edges = n.select(c("label").alias("drawn"), hi.alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("drawn")), F.lit(0.0)))
+    # labels and draws meet in buckets of the unit interval: an edge is in each bucket that it touches
+    size = 256
+    touched = edges.withColumn("bucket", F.explode(F.sequence(F.floor(c("lo") * size), F.floor(c("hi") * size))))
+    rows = labels.withColumns({"u": unit(1), "v": unit(2)}).withColumn("bucket", F.floor(c("v") * size))
+    again = rows.filter(c("u") > 1 - share).join(touched, "bucket").filter((c("lo") <= c("v")) & (c("v") < c("hi")))
+    return rows.filter(c("u") <= 1 - share).select(*labels.columns).unionByName(again.withColumn("label", c("drawn")).select(*labels.columns))
 
 
 def random_clusters(instances: DataFrame, k: int, seed: int) -> DataFrame:
@@ -187,38 +253,26 @@ def random_clusters(instances: DataFrame, k: int, seed: int) -> DataFrame:
 # --- full models
 
 
-def side_and_rest(instances: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Side clusters first: (clusters of the side model, instances that are in none)."""
-    return side, instances.join(side.select("verb_type", "instance"), ["verb_type", "instance"], "left_anti")
-
-
-def combined(parts: list[tuple[DataFrame, float]]) -> DataFrame:
-    """One distribution of the terms' distributions, items told apart by term, weights times the term's."""
-    out = None
-    for k, (dist, weight) in enumerate(parts):
-        own = dist.select("verb_type", "instance", F.concat(F.lit(f"{k}:"), c("item").cast("string")).alias("item"), (c("value") * F.lit(float(weight))).alias("value"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def hybrid_model(dist: DataFrame, alpha: float = 0.01, task_limit: int = 20_000, flat_clusters: int = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of the hybrid clustering of verb types of any size: those up to `task_limit` instances within a
-    task each; larger ones get the same flat clusters by jobs, which are then agglomerated as sets of their members."""
-    dist = cut(dist)
-    size = dist.groupBy("verb_type").agg(F.countDistinct("instance").alias("n"))
-    large = cut(size.filter(c("n") > task_limit).select("verb_type"))
+def hybrid_model(dist: DataFrame, alpha: float = 0.01, task_limit: int = 20_000, task_entries: int = 2_000_000, flat_clusters: int = 100, seed: int = 0, terms: trees.Terms = trees.ENTROPY) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of the hybrid clustering of verb types of any size: those up to `task_limit` instances and
+    `task_entries` rows within a task each; larger ones get the same flat clusters by jobs, which are then agglomerated
+    as sets of their members. `dist` may have a column `term` for several `terms`."""
+    dist = cut(trees.with_term(dist, terms))
+    size = dist.groupBy("verb_type").agg(F.countDistinct("instance").alias("n"), F.count(F.lit(1)).alias("entries"))
+    large = cut(size.filter((c("n") > task_limit) | (c("n") > flat_clusters) & (c("entries") > task_entries)).select("verb_type"))
     small = dist.join(large, "verb_type", "left_anti")
-    nodes, leaves = trees.clustered(small, alpha, seed=seed, flat_clusters=flat_clusters)
+    nodes, leaves = trees.clustered(small, alpha, seed=seed, flat_clusters=flat_clusters, terms=terms)
+    plain = terms if any(kind == "entropy" for kind, _ in terms) else (*terms, ("entropy", 1.0))
     at = None
-    for (name,) in large.collect():  # few: each has more than task_limit instances
-        own = flat.Blocks(dist.filter(c("verb_type") == F.lit(name))).sets(flat_clusters, alpha, seed)
+    for (name,) in large.collect():  # few: each has more than task_limit instances or task_entries rows
+        own = flat.Blocks(trees.flat_items(dist.filter(c("verb_type") == F.lit(name)), plain)).sets(flat_clusters, alpha, seed)
         own = own.select(F.lit(name).alias("verb_type"), "instance", "set")
         at = own if at is None else at.unionByName(own)
     if at is None:
         return nodes, leaves
     at = cut(at)
     n = at.groupBy("verb_type", "set").agg(F.count(F.lit(1)).alias("members"))
-    sets = dist.join(at, ["verb_type", "instance"]).groupBy("verb_type", "set", "item").agg(F.sum("value").alias("value")).join(n, ["verb_type", "set"])
-    top, inner = trees.clustered(sets.withColumnRenamed("set", "instance"), alpha, seed=seed, limit=flat_clusters)
+    sets = dist.join(at, ["verb_type", "instance"]).groupBy("verb_type", "set", "term", "item").agg(F.sum("value").alias("value")).join(n, ["verb_type", "set"])
+    top, inner = trees.clustered(sets.withColumnRenamed("set", "instance"), alpha, seed=seed, limit=flat_clusters, terms=terms)
     members = inner.withColumnRenamed("instance", "set").join(at, ["verb_type", "set"]).select("verb_type", "leaf", "instance")
     return nodes.unionByName(top), leaves.unionByName(members)

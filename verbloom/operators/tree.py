@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbloom.operators.agglom import DIRECT_LIMIT, FLAT_CLUSTERS, MAX_DEPTH, Rows, Term, Tree, agglomerate, capped, flat_sets, max_prior, min_entropy
+from verbloom.operators.agglom import DIRECT_LIMIT, FLAT_CLUSTERS, MAX_DEPTH, Rows, Term, Tree, agglomerate, capped, flat_sets, max_prior, min_entropy, no_loss, random_tree, repeated_keys
 from verbloom.session import cut
 
 c = F.col
@@ -89,41 +89,102 @@ def frame(verb_type: str, tree: Tree, sizes: list[float], by: str = "per_count")
     })
 
 
-def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, Rows, np.ndarray]:
-    pdf = pdf.dropna(subset=["instance", "item"])
-    ids, first, i = np.unique(pdf["instance"].to_numpy(), return_index=True, return_inverse=True)
+#: What a model's terms cost: the entropy of summed distributions, or pairs of members with a key in common.
+KINDS = {"entropy": min_entropy, "pairs": repeated_keys}
+#: (kind, weight) of the terms 0, 1, ... of a distribution.
+Terms = tuple[tuple[str, float], ...]
+ENTROPY: Terms = (("entropy", 1.0),)
+
+
+def flat_items(dist: DataFrame, terms: Terms) -> DataFrame:
+    """(verb_type, instance, item, value) that flat clusters are made by: the items of the entropy terms, told apart by
+    term, times its weight."""
+    weight = F.coalesce(*[F.when(c("term") == k, F.lit(float(w))) for k, (kind, w) in enumerate(terms) if kind == "entropy"], F.lit(None).cast("double"))
+    rows = dist.withColumn("_w", weight).filter("_w IS NOT NULL")
+    return rows.select("verb_type", "instance", F.concat_ws(":", c("term").cast("string"), c("item").cast("string")).alias("item"), (c("value") * c("_w")).alias("value"))
+
+
+def with_term(dist: DataFrame, terms: Terms) -> DataFrame:
+    """`dist` with the column `term` (0 where it has none). Instances without an entry in an entropy term get the item
+    <none> in the first term, so that every one has a place among the flat clusters."""
+    rows = dist if "term" in dist.columns else dist.withColumn("term", F.lit(0))
+    kinds = [k for k, (kind, _) in enumerate(terms) if kind == "entropy"]
+    if len(kinds) == len(terms):
+        return rows
+    has = rows.filter(c("term").isin(kinds)) if kinds else rows.limit(0)
+    bare = rows.select("verb_type", "instance").distinct().join(has.select("verb_type", "instance").distinct(), ["verb_type", "instance"], "left_anti")
+    return rows.unionByName(bare.withColumns({"item": F.lit("<none>"), "value": F.lit(1.0), "term": F.lit(kinds[0] if kinds else len(terms))}), allowMissingColumns=True)
+
+
+def _matrix(pdf: pd.DataFrame, ids: np.ndarray) -> Rows:
+    i = np.searchsorted(ids, pdf["instance"].to_numpy())
     j, names = pd.factorize(pdf["item"], sort=True)
-    code, at = np.unique(i.astype(np.int64) * len(names) + j, return_inverse=True)
-    values = np.bincount(at, pdf["value"].to_numpy(float))
-    return ids, Rows(np.searchsorted(code // len(names), np.arange(len(ids) + 1)), code % len(names), values, len(names)), pdf["members"].to_numpy()[first]
+    code, at = np.unique(i.astype(np.int64) * max(len(names), 1) + j, return_inverse=True)
+    values = np.bincount(at, pdf["value"].to_numpy(float), minlength=len(code))
+    return Rows(np.searchsorted(code // max(len(names), 1), np.arange(len(ids) + 1)), code % max(len(names), 1), values, max(len(names), 1))
 
 
-def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0, flat_clusters: int = FLAT_CLUSTERS) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of the hybrid entropy clustering of each verb type, from (verb_type, instance, item, value).
+def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0, flat_clusters: int = FLAT_CLUSTERS, terms: Terms = ENTROPY) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of the hybrid clustering of each verb type, from (verb_type, instance, item, value), with `term`
+    where there are several `terms`; merges go by the sum of their losses, each times its weight.
 
     One task per verb type, which holds its rows and flat clusters by items. Larger ones get flat clusters first, which
     are then the instances here, with a column `members` that counts theirs (see models.hybrid_model).
     """
-    members = c("members").cast("bigint") if "members" in dist.columns else F.lit(1).cast("bigint").alias("members")
-    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"), members)
+    dist = with_term(dist, terms)
+    members = F.coalesce(c("members"), F.lit(1)).cast("bigint").alias("members") if "members" in dist.columns else F.lit(1).cast("bigint").alias("members")
+    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"), c("term").cast("int"), members)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, counts, members = _rows(pdf)
-        at = flat_sets(counts, flat_clusters, alpha, seed) if len(ids) > limit else np.arange(len(ids))
+        pdf = pdf.dropna(subset=["instance", "item"])
+        ids, first = np.unique(pdf["instance"].to_numpy(), return_index=True)
+        members = pdf.groupby("instance")["members"].max().to_numpy()  # sets of one term may lack in another
+        if len(ids) > limit:
+            flat = pdf.assign(w=pdf["term"].map({k: w for k, (kind, w) in enumerate(terms) if kind == "entropy"} | ({} if any(kind == "entropy" for kind, _ in terms) else {len(terms): 1.0}))).dropna(subset=["w"])
+            flat = flat.assign(item=flat["term"].astype(str) + ":" + flat["item"], value=flat["value"] * flat["w"])
+            at = flat_sets(_matrix(flat, ids), flat_clusters, alpha, seed)
+        else:
+            at = np.arange(len(ids))
         sets = int(at.max()) + 1
-        terms = [min_entropy(counts.sums(at, sets))] + ([max_prior(np.bincount(at, members), members.sum(), prior_weight)] if prior_weight else [])
-        tree, at = capped(agglomerate(terms, check=False), at, MAX_DEPTH)
+        costs = [KINDS[kind](_matrix(pdf[pdf["term"] == k], ids).sums(at, sets), weight=w) for k, (kind, w) in enumerate(terms) if kind in KINDS]
+        costs += [max_prior(np.bincount(at, members), members.sum(), prior_weight)] if prior_weight else []
+        tree, at = capped(agglomerate(costs or [no_loss(sets)], check=False), at, MAX_DEPTH)
         nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, members, minlength=tree.n).tolist())
-        leaves = pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": nodes["leaf_lo"].to_numpy()[at], "instance": ids})
-        both = pd.concat([nodes, leaves], ignore_index=True)
-        whole = {"leaf": "Int32", "instance": "Int64", "size": "Int64"} | {k: "Int32" for k in ("node", "parent", "left", "right", "depth", "leaf_lo", "leaf_hi", "born", "died")}
-        return both.astype(whole)
+        return _tables(nodes, at, ids)
+
+    return _split(rows.groupBy("verb_type").applyInPandas(build, _BOTH))
+
 
-    both = cut(rows.groupBy("verb_type").applyInPandas(build, f"{NODE_SCHEMA}, {LEAF_SCHEMA.split(', ', 1)[1]}"))  # one pass for both tables
+_BOTH = f"{NODE_SCHEMA}, {LEAF_SCHEMA.split(', ', 1)[1]}"
+
+
+def _tables(nodes: pd.DataFrame, at: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """Node rows and leaf rows of one tree as one frame; `at` is the leaf of each id."""
+    leaves = pd.DataFrame({"verb_type": nodes["verb_type"].iloc[0], "leaf": nodes["leaf_lo"].to_numpy()[at], "instance": ids})
+    whole = {"leaf": "Int32", "instance": "Int64", "size": "Int64"} | {k: "Int32" for k in ("node", "parent", "left", "right", "depth", "leaf_lo", "leaf_hi", "born", "died")}
+    return pd.concat([nodes, leaves], ignore_index=True).astype(whole)
+
+
+def _split(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    both = cut(both)  # one pass for both tables
     names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
     return both.filter("node IS NOT NULL").select(*names), both.filter("leaf IS NOT NULL").select("verb_type", "leaf", "instance")
 
 
+def random_trees(instances: DataFrame, seed: int, by_size: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of a random tree over the instances of each verb type, at no loss; cut at MAX_DEPTH. One task per
+    verb type, which holds its ids."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(pdf["instance"].to_numpy())
+        name = pdf["verb_type"].iloc[0]
+        rng = np.random.default_rng([seed, *name.encode()])
+        tree, at = capped(random_tree(len(ids), rng, by_size), np.arange(len(ids)), MAX_DEPTH)
+        return _tables(frame(name, tree, np.bincount(at, minlength=tree.n).tolist()), at, ids)
+
+    return _split(instances.select(c("verb_type").cast("string"), c("instance").cast("bigint")).distinct().groupBy("verb_type").applyInPandas(build, _BOTH))
+
+
 def cut_at(nodes: DataFrame, leaves: DataFrame, step) -> DataFrame:
     """(verb_type, instance, cluster): members of the nodes alive at a step (a number or a column of `nodes`)."""
     s = F.lit(step) if isinstance(step, int) else step

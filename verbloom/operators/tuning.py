@@ -40,7 +40,7 @@ def _mixing() -> Column:
 
 
 def _per_item() -> Column:
-    return F.round(c("loss") / c("size"), 9)
+    return F.round(F.try_divide("loss", "size"), 9)
 
 
 def _smallest(score: Column) -> list[Column]:
@@ -69,7 +69,7 @@ ORDERS: dict[str, Callable[[], list[Column]]] = {
     "oracle": lambda: _smallest(-((1 + c("t") * c("t")) * c("precision") * c("recall") / F.greatest(c("t") * c("t") * c("precision") + c("recall"), F.lit(1e-300)))),
     "entropy": lambda: _smallest(c("loss") + c("t") * _mixing()),
     "wentropy": lambda: _smallest(c("loss") + c("t") * (_xlogx(c("weight_sum")) - c("wlogw"))),
-    "max-entropy": lambda: _smallest(c("top_loss") + c("t") * _mixing() / c("size")),
+    "max-entropy": lambda: _smallest(c("top_loss") + c("t") * F.try_divide(_mixing(), c("size"))),
     "log-penalty": lambda: _smallest(c("loss") + c("t") * F.log(c("n_clusters").cast("double")) * c("size")),
     "linear-penalty": lambda: _smallest(c("loss") + c("t") * c("n_clusters") * c("size")),
     "sq-nclusters": lambda: _smallest(c("loss") + c("t") * c("n_clusters") * c("n_clusters")),
@@ -194,6 +194,18 @@ def curve(nodes: DataFrame, leaves: DataFrame, gold: DataFrame, limit: int = 100
     return trees.steps(nodes, limit).join(points, ["verb_type", "step"]).select("verb_type", "step", "n_clusters", "loss", "xlogx", "size", "top_loss", "wlogw", "weight_sum", (c("p") / c("weight")).alias("precision"), (c("r") / c("weight")).alias("recall"), "weight")
 
 
+def model_points(nodes: DataFrame, leaves: DataFrame, gold: DataFrame, side: DataFrame | None, limit: int = 1000) -> DataFrame:
+    """`curve` of a model; verb types without a tree have one point, of their side clusters alone."""
+    points = curve(nodes, leaves, gold, limit, side)
+    if side is None:
+        return points
+    bare = side.join(nodes.select("verb_type").distinct(), "verb_type", "left_anti").join(gold, "instance")
+    n = bare.groupBy("verb_type", "cluster", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    one = leaf_points(n).select("verb_type", "precision", "recall", "weight")
+    empty = {"step": F.lit(0), "n_clusters": F.lit(0)} | {k: F.lit(0.0) for k in ("loss", "xlogx", "top_loss", "wlogw", "weight_sum")} | {"size": F.lit(0).cast("bigint")}
+    return points.unionByName(one.withColumns(empty))
+
+
 def linear_curve(counts: DataFrame, entropy: bool = False) -> DataFrame:
     """Points of the linear tree that joins clusters from the smallest up: at step t the t largest clusters stand alone
     and the rest are one. From (verb_type, cluster, label, n); a verb type has as many steps as clusters. Losses are 0, as

@@ -110,14 +110,9 @@ def heap_trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(pdf["instance"].to_numpy())
-        nodes = trees.frame(pdf["verb_type"].iloc[0], _balanced(len(ids)), [1.0] * len(ids))
-        own = pd.DataFrame({"verb_type": pdf["verb_type"].iloc[0], "leaf": np.arange(len(ids)), "instance": ids})
-        whole = {"leaf": "Int32", "instance": "Int64", "size": "Int64"} | {k: "Int32" for k in ("node", "parent", "left", "right", "depth", "leaf_lo", "leaf_hi", "born", "died")}
-        return pd.concat([nodes, own], ignore_index=True).astype(whole)
-
-    both = cut(rows.groupBy("verb_type").applyInPandas(build, f"{trees.NODE_SCHEMA}, {trees.LEAF_SCHEMA.split(', ', 1)[1]}"))
-    names = [x.split()[0] for x in trees.NODE_SCHEMA.split(", ")]
-    return both.filter("node IS NOT NULL").select(*names), both.filter("leaf IS NOT NULL").select("verb_type", "leaf", "instance")
+        return trees._tables(trees.frame(pdf["verb_type"].iloc[0], _balanced(len(ids)), [1.0] * len(ids)), np.arange(len(ids)), ids)
+
+    return trees._split(rows.groupBy("verb_type").applyInPandas(build, trees._BOTH))
 
 
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
