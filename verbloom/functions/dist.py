@@ -115,3 +115,19 @@ def harmonic(p: Column, r: Column, beta: float = 1.0) -> Column:
 def shrunk(value: Column, weight: Column, mean: Column, smoothing: float) -> Column:
     """A value drawn towards the mean as if `smoothing` more observations had it."""
     return (value * weight + mean * F.lit(float(smoothing))) / (weight + F.lit(float(smoothing)))
+
+
+def fixed_width(x: Column, width: int, digits: int) -> Column:
+    """A number with so many digits, filled with blanks on the left to a width."""
+    return F.format_string(f"%{width}.{digits}f", x.cast("double"))
+
+
+def to_pairs(m: Column) -> Column:
+    """A map as a JSON list of [key, value] pairs, for keys that JSON can't have."""
+    return F.to_json(F.transform(F.map_entries(m), lambda e: F.array(F.to_json(F.struct(e["key"].alias("k"))), e["value"].cast("string"))))
+
+
+def from_pairs(text: Column, key: str) -> Column:
+    """The map of keys of a type to doubles that `to_pairs` wrote."""
+    pairs = F.from_json(text, "array<array<string>>")
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.from_json(p[0], f"k {key}")["k"], p[1].cast("double"))))

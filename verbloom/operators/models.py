@@ -112,7 +112,7 @@ def term_distribution(term: str, features: dict[str, DataFrame]) -> DataFrame:
     }
     if term in named:
         return named[term]()
-    if "mlm_" in term:
+    if "mlm_" in term:  # vectors of arguments, or of verbs (mlm_<mode>)
         return q(term)
     raise ValueError(f"{term} has no distribution")  # noop and dv: see costs
 
@@ -154,8 +154,10 @@ def argument_model(model: Model, features: dict[str, DataFrame], side: DataFrame
 def run(text: str, features: dict[str, DataFrame], seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The model of a string over its features: (nodes, leaves, side clusters). `features` has what the terms need (see
     term_distribution and costs), `instances`, and for side rules and baselines `sides` (verb_type, instance, text,
-    function, converted, role, sense)."""
+    function, converted, role, sense). Models of verbs have the verbs as instances and their senses in `sides`."""
     model, side = parse(text), None
+    if model.index == "joint":
+        raise ValueError("joint models are clustered by agglom.joint")
     named = lambda label: features["sides"].select("verb_type", "instance", label.alias("cluster")).filter("cluster IS NOT NULL")
     if model.side:
         side = cut(named(side_label(model.side, *(c(k) for k in ("text", "function", "converted", "role", "sense")))))
@@ -165,6 +167,12 @@ def run(text: str, features: dict[str, DataFrame], seed: int = 0) -> tuple[DataF
     rest = features["instances"] if side is None else features["instances"].join(side, ["verb_type", "instance"], "left_anti")
     if setting in ("random", "random_weighted"):
         return *trees.random_trees(rest, seed, setting == "random_weighted"), side
+    if model.index == "verb":
+        own = named(c("sense")) if setting.startswith("gold") else named(c("instance").cast("string"))
+        own = own.join(rest.select("verb_type", "instance"), ["verb_type", "instance"], "left_semi")
+        if setting.endswith("_noise"):
+            own = noisy(own.withColumnRenamed("cluster", "label"), 0.1, seed, setting == "gold+uniform_noise").withColumnRenamed("label", "cluster")
+        return *label_trees(own), side
     labels = {"syntf": c("function"), "syntf2": c("converted"), "gold_nosense": c("role"), "gold_wsense": F.concat_ws(".", "sense", "role"), "random_linear": c("instance").cast("string")}
     own = named(labels[setting.removesuffix("+noise")]).join(rest.select("verb_type", "instance"), ["verb_type", "instance"], "left_semi")
     if setting.endswith("+noise"):

@@ -75,3 +75,20 @@ def aligned(left: DataFrame, right: DataFrame, left_key: str, right_key: str, te
     missing = F.raise_error(F.concat(F.lit("no text for "), c(left_key).cast("string")))
     joined = norm(left).join(first, "_t", "left")
     return joined.select(left_key, F.when(c(right_key).isNull(), missing).otherwise(c(right_key)).alias(right_key))
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of either side by keys, with `side`: both, left or right; columns of the missing side are null."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), keys, "full")
+    return both.withColumn("side", F.when(c("_l") & c("_r"), "both").when(c("_l"), "left").otherwise("right")).drop("_l", "_r")
+
+
+def union_unique(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All rows of tables with the same columns; a key that two rows have fails the query when it is read."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    clash = F.raise_error(F.concat_ws(" ", F.lit("repeated:"), *[c(k).cast("string") for k in keys]))
+    first = keys[0]
+    return out.withColumn(first, F.when(n > 1, clash.cast(out.schema[first].dataType)).otherwise(c(first)))

@@ -37,7 +37,7 @@ def arguments(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def _mean(points: DataFrame, name: str) -> DataFrame:
     """One row: the points' scores averaged by weight."""
     w = c("weight")
-    mean = points.agg((F.sum(c("precision") * w) / F.sum(w)).alias("precision"), (F.sum(c("recall") * w) / F.sum(w)).alias("recall"), F.sum(w).alias("weight"))
+    mean = points.agg((F.sum(c("precision") * w) / F.sum(w)).alias("precision"), (F.sum(c("recall") * w) / F.sum(w)).alias("recall"), F.sum(w).alias("weight")).filter("weight IS NOT NULL")
     return mean.select(F.lit(name).alias("model"), "precision", "recall", tuning.harmonic(c("precision"), c("recall")).alias("f1"), "weight")
 
 
@@ -93,7 +93,35 @@ def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.rounded(_every(out))
 
 
-QUERIES = {g.__name__: g for g in (rule_scores, preset_scores, preset_roles, preset_arguments, baseline_scores)}
+def verbs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The features of verbs: the usable vectors of mlm_feature as distributions over components, one per feature, and
+    the frameset of a verb whose argument has the feature's span as its label."""
+    t = table(spark, d, "mlm_feature").filter("feature_id IS NOT NULL").select("feature_id", norm_id("verb_lemma").alias("verb_type"), norm_id("sentence_id").alias("sentence_id"), "span", "arg_mlm_vec", "produced_at")
+    v = latest(t, ["feature_id"], ties=("verb_type", "sentence_id")).filter("verb_type IS NOT NULL AND size(arg_mlm_vec) = 64")
+    rows = cut(v.select("verb_type", c("feature_id").alias("instance"), F.posexplode("arg_mlm_vec").alias("i", "x")).filter("x > 0 AND NOT isnan(x)").select("verb_type", "instance", c("i").cast("string").alias("item"), c("x").cast("double").alias("value")))
+    every = rows.select("verb_type", "instance").distinct()
+    label = F.concat_ws(".", "verb_type", F.lpad((c("instance") % 3).cast("string"), 2, "0"))  # a stand-in sense
+    return {"instances": every, "mlm_masked": rows, "sides": every.withColumn("sense", label), "gold": every.select("instance", label.alias("label"))}
+
+
+def verb_models(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the verb model of masked vectors: each verb is in one tree, whose root holds them all."""
+    have = verbs(spark, d)
+    nodes, leaves, _ = models.run("verb/mlm_masked", have)
+    root = nodes.filter("parent < 0").select("verb_type", c("size").alias("n_verbs"), F.round("loss", 3).alias("loss"))
+    return root.join(leaves.groupBy("verb_type").agg(F.countDistinct("instance").alias("placed")), "verb_type")
+
+
+def verb_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the verb baselines that SQL can tell: gold senses, and everything together."""
+    have, out = verbs(spark, d), []
+    for name, k in (("verb/gold", "1000000"), ("verb/random", "1"), ("verb/noop", "1")):
+        nodes, leaves, side = models.run(name, have)
+        out.append(_mean(tuning.chosen(tuning.model_points(nodes, leaves, have["gold"], side, 2**31 - 2), f"num-clusters={k}"), name))
+    return s.rounded(_every(out))
+
+
+QUERIES = {g.__name__: g for g in (rule_scores, preset_scores, preset_roles, preset_arguments, baseline_scores, verb_models, verb_baselines)}
 
 _ARGS = f"""{f.ROLES}, {f.SENTENCES},
     af AS (SELECT * FROM (SELECT arg_id, {NORM_ID.format(c='verb_lemma')} AS vt, {NORM_ID.format(c='sentence_id')} AS sid, verb_index AS vi, arg_span, row_number() OVER (PARTITION BY arg_id ORDER BY produced_at DESC NULLS LAST, {NORM_ID.format(c='sentence_id')} DESC NULLS LAST, verb_index DESC NULLS LAST, {NORM_ID.format(c='verb_lemma')} DESC NULLS LAST) AS n FROM arg_feature WHERE arg_id IS NOT NULL) WHERE n = 1 AND len(arg_span) = 2 AND vt IS NOT NULL),
@@ -114,4 +142,11 @@ SQL = {
     "rule_scores": _scores([("SyntF", "fn"), ("SyntF + lex", _LEX.format("fn")), ("SyntF + pass->act", "conv"), ("SyntF + all rules", _LEX.format("conv")), ("Gold", "role"), ("Gold + sense", "sense || '.' || role")]),
     "baseline_scores": _scores([("arg/syntf", "fn"), ("arg/syntf2", "conv"), ("arg/gold_nosense", "role"), ("arg/gold_wsense", "sense || '.' || role"), ("arg/random_linear", "arg_id"), ("arg/random", "1"), ("arg/random_weighted", "1")]),
     "preset_arguments": f"WITH {_ARGS} SELECT vt AS verb_type, count(*) AS n_args FROM a GROUP BY vt",
+    "verb_models": """WITH v AS (SELECT * FROM (SELECT feature_id, {N} AS vt, arg_mlm_vec, row_number() OVER (PARTITION BY feature_id ORDER BY produced_at DESC NULLS LAST, {N} DESC NULLS LAST) AS n FROM mlm_feature WHERE feature_id IS NOT NULL) WHERE n = 1 AND vt IS NOT NULL AND len(arg_mlm_vec) = 64),
+    x AS (SELECT vt, feature_id, generate_subscripts(arg_mlm_vec, 1) AS i, unnest(arg_mlm_vec)::DOUBLE AS x FROM v), ok AS (SELECT * FROM x WHERE x > 0 AND NOT isnan(x)), n AS (SELECT vt, count(DISTINCT feature_id) AS n FROM ok GROUP BY vt), t AS (SELECT vt, i, sum(x) AS v FROM ok GROUP BY ALL)
+    SELECT vt AS verb_type, n AS n_verbs, round(sum(v) * ln(sum(v)) - sum(v * ln(v)), 3) AS loss, n AS placed FROM t JOIN n USING (vt) GROUP BY vt, n""".replace("{N}", NORM_ID.format(c="verb_lemma")),
+    "verb_baselines": """WITH v AS (SELECT * FROM (SELECT feature_id, {N} AS vt, arg_mlm_vec, row_number() OVER (PARTITION BY feature_id ORDER BY produced_at DESC NULLS LAST, {N} DESC NULLS LAST) AS n FROM mlm_feature WHERE feature_id IS NOT NULL) WHERE n = 1 AND vt IS NOT NULL AND len(arg_mlm_vec) = 64 AND len(list_filter(arg_mlm_vec, lambda x: x > 0 AND NOT isnan(x))) > 0),
+    m AS (SELECT vt, feature_id % 3 AS role, unnest(['verb/gold', 'verb/random', 'verb/noop']) AS model FROM v), c AS (SELECT model, vt, role, CASE WHEN model = 'verb/gold' THEN role ELSE 0 END AS cl, count(*)::DOUBLE AS n FROM m GROUP BY ALL),
+    ce AS (SELECT *, sum(n) OVER (PARTITION BY model, vt, cl) AS s, sum(n) OVER (PARTITION BY model, vt, role) AS g FROM c), sc AS (SELECT model, sum(n * n / s) / sum(n) AS precision, sum(n * n / g) / sum(n) AS recall, sum(n) AS weight FROM ce GROUP BY model)
+    SELECT model, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1, weight FROM sc""".replace("{N}", NORM_ID.format(c="verb_lemma")),
 }
