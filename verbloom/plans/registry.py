@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering", "serving", "streaming", "more", "structure", "presets", "files")
+_MODULES = ("hot_keys", "metrics", "association", "distributions", "features", "clustering", "serving", "streaming", "more", "structure", "presets", "files", "requests")
 
 
 def _collected(what: str) -> dict:
