@@ -219,7 +219,29 @@ def test_viterbi_is_the_best_path():
     import math
 
     rng = random.Random(1)
-    lines = [tuple(rng.randrange(len(t)) for t in quality._LOG) for _ in range(5)]
-    score = lambda path: quality._START[path[0]] + sum(t[v][s] for s, line in zip(path, lines) for t, v in zip(quality._LOG, line)) + sum(quality._STAY if a == b else quality._SWITCH for a, b in zip(path, path[1:]))
+    model = quality.STATED
+    lines = [tuple(rng.randrange(len(t)) for t in model._log) for _ in range(5)]
+    score = lambda path: model.log_start[path[0]] + sum(t[v][s] for s, line in zip(path, lines) for t, v in zip(model._log, line)) + sum(quality._STAY if a == b else quality._SWITCH for a, b in zip(path, path[1:]))
     best = max(itertools.product(range(4), repeat=5), key=score)
     assert math.isclose(score(best), score(quality.label_lines(lines)))
+
+
+def test_fitting_raises_the_likelihood_and_keeps_probabilities():
+    rng = random.Random(3)
+    texts = [[tuple(rng.choices(range(len(rows)), [r[k] ** 2 for r in rows])[0] for rows in quality._EMISSION.values()) for _ in range(rng.randrange(0, 12))] for k in (0, 1, 2, 3) for _ in range(60)]
+    model, likelihood = quality.fitted(texts, rounds=6, weight=5.0)
+    assert all(b > a - 1e-6 for a, b in zip(likelihood, likelihood[1:])) and likelihood[-1] > likelihood[0] + 0.05
+    assert abs(sum(model.start) - 1) < 1e-9 and all(abs(sum(r[k] for r in rows) - 1) < 1e-9 for rows in model.emission.values() for k in range(4))
+    right = [quality.label_lines(lines, model).count(k) * 2 > len(lines) for k in range(4) for lines in texts[60 * k : 60 * k + 60] if lines]
+    assert sum(right) > 0.9 * len(right)
+    assert quality.fitted([], rounds=2)[0].emission["end"] == [pytest.approx(r) for r in quality._EMISSION["end"]]
+
+
+def test_fitting_on_a_table(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 3)
+    rows = [(i, PROSE[i % len(PROSE)]) for i in range(9)] + [(20, None), (21, ""), (22, " \n ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = quality.fitted_on(df)
+    assert model.emission != quality.STATED.emission
+    assert quality.fitted_on(df.limit(0)) is quality.STATED
+    assert all(r.prose_share > 0.5 for r in quality.quality(df.filter("doc_id < 9"), model=model).collect())
