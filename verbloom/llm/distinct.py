@@ -95,7 +95,7 @@ def distinctive(records: DataFrame) -> DataFrame:
     """`scored` with `enrichment`: -log10 of the hypergeometric upper tail of the term's count (share * DRAWS, rounded, at
     least 1), adjusted within the record by Benjamini and Hochberg, rounded to 4 digits."""
     own = Window.partitionBy("id")
-    both = scored(records).withColumn("count", F.greatest(F.round(F.col("share") * DRAWS), F.lit(1)).cast("bigint"))
+    both = scored(records).withColumn("count", F.greatest(F.round(F.round(F.col("share") * DRAWS, 6)), F.lit(1)).cast("bigint"))
     both = cut(both.withColumns({"drawn": F.sum("count").over(own)}))
     total = both.agg(F.sum("count")).first()[0] or 0
     marked = both.groupBy("k").agg(F.sum("count").alias("marked"))
@@ -105,7 +105,7 @@ def distinctive(records: DataFrame) -> DataFrame:
     by_p = own.orderBy("log_p", "k")
     ranked = tails.withColumn("i", F.row_number().over(by_p)).withColumn("adjusted", F.col("log_p") + F.log(F.count(F.lit(1)).over(own) / F.col("i")))
     lowest = F.least(F.min("adjusted").over(by_p.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
-    return ranked.select("id", "k", "share", "n_records", "n_holding", "score", F.round(-lowest / F.lit(float(np.log(10))), 4).alias("enrichment"))
+    return ranked.select("id", "k", "share", "n_records", "n_holding", "score", (F.round(-lowest / F.lit(float(np.log(10))), 4) + F.lit(0.0)).alias("enrichment"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +130,7 @@ def p6_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of arguments with both scores."""
     records, terms = _questions(spark, sf_dir)
     scored = distinctive(records).join(dictionary(terms).withColumnRenamed("h", "k"), "k")
-    return scored.select(F.col("id").alias("arg_id"), F.col("term").alias("question"), F.round("share", 6).alias("share"), "n_records", "n_holding", "score", "enrichment")
+    return scored.select(F.col("id").alias("arg_id"), F.col("term").alias("question"), F.round(F.round("share", 9), 6).alias("share"), "n_records", "n_holding", (F.col("score") + F.lit(0.0)).alias("score"), "enrichment")
 
 
 QUERIES = {"p6_found": p6_found, "p6_enriched": p6_enriched}
@@ -144,4 +144,19 @@ SQL = {
     s AS (
       SELECT arg_id, q, d, round(w / sum(w) OVER (PARTITION BY arg_id) * ln((SELECT count(DISTINCT arg_id) FROM entry)::DOUBLE / d), 6) AS score FROM entry JOIN d USING (q))
     SELECT arg_id, q AS question FROM (SELECT *, row_number() OVER (PARTITION BY arg_id ORDER BY score DESC, q) AS r FROM s WHERE d >= 2) WHERE r = 1""",
+    "p6_enriched": f"""
+    WITH {VALID_ARGS},
+    e AS (
+      SELECT arg_id, {NORM_Q.format(c='u.question')} AS q, sum(u.weight) AS w FROM (SELECT arg_id, unnest(question_dist) AS u FROM arg)
+      WHERE u.question IS NOT NULL AND u.weight > 0 AND isfinite(u.weight) GROUP BY ALL),
+    sh AS (SELECT arg_id, q, w / sum(w) OVER (PARTITION BY arg_id) AS share FROM e),
+    c AS (SELECT *, greatest(round(round(share * {DRAWS}, 6)), 1)::BIGINT AS k FROM sh),
+    d AS (SELECT *, sum(k) OVER (PARTITION BY arg_id)::BIGINT AS drawn, sum(k) OVER (PARTITION BY q)::BIGINT AS marked, count(*) OVER (PARTITION BY q) AS n_holding, sum(k) OVER ()::BIGINT AS total FROM c),
+    lc AS (SELECT *, list_transform(range(k, least(drawn, marked) + 1), lambda i: lgamma(marked + 1.0) - lgamma(i + 1.0) - lgamma(marked - i + 1.0) + lgamma(total - marked + 1.0) - lgamma(drawn - i + 1.0) - lgamma(total - marked - drawn + i + 1.0)
+        - lgamma(total + 1.0) + lgamma(drawn + 1.0) + lgamma(total - drawn + 1.0)) AS l FROM d),
+    p AS (SELECT *, CASE WHEN k <= greatest(0, drawn + marked - total) THEN 0 ELSE least(l[1] + ln(list_sum(list_transform(l, lambda x: exp(x - l[1])))), 0) END AS log_p FROM lc),
+    r AS (SELECT *, rank() OVER (PARTITION BY arg_id ORDER BY round(log_p, 9)) + count(*) OVER (PARTITION BY arg_id, round(log_p, 9)) - 1 AS i, count(*) OVER (PARTITION BY arg_id) AS m FROM p),
+    f AS (SELECT *, least(min(log_p + ln(m::DOUBLE / i)) OVER (PARTITION BY arg_id ORDER BY log_p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS low FROM r),
+    n AS (SELECT count(DISTINCT arg_id) AS n FROM e)
+    SELECT arg_id, q AS question, round(round(share, 9), 6) AS share, n AS n_records, n_holding, round(share * ln(n::DOUBLE / n_holding), 6) AS score, round(-low / ln(10), 4) + 0.0::DOUBLE AS enrichment FROM f, n""",
 }
