@@ -20,8 +20,15 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame)
     return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is there, as the in-memory table `name`."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
+    """All that is there, as a table of files under `root`, a folder that all executors share; state and progress are kept
+    beside it, so a run that is lost goes on where it was. In mode `complete` the table is that of the last batch."""
+    spark, out = stream.sparkSession, f"{root}/rows"
+
+    def whole(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
+    query = writer.foreachBatch(whole).start() if mode == "complete" else writer.format("parquet").start(out)
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
