@@ -25,7 +25,7 @@ from verbloom.session import cut, parallelism, table
 
 #: Keys whose frequency orders prefixes (all others count as rarer); nodes of a key that is refined by the second
 #: distribution; nodes of a block of a refined key; pairs that are compared at once; edges that one task finishes.
-FREQUENT, REFINED, BLOCK, PIECE, FINISHED = 10_000, 512, 8_192, 500_000, 1_000_000
+FREQUENT, REFINED, BLOCK, PIECE, FINISHED = 10_000, 512, 8_192, 100_000, 1_000_000
 _LISTS = ["qk", "qs", "mk", "ms"]
 _LIST_TYPES = "qk array<bigint>, qs array<double>, mk array<bigint>, ms array<double>"
 _EPS = 1e-9
