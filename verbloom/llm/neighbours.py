@@ -27,11 +27,11 @@ from verbloom.session import cut, table
 
 #: Vectors that the codebooks are fitted on, at most; queries that measure the budget; entries of a block; queries that
 #: are compared at once; centroids of a half, at most (so cells and their sizes are bounded: 16 MB).
-SAMPLE, MEASURED, BLOCK, BATCH, CENTROIDS = 20_000, 256, 12_000, 8_192, 2_048
+SAMPLE, MEASURED, BLOCK, BATCH, CENTROIDS = 20_000, 256, 16_000, 8_192, 2_048
 #: Without a least cosine: share of all neighbours that the budget has to reach, and entries of a cell, were all even.
 RECALL, PER_CELL = 0.93, 16
 #: With one: the budget is this times what reached every measured neighbour of that cosine; entries of a cell.
-SLACK, PER_CELL_NEAR = 4, 1
+SLACK, PER_CELL_NEAR = 3, 1
 #: Similarities that are computed at once.
 PIECE = 2_000_000
 
