@@ -44,8 +44,10 @@ def pairs_by_hand(records, least, share=0):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [2_000_000, 0])
-def test_pairs_equal_brute_force(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,long,part", [(2_000_000, 4_096, 1_024), (0, 4_096, 1_024), (2_000_000, 4, 3), (0, 10, 7)])
+def test_pairs_equal_brute_force(spark, monkeypatch, broadcast, long, part):
+    monkeypatch.setattr(cooccur, "LONG", long)
+    monkeypatch.setattr(cooccur, "PART", part)
     monkeypatch.setattr(cooccur, "BROADCAST_TERMS", broadcast)
     monkeypatch.setattr(cooccur, "RUN_CODES", 50)
     rng = random.Random(2)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from verbloom.session import cut, parallelism, table
 
 #: Pair codes that a task sorts at once (16 MB), and the most dictionary entries that are broadcast (32 MB).
 RUN_CODES, BROADCAST_TERMS = 2_000_000, 2_000_000
+#: Records with more items are cut into blocks of so many, which meet in pairs in tasks of their own.
+LONG, PART = 4_096, 1_024
 _RUN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
@@ -42,18 +45,30 @@ def _runs(codes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], schema=_RUN)
 
 
+def _ids(col) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the lengths of its rows; null counts as empty."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted, run-length counted runs of pair codes of records whose `ids` are distinct."""
+    """Sorted, run-length counted runs of pair codes: of the distinct ids in the first list of each row with each other, or,
+    where the row has a second list, whose ids are all larger, with those."""
     held: list[np.ndarray] = []
     size = 0
+
+    def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        second = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        if not second.all():
+            ids, lengths = _ids(batch.column(0).filter(pa.array(~second)))
+            yield from _pairs(ids[np.lexsort((ids, np.repeat(np.arange(len(lengths)), lengths)))], lengths)
+        for r in np.flatnonzero(second).tolist():
+            a, b = (_ids(batch.column(x).slice(r, 1))[0] for x in (0, 1))
+            yield ((a[:, None] << 32) | b[None, :]).ravel()
+
     for batch in batches:
-        lists = batch.column(0)
-        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = ids[np.lexsort((ids, np.repeat(np.arange(len(lengths)), lengths)))]
-        for codes in _pairs(ids, lengths):
-            held.append(codes)
-            size += len(codes)
+        for got in codes(batch):
+            held.append(got)
+            size += len(got)
             if size >= RUN_CODES:
                 yield _runs(held)
                 held, size = [], 0
@@ -62,25 +77,35 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mapped(terms: np.ndarray):
-    """Maps the item hashes of records to dense ids (positions in sorted `terms`), dropping all others, before _sorted_runs."""
+    """Maps the item hashes of both lists to dense ids (positions in sorted `terms`), dropping all others, before
+    _sorted_runs."""
+
+    def column(col) -> pa.ListArray:
+        items, lengths = _ids(col)
+        at = np.searchsorted(terms, items)
+        keep = terms[np.minimum(at, len(terms) - 1)] == items if len(terms) else np.zeros(len(items), bool)
+        rec = np.repeat(np.arange(len(lengths)), lengths)[keep]
+        offsets = np.r_[0, np.cumsum(np.bincount(rec, minlength=len(lengths)))].astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int64)), mask=pa.array(col.is_null().to_numpy(zero_copy_only=False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                col = batch.column(0)
-                items = col.flatten().to_numpy(zero_copy_only=False)
-                lengths = pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
-                at = np.searchsorted(terms, items)
-                keep = terms[np.minimum(at, len(terms) - 1)] == items if len(terms) else np.zeros(len(items), bool)
-                rec = np.repeat(np.arange(len(lengths)), lengths)[keep]
-                offsets = np.r_[0, np.cumsum(np.bincount(rec, minlength=len(lengths)))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int64)))], ["ids"])
-
-        yield from _sorted_runs(lists())
+        yield from _sorted_runs(pa.RecordBatch.from_arrays([column(b.column(0)), column(b.column(1))], ["ids", "more"]) for b in batches)
 
     return run
 
 
+def _in_parts(lists: DataFrame, column: str) -> DataFrame:
+    """(column, more): records as they are, without a second list; those longer than LONG as all pairs of their sorted
+    parts, spread over tasks, so that no task lists the pairs of a whole long record."""
+    short = lists.filter(F.size(column) <= LONG).select(column, F.lit(None).cast("array<bigint>").alias("more"))
+    long = lists.filter(F.size(column) > LONG).select(F.sort_array(column).alias("all")).withColumn("n", F.ceil(F.size("all") / PART).cast("int"))
+    first = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = first.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("n") - 1)))
+    part = lambda k: F.slice("all", F.col(k) * PART + 1, F.lit(PART))
+    rows = pair.select(part("i").alias(column), F.when(F.col("j") > F.col("i"), part("j")).alias("more"), F.xxhash64("i", "j").alias("_at"))
+    return short.unionByName(rows.repartition(parallelism(lists.sparkSession), "_at", F.xxhash64(F.get(column, F.lit(0)))).drop("_at"))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the counts of equal neighbouring codes of one sorted partition."""
     code_held, n_held = None, 0
@@ -116,8 +141,8 @@ def together(records: DataFrame, min_count: int = 1, min_share: int = 0) -> Data
     least = max(min_count, 1, -(-n // min_share) if min_share else 1)
     single = cut(rec.select(F.explode("items").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= least))
     if single.count() <= BROADCAST_TERMS:
-        terms = np.sort(np.array([r.h for r in single.select("h").toLocalIterator()], dtype=np.int64))
-        runs = rec.mapInArrow(_mapped(terms), "code bigint, n bigint")
+        terms = np.sort(single.select("h").toArrow().column(0).to_numpy())  # BROADCAST_TERMS numbers at most
+        runs = _in_parts(rec, "items").mapInArrow(_mapped(terms), "code bigint, n bigint")
         ids = spark.createDataFrame(pa.table({"id": np.arange(len(terms)), "h": terms})) if len(terms) else spark.createDataFrame([], "id bigint, h bigint")
     else:  # too many for a broadcast: ids by a range sort, records mapped by a join
         part = single.repartitionByRange(parallelism(spark), "h").sortWithinPartitions("h").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("bigint"), 33))
@@ -126,7 +151,7 @@ def together(records: DataFrame, min_count: int = 1, min_share: int = 0) -> Data
         base = sizes.withColumn("base", F.sum("count").over(Window.orderBy("p")) - F.col("count")).select("p", "base")
         ids = cut(part.join(F.broadcast(base), "p").select((F.col("base") + F.col("k")).alias("id"), "h"))
         entry = rec.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode("items").alias("h")).join(ids, "h")
-        runs = entry.groupBy("r").agg(F.collect_list("id").alias("ids")).select("ids").mapInArrow(_sorted_runs, "code bigint, n bigint")
+        runs = _in_parts(entry.groupBy("r").agg(F.collect_list("id").alias("ids")).select("ids"), "ids").mapInArrow(_sorted_runs, "code bigint, n bigint")
     merged = runs.repartition(parallelism(spark), "code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint")
     pairs = merged.filter(F.col("n") >= least).select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("id_b"), F.col("n").alias("n_ab"))
     side = lambda x: ids.join(single, "h").select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.col("n_item").alias(f"n_{x}"))
