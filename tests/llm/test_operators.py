@@ -58,6 +58,14 @@ def test_pairs_equal_brute_force(spark, monkeypatch, broadcast, long, part):
         assert got == pairs_by_hand(recs, least, share)
 
 
+def test_parts_of_which_nothing_is_left_count_nothing(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "LONG", 3)
+    monkeypatch.setattr(cooccur, "PART", 2)
+    recs = [[1, 2, 100 + 2 * i, 101 + 2 * i] for i in range(4)] + [[1, 2]]
+    got = {(r.h_a, r.h_b): r.n_ab for r in cooccur.together(spark.createDataFrame([(r,) for r in recs], "items array<bigint>"), 2).collect()}
+    assert got == {(1, 2): 5}
+
+
 def test_pairs_of_nothing(spark):
     assert cooccur.together(spark.createDataFrame([], "items array<bigint>")).count() == 0
     assert cooccur.together(spark.createDataFrame([([1],), ([2],)], "items array<bigint>")).count() == 0

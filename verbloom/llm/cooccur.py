@@ -52,14 +52,14 @@ def _ids(col) -> tuple[np.ndarray, np.ndarray]:
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted, run-length counted runs of pair codes: of the distinct ids in the first list of each row with each other, or,
-    where the row has a second list, whose ids are all larger, with those."""
+    where the row has a second list that isn't empty, whose ids are all larger, with those."""
     held: list[np.ndarray] = []
     size = 0
 
     def codes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        second = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        second = _ids(batch.column(1))[1] > 0 if batch.num_columns > 1 else np.zeros(batch.num_rows, bool)
         if not second.all():
-            ids, lengths = _ids(batch.column(0).filter(pa.array(~second)))
+            ids, lengths = _ids(batch.column(0).filter(pa.array(~second)) if second.any() else batch.column(0))
             yield from _pairs(ids[np.lexsort((ids, np.repeat(np.arange(len(lengths)), lengths)))], lengths)
         for r in np.flatnonzero(second).tolist():
             a, b = (_ids(batch.column(x).slice(r, 1))[0] for x in (0, 1))
@@ -86,23 +86,33 @@ def _mapped(terms: np.ndarray):
         keep = terms[np.minimum(at, len(terms) - 1)] == items if len(terms) else np.zeros(len(items), bool)
         rec = np.repeat(np.arange(len(lengths)), lengths)[keep]
         offsets = np.r_[0, np.cumsum(np.bincount(rec, minlength=len(lengths)))].astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int64)), mask=pa.array(col.is_null().to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(offsets, pa.array(at[keep].astype(np.int64)))
+
+    def mapped(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([column(c) for c in b.columns], ["ids", "more"][: b.num_columns])
+        if b.num_columns == 1:
+            return out
+        lost = (_ids(b.column(1))[1] > 0) & (_ids(out.column(1))[1] == 0)  # a second list of which nothing is left: no pairs
+        return out.filter(pa.array(~lost)) if lost.any() else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _sorted_runs(pa.RecordBatch.from_arrays([column(b.column(0)), column(b.column(1))], ["ids", "more"]) for b in batches)
+        yield from _sorted_runs(map(mapped, batches))
 
     return run
 
 
-def _in_parts(lists: DataFrame, column: str) -> DataFrame:
-    """(column, more): records as they are, without a second list; those longer than LONG as all pairs of their sorted
-    parts, spread over tasks, so that no task lists the pairs of a whole long record."""
-    short = lists.filter(F.size(column) <= LONG).select(column, F.lit(None).cast("array<bigint>").alias("more"))
+def _in_parts(lists: DataFrame, column: str, longest: int) -> DataFrame:
+    """(column, more): records as they are, with an empty second list; those longer than LONG as all pairs of their sorted
+    parts, spread over tasks, so that no task lists the pairs of a whole long record. No second column if none is long."""
+    none = F.array().cast("array<bigint>")
+    if longest <= LONG:
+        return lists.select(column)
+    short = lists.filter(F.size(column) <= LONG).select(column, none.alias("more"))
     long = lists.filter(F.size(column) > LONG).select(F.sort_array(column).alias("all")).withColumn("n", F.ceil(F.size("all") / PART).cast("int"))
     first = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pair = first.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("n") - 1)))
     part = lambda k: F.slice("all", F.col(k) * PART + 1, F.lit(PART))
-    rows = pair.select(part("i").alias(column), F.when(F.col("j") > F.col("i"), part("j")).alias("more"), F.xxhash64("i", "j").alias("_at"))
+    rows = pair.select(part("i").alias(column), F.when(F.col("j") > F.col("i"), part("j")).otherwise(none).alias("more"), F.xxhash64("i", "j").alias("_at"))
     return short.unionByName(rows.repartition(parallelism(lists.sparkSession), "_at", F.xxhash64(F.get(column, F.lit(0)))).drop("_at"))
 
 
@@ -137,12 +147,12 @@ def together(records: DataFrame, min_count: int = 1, min_share: int = 0) -> Data
     """
     spark = records.sparkSession
     rec = cut(records.select(F.array_compact(F.array_distinct("items")).alias("items")).filter(F.size("items") > 0))
-    n = rec.count()
+    n, longest = rec.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("items")), F.lit(0))).first()
     least = max(min_count, 1, -(-n // min_share) if min_share else 1)
     single = cut(rec.select(F.explode("items").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_item")).filter(F.col("n_item") >= least))
     if single.count() <= BROADCAST_TERMS:
         terms = np.sort(single.select("h").toArrow().column(0).to_numpy())  # BROADCAST_TERMS numbers at most
-        runs = _in_parts(rec, "items").mapInArrow(_mapped(terms), "code bigint, n bigint")
+        runs = _in_parts(rec, "items", longest).mapInArrow(_mapped(terms), "code bigint, n bigint")
         ids = spark.createDataFrame(pa.table({"id": np.arange(len(terms)), "h": terms})) if len(terms) else spark.createDataFrame([], "id bigint, h bigint")
     else:  # too many for a broadcast: ids by a range sort, records mapped by a join
         part = single.repartitionByRange(parallelism(spark), "h").sortWithinPartitions("h").withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("bigint"), 33))
@@ -151,7 +161,7 @@ def together(records: DataFrame, min_count: int = 1, min_share: int = 0) -> Data
         base = sizes.withColumn("base", F.sum("count").over(Window.orderBy("p")) - F.col("count")).select("p", "base")
         ids = cut(part.join(F.broadcast(base), "p").select((F.col("base") + F.col("k")).alias("id"), "h"))
         entry = rec.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode("items").alias("h")).join(ids, "h")
-        runs = _in_parts(entry.groupBy("r").agg(F.collect_list("id").alias("ids")).select("ids"), "ids").mapInArrow(_sorted_runs, "code bigint, n bigint")
+        runs = _in_parts(entry.groupBy("r").agg(F.collect_list("id").alias("ids")).select("ids"), "ids", longest).mapInArrow(_sorted_runs, "code bigint, n bigint")
     merged = runs.repartition(parallelism(spark), "code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint")
     pairs = merged.filter(F.col("n") >= least).select(F.shiftright("code", 32).alias("id_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("id_b"), F.col("n").alias("n_ab"))
     side = lambda x: ids.join(single, "h").select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"), F.col("n_item").alias(f"n_{x}"))
