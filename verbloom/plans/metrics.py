@@ -81,7 +81,8 @@ def compare_models(spark: SparkSession, d: str) -> DataFrame:
 
 def scatter_points(spark: SparkSession, d: str) -> DataFrame:
     """Points of the verb-wise plot: precision and recall to two digits, weights of equal points added."""
-    at = m.micro(m.b3_cells(s.counts(spark, d)), ["verb_type", "label"]).select(F.round(F.round("precision", 9), 2).alias("x"), F.round(F.round("recall", 9), 2).alias("y"), "weight")
+    two = lambda k: F.floor(c(k) * 100 + 0.5 + 1e-9) / 100  # halves go up, whatever the last bits of the sums
+    at = m.micro(m.b3_cells(s.counts(spark, d)), ["verb_type", "label"]).select(two("precision").alias("x"), two("recall").alias("y"), "weight")
     return at.groupBy("x", "y").agg(F.sum("weight").alias("weight"))
 
 
@@ -129,5 +130,5 @@ SQL = {
     SELECT verb_type, label, {_OUT}, round({_smooth(10)}, 6) AS f1_s10, round({_smooth(50)}, 6) AS f1_s50, round({_smooth(100)}, 6) AS f1_s100,
            round((1 - f) * weight / sum((1 - f) * weight) OVER (PARTITION BY label), 6) AS error_share FROM m""",
     "compare_models": f"WITH {s.BASE}, {s.LIGHT}, {_model('x', 'predicted')}, {_model('y', 'light')} SELECT verb_type, label, x.weight, round(y.f - x.f, 6) + 0.0::DOUBLE AS delta_f1, round(y.f10 - x.f10, 6) + 0.0::DOUBLE AS delta_f1_s10, round(y.f100 - x.f100, 6) + 0.0::DOUBLE AS delta_f1_s100 FROM x JOIN y USING (verb_type, label)",
-    "scatter_points": f"{_W}, {_BY_LABEL} SELECT round(round(precision, 9), 2) AS x, round(round(recall, 9), 2) AS y, sum(weight) AS weight FROM b3 GROUP BY ALL",
+    "scatter_points": f"{_W}, {_BY_LABEL} SELECT floor(precision * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS x, floor(recall * 100 + 0.5::DOUBLE + 1e-9::DOUBLE) / 100 AS y, sum(weight) AS weight FROM b3 GROUP BY ALL",
 }
