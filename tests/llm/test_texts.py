@@ -53,6 +53,14 @@ def test_memory_starts_anew(codec, tiktoken_encode, monkeypatch):
     assert [list(x) for x in codec.encode(texts)] == [tiktoken_encode(t) for t in texts]
 
 
+@needs_vocabulary
+def test_long_pieces_are_not_remembered(codec, tiktoken_encode):
+    long = "x" * (tokens.LONG_UNIT + 1)
+    for text in (f"a {long} b", f"{long} {long}", long):
+        assert list(codec.encode([text])[0]) == tiktoken_encode(text)
+    assert all(len(p) <= tokens.LONG_UNIT for p in [*codec.pieces, *codec.units])
+
+
 @needs_vocabulary
 def test_column(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (2, None, "z"), (None, "", "w")], "doc_id bigint, text string, ids string")

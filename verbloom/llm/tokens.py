@@ -117,6 +117,9 @@ class Codec:
         for u in new:
             if len(u) > LONG_UNIT:
                 del self.units[u]
+        for p in fresh:  # so what is remembered is bounded in size, not only in number
+            if len(p) > LONG_UNIT:
+                del self.pieces[p]
         if len(self.units) + len(self.pieces) > REMEMBERED:
             self.units.clear()
             self.pieces.clear()
