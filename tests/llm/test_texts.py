@@ -253,3 +253,46 @@ def test_fitting_on_a_table(spark, monkeypatch):
     assert model.emission != quality.STATED.emission
     assert quality.fitted_on(df.limit(0)) is quality.STATED
     assert all(r.prose_share > 0.5 for r in quality.quality(df.filter("doc_id < 9"), model=model).collect())
+
+
+def test_expected_counts_are_those_of_all_paths(monkeypatch):
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = random.Random(5)
+    model = quality.STATED
+    texts = [[rng.randrange(len(quality._BINS)) for _ in range(n)] for n in (2, 0, 4, 1, 3, 0, 4)]
+    start, by_number, likelihood = np.zeros(4), np.zeros((len(quality._BINS), 4)), 0.0
+    for text in filter(None, texts):
+        paths = {}
+        for path in itertools.product(range(4), repeat=len(text)):
+            moves = sum(quality._STAY if a == b else quality._SWITCH for a, b in zip(path, path[1:]))
+            paths[path] = math.exp(model.log_start[path[0]] + moves + sum(model.emit(quality._BINS[x])[k] for x, k in zip(text, path)))
+        whole = sum(paths.values())
+        likelihood += math.log(whole)
+        for path, p in paths.items():
+            start[path[0]] += p / whole
+            for x, k in zip(text, path):
+                by_number[x, k] += p / whole
+    numbers, lengths = np.array([x for t in texts for x in t]), np.array([len(t) for t in texts])
+    got = quality._sums(numbers, lengths, model)
+    assert got[:2].tolist() == [5, 14]
+    assert got[2:] / quality.UNIT == pytest.approx(np.concatenate([[likelihood], start, (quality._HAS @ by_number).ravel()]), abs=1e-5)
+    for lines, few in itertools.product((1, 5, 100), (0, 1, 2, 3, 12)):
+        monkeypatch.setattr(quality, "LINES", lines)
+        monkeypatch.setattr(quality, "FEW", few)
+        assert (quality._sums(numbers, lengths, model)[3:] == got[3:]).all()
+
+
+def test_every_text_of_a_table_counts_for_the_model(spark):
+    n = 2_000 + 800
+    text = lambda i: (PROSE + OTHER)[i * 7 % len(PROSE + OTHER)]
+    df = spark.createDataFrame([(i, text(i)) for i in range(n)] + [(n, None), (n + 1, ""), (n + 2, " ")], "doc_id bigint, text string")
+    bins = [[quality.line_bins(*x)[0] for x in quality._lines(text(i))] for i in range(n)]
+    model = quality.fitted_on(df)
+    whole = quality.fitted(bins, weight=2_000.0 * n / 2_000)[0]
+    assert model.start == whole.start and model.emission == whole.emission
+    again = quality.fitted_on(df.repartition(7))
+    assert again.start == model.start and again.emission == model.emission

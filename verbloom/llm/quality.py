@@ -2,14 +2,17 @@
 
 Method: every line (long lines by sentence) is reduced to a few binned statistics, a hidden Markov model with the
 states prose, list, table and junk labels the lines of a document jointly (Viterbi), and the share of characters
-under each label describes the document. The model is fitted by expectation maximisation on the lines of a bounded sample
-of the documents, from stated probabilities that tell the states apart.
+under each label describes the document. The model is fitted by expectation maximisation on the lines of all documents,
+from stated probabilities that tell the states apart: the lines are written once, as numbers of their bins, and every
+round reads them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import product
 from math import exp, log
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbloom.session import table
+from verbloom.session import cut, ship, table
 
 STATES = ("prose", "list", "table", "junk")
 
@@ -88,39 +91,135 @@ class Model:
 
 STATED = Model((0.7, 0.12, 0.09, 0.09), _EMISSION)
 
-
-def fitted(texts: list[list[tuple[int, ...]]], begin: Model = STATED, rounds: int = 10, weight: float = 2_000.0) -> tuple[Model, list[float]]:
-    """The model after `rounds` of expectation maximisation over texts, each the bins of its lines, and the mean log
-    likelihood of a line before each round. The stated probabilities count like `weight` lines of each state."""
+#: All combinations of bins; a line's number is the place of its own.
+_BINS = list(product(*(range(len(rows)) for rows in _EMISSION.values())))
+_NUMBER = {bins: k for k, bins in enumerate(_BINS)}
+#: For each row of _EMISSION in turn, the numbers that have its bin.
+_HAS = np.array([[bins[x] == v for bins in _BINS] for x, rows in enumerate(_EMISSION.values()) for v in range(len(rows))], dtype=np.int64)
+#: Expected counts are whole multiples of 1 / UNIT line, so that their sums don't depend on how the texts are spread.
+UNIT = 1 << 24
+#: Lines of several texts that are counted at once, at most.
+LINES = 200_000
+#: The stated probabilities count like WEIGHT lines of each state in up to SAMPLE texts, and like as many more in more
+#: texts: against a fixed number of lines they would count the less the larger the table, and the states drift.
+WEIGHT, SAMPLE = 2_000.0, 2_000
+#: Texts from which on a step over all of them at once is faster than one after another.
+FEW = 12
+#: How many sums `expected` gives.
+_WIDTH = 3 + len(STATES) * (1 + len(_HAS))
+
+
+def _alone(numbers: list[int], rows: list[list[float]], came: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same steps as in `expected` for the last lines of one text: forward probabilities and scale of each, backward
+    ones of the line before them and of each. `came` are the chances of the states at the first of them."""
+    switch, more = exp(_SWITCH), exp(_STAY) - exp(_SWITCH)
+    forward, scale, backward = array("d"), array("d"), array("d", [1.0] * 4)
+    p, q, r, s = came
+    for number in numbers:
+        a, b, c, d = rows[number]
+        a, b, c, d = p * a, q * b, r * c, s * d
+        total = a + b + c + d
+        a, b, c, d = a / total, b / total, c / total, d / total
+        scale.append(total)
+        forward.extend((a, b, c, d))
+        p, q, r, s = switch + more * a, switch + more * b, switch + more * c, switch + more * d
+    p = q = r = s = 1.0
+    for number, total in zip(reversed(numbers), reversed(scale)):
+        a, b, c, d = rows[number]
+        a, b, c, d = p * a, q * b, r * c, s * d
+        x = switch * (a + b + c + d)
+        p, q, r, s = (x + more * a) / total, (x + more * b) / total, (x + more * c) / total, (x + more * d) / total
+        backward.extend((p, q, r, s))
+    return np.array(forward).reshape(-1, 4).T, np.array(scale), np.array(backward).reshape(-1, 4)[::-1].T
+
+
+def expected(numbers: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """Sums over texts, given the numbers of the lines of all of them and how many each has: texts, lines, then in units of
+    1 / UNIT their log likelihood, first lines in each state and, for each row of _EMISSION, lines in each state (forward
+    and backward probabilities)."""
+    starts = np.cumsum(lengths) - lengths
+    rank = np.empty(len(lengths), dtype=np.int64)
+    rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+    place = np.arange(len(numbers)) - np.repeat(starts, lengths)
+    numbers = numbers[np.lexsort((np.repeat(rank, lengths), place))]  # first lines of all texts, then second ones ...; longer texts first
+    n = np.bincount(place)
+    begin = np.cumsum(n) - n
+    logs = np.array([model.emit(bins) for bins in _BINS]).T
+    shift = logs.max(axis=0)
+    odds = np.exp(logs - shift)
+    e = odds[:, numbers]
+    switch, more = exp(_SWITCH), exp(_STAY) - exp(_SWITCH)
+    forward, backward, scale = np.empty_like(e), np.ones_like(e), np.empty(len(numbers))
+    few = int(np.count_nonzero(n > FEW))
+    for i in range(few):
+        here = slice(begin[i], begin[i] + n[i])
+        came = np.array(model.start)[:, None] if i == 0 else switch + more * forward[:, begin[i - 1] : begin[i - 1] + n[i]]
+        at = came * e[:, here]
+        scale[here] = at[0] + at[1] + at[2] + at[3]
+        forward[:, here] = at / scale[here]
+    if few < len(n):
+        rows = odds.T.tolist()
+        for r in range(n[few]):
+            own = begin[few : np.count_nonzero(n > r)] + r
+            came = model.start if few == 0 else (switch + more * forward[:, begin[few - 1] + r]).tolist()
+            forward[:, own], scale[own], back = _alone(numbers[own].tolist(), rows, came)
+            backward[:, own] = back[:, 1:]
+            if few:
+                backward[:, begin[few - 1] + r] = back[:, 0]
+    for i in range(few - 1, 0, -1):
+        here = slice(begin[i], begin[i] + n[i])
+        at = e[:, here] * backward[:, here]
+        backward[:, begin[i - 1] : begin[i - 1] + n[i]] = (switch * (at[0] + at[1] + at[2] + at[3]) + more * at) / scale[here]
+    forward *= backward
+    lines = np.rint(forward * UNIT)
+    by_number = np.array([np.bincount(numbers, x, len(_BINS)) for x in lines]).astype(np.int64)
+    likelihood = np.rint((np.log(scale) + shift[numbers]) * UNIT).sum()
+    return np.concatenate([[len(lengths), len(numbers), int(likelihood)], lines[:, : n[0]].sum(axis=1).astype(np.int64), (_HAS @ by_number.T).ravel()])
+
+
+def _sums(numbers: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """`expected` of any number of texts, also of empty ones (which don't count), some LINES at a time."""
+    total = np.zeros(_WIDTH, dtype=np.int64)
+    lengths = lengths[lengths > 0]
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        begin = ends[first] - lengths[first]
+        last = max(int(np.searchsorted(ends, begin + LINES, side="right")), first + 1)
+        total += expected(numbers[begin : ends[last - 1]], lengths[first:last], model)
+        first = last
+    return total
+
+
+def _maximised(expect: Callable[[Model], Iterable[list[int]]], begin: Model, rounds: int, weight: Callable[[int], float]) -> tuple[Model, list[float]]:
+    """Rounds of expectation maximisation and the mean log likelihood of a line before each. `expect` gives the sums of
+    `expected` over all texts under a model, in parts, and `weight` the lines that `begin` counts like, given the number
+    of texts. Without any line it stays `begin`."""
     model, likelihood = begin, []
-    move = np.full((4, 4), exp(_SWITCH)) + np.eye(4) * (exp(_STAY) - exp(_SWITCH))
-    prior = {k: np.array(v) for k, v in begin.emission.items()}
     for _ in range(rounds):
-        start, n, total = np.array(begin.start) * weight, {k: v * weight for k, v in prior.items()}, 0.0
-        for lines in texts:
-            if not lines:
-                continue
-            logs = np.array([model.emit(b) for b in lines])
-            shift = logs.max(axis=1)
-            e = np.exp(logs - shift[:, None])
-            forward, backward, scale = np.empty_like(e), np.ones_like(e), np.empty(len(e))
-            at = np.array(model.start) * e[0]
-            for i in range(len(e)):
-                at = at if i == 0 else (at @ move) * e[i]
-                scale[i] = at.sum()
-                at = forward[i] = at / scale[i]
-            for i in range(len(e) - 2, -1, -1):
-                backward[i] = move @ (e[i + 1] * backward[i + 1]) / scale[i + 1]
-            gamma = forward * backward
-            total += float(np.log(scale).sum() + shift.sum())
-            start += gamma[0]
-            for x, counts in enumerate(n.values()):
-                np.add.at(counts, [b[x] for b in lines], gamma)
-        likelihood.append(total / max(sum(map(len, texts)), 1))
-        model = Model(tuple((start / start.sum()).tolist()), {k: [tuple(r) for r in (v / v.sum(axis=0)).tolist()] for k, v in n.items()})
+        n_texts, n_lines, total, *counts = map(sum, zip([0] * _WIDTH, *expect(model)))
+        if not n_lines:
+            break
+        likelihood.append(total / UNIT / n_lines)
+        counts = np.array([x / UNIT for x in counts]).reshape(-1, len(STATES))
+        start = np.array(begin.start) * weight(n_texts) + counts[0]
+        emission, at = {}, 1
+        for k, rows in begin.emission.items():
+            v = np.array(rows) * weight(n_texts) + counts[at : at + len(rows)]
+            emission[k] = [tuple(r) for r in (v / v.sum(axis=0)).tolist()]
+            at += len(rows)
+        model = Model(tuple((start / start.sum()).tolist()), emission)
     return model, likelihood
 
 
+def fitted(texts: list[list[tuple[int, ...]]], begin: Model = STATED, rounds: int = 10, weight: float = WEIGHT) -> tuple[Model, list[float]]:
+    """The model after `rounds` of expectation maximisation over texts, each the bins of its lines, and the mean log
+    likelihood of a line before each round. The stated probabilities count like `weight` lines of each state."""
+    numbers = np.array([_NUMBER[b] for lines in texts for b in lines], dtype=np.int64)
+    lengths = np.array([len(lines) for lines in texts], dtype=np.int64)
+    return _maximised(lambda model: [_sums(numbers, lengths, model).tolist()], begin, rounds, lambda n: weight)
+
+
 def _columns(line: str, body: str) -> bool:
     """Tabs, bars, comma-separated values, settings, calls and code ends."""
     return (
@@ -196,19 +295,28 @@ def label_lines(lines: list[tuple[int, ...]], model: Model = STATED) -> list[int
     return path[::-1]
 
 
-def text_statistics(text: str | None, model: Model = STATED) -> tuple | None:
-    """Statistics of one text, None for null, empty and blank ones; see STATISTICS."""
-    lines = _lines(text) if text else []
-    if not lines:
+def text_lines(text: str | None) -> tuple[list[int], list[int], int, int, int, int]:
+    """The numbers and sizes of a text's lines, and its words, letters, common words and symbols."""
+    got = [line_bins(*x) for x in _lines(text)] if text else []
+    return [_NUMBER[bins] for bins, _ in got], [c[4] for _, c in got], *(sum(c[k] for _, c in got) for k in range(4))
+
+
+def _described(numbers: list[int], sizes: list[int], n_words: int, n_letters: int, n_common: int, n_symbols: int, model: Model) -> tuple | None:
+    """STATISTICS of a text by its `text_lines`; None if it has none."""
+    if not numbers:
         return None
-    got = [line_bins(*x) for x in lines]
+    lines = [_BINS[x] for x in numbers]
     shares = [0, 0, 0, 0]
-    for (_, counts), state in zip(got, label_lines([bins for bins, _ in got], model)):
-        shares[state] += counts[4]
-    n_words, n_letters, n_common, n_symbols, size = map(sum, zip(*(c for _, c in got)))
-    marks = sum(bins[4] > 0 for bins, _ in got)
-    n = n_words or 1
-    return (n_words, n_letters / n, n_symbols / size, marks / len(got), n_common / n, len(got), *(s / size for s in shares))
+    for size, state in zip(sizes, label_lines(lines, model)):
+        shares[state] += size
+    size, n = sum(sizes), n_words or 1
+    marks = sum(bins[4] > 0 for bins in lines)
+    return (n_words, n_letters / n, n_symbols / size, marks / len(lines), n_common / n, len(lines), *(s / size for s in shares))
+
+
+def text_statistics(text: str | None, model: Model = STATED) -> tuple | None:
+    """Statistics of one text, None for null, empty and blank ones; see STATISTICS."""
+    return _described(*text_lines(text), model)
 
 
 STATISTICS = [
@@ -217,61 +325,83 @@ STATISTICS = [
 ]
 
 
-def quality(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model = STATED) -> DataFrame:
-    """One row per row of `df`: its key and STATISTICS of the whole text; all null for null, empty and blank texts.
+_LINES = [("numbers", pa.list_(pa.int16())), ("sizes", pa.list_(pa.int32())), *((n, pa.int64()) for n in ("n_words", "n_letters", "n_common", "n_symbols"))]
 
-    The shares are of the text's characters without blanks and sum to 1. Repeated keys and texts stay repeated; other
-    columns are left out. Runs in the scan, without a shuffle.
-    """
+
+def lines_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The `text_lines` of every row of `df`, with its key as `key`."""
+    ship(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [text_lines(t.as_py()) for t in batch.column(1)]
+            columns = zip(*got) if got else [()] * len(_LINES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, _LINES))], ["key", *(n for n, _ in _LINES)])
+
+    kinds = "numbers array<smallint>, sizes array<int>, n_words bigint, n_letters bigint, n_common bigint, n_symbols bigint"
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {kinds}")
+
+
+def labelled(lines: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """One row per row of `lines_of`: its key and STATISTICS."""
     kinds = [pa.int64() if t == "bigint" else pa.float64() for _, t in STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (None,) * len(STATISTICS)
         for batch in batches:
-            got = [text_statistics(t.as_py(), model) or none for t in batch.column(1)]
+            got = [_described(*(v.as_py() for v in row), model) or none for row in zip(*batch.columns[1:])]
             columns = zip(*got) if got else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["key", *(n for n, _ in STATISTICS)])
 
-    shape = f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in STATISTICS)
-    return rows.mapInArrow(run, shape).withColumnRenamed("key", key)
+    shape = f"key {lines.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in STATISTICS)
+    return lines.mapInArrow(run, shape).withColumnRenamed("key", key)
+
+
+def quality(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model = STATED) -> DataFrame:
+    """One row per row of `df`: its key and STATISTICS of the whole text; all null for null, empty and blank texts.
+
+    The shares are of the text's characters without blanks and sum to 1. Repeated keys and texts stay repeated; other
+    columns are left out. Runs in the scan, without a shuffle.
+    """
+    return labelled(lines_of(df, key, text), model, key)
+
 
+def fitted_to(lines: DataFrame) -> Model:
+    """`fitted` on all texts of `lines_of`, which has to be written: every round reads it, and a row of sums comes from
+    each task to the driver. Without lines it is the stated model."""
+    numbers = lines.select("numbers")
 
-#: Texts that a model is fitted on, at most.
-SAMPLE = 2_000
+    def expect(model: Model) -> list[list[int]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(_WIDTH, dtype=np.int64)
+            for batch in batches:
+                texts = batch.column(0)
+                total += _sums(texts.flatten().to_numpy(), texts.value_lengths().to_numpy().astype(np.int64), model)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
 
+        return [r.sums for r in numbers.mapInArrow(run, "sums array<bigint>").collect()]
 
-def _line_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bins of each text's lines, packed into a number a line."""
-    for batch in batches:
-        codes = [[int("".join(map(str, line_bins(*x)[0]))) for x in _lines(t.as_py() or "")] for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int64()))], ["codes"])
+    return _maximised(expect, STATED, 10, lambda n: WEIGHT * max(n / SAMPLE, 1.0))[0]
 
 
 def fitted_on(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """`fitted` on at most SAMPLE texts that aren't null or empty, those of the smallest hashes of their keys: keys alone
-    are read to find them, and the bins of their lines come to the driver. Without texts it is the stated model."""
-    rows = df.select(F.xxhash64(key).alias("h"), F.col(text).alias("text"))
-    last = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    if last is None:
-        return STATED
-    some = rows.filter((F.col("h") <= last) & (F.length("text") > 0)).limit(SAMPLE).select("text")
-    widths = len(_EMISSION)
-    return fitted([[tuple(map(int, f"{x:0{widths}d}")) for x in r.codes] for r in some.mapInArrow(_line_codes, "codes array<bigint>").collect()])[0]
+    """`fitted` on all texts; see `fitted_to`."""
+    return fitted_to(cut(lines_of(df, key, text)))
 
 
 def p10_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents aren't prose by the stated and by the fitted model, and how many they judge differently."""
-    docs = table(spark, sf_dir, "documents")
-    own = lambda m, name: quality(docs, model=m).select("doc_id", F.coalesce(F.col("prose_share") < 0.5, F.lit(False)).alias(name))
-    both = own(STATED, "stated").join(own(fitted_on(docs), "fitted"), "doc_id")
+    lines = cut(lines_of(table(spark, sf_dir, "documents")))
+    own = lambda m, name: labelled(lines, m).select("doc_id", F.coalesce(F.col("prose_share") < 0.5, F.lit(False)).alias(name))
+    both = own(STATED, "stated").join(own(fitted_to(lines), "fitted"), "doc_id")
     n = lambda x: F.count(F.when(x, 1))
     return both.agg(F.count(F.lit(1)).alias("documents"), n(F.col("stated")).alias("stated"), n(F.col("fitted")).alias("fitted"), n(F.col("stated") != F.col("fitted")).alias("differ"))
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality(docs, model=fitted_on(docs))
+    lines = cut(lines_of(table(spark, sf_dir, "documents")))
+    return labelled(lines, fitted_to(lines))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
