@@ -218,6 +218,30 @@ def test_large_groups_get_the_trees_of_small_ones(spark, monkeypatch):
     assert sorted(map(tuple, one[1].collect())) == sorted(map(tuple, many[1].collect()))
 
 
+def test_a_type_of_many_instances_is_clustered_within_a_task(spark, monkeypatch):
+    monkeypatch.setattr(flat, "Blocks", None)  # a job per drawn row
+    d = spark.range(25_000).selectExpr("'v' AS verb_type", "id AS instance", "explode(array('a', concat('i', id % 7))) AS item", "cast(1 + id % 5 AS double) AS value")
+    nodes, leaves = models.hybrid_model(d, flat_clusters=3)
+    assert leaves.agg({"instance": "sum"}).first()[0] == 25_000 * 24_999 // 2 and nodes.filter("parent < 0").first()["size"] == 25_000
+
+
+def test_common_items_are_multiplied_and_rare_ones_looked_up():
+    rng = np.random.default_rng(2)
+    dense = np.zeros((700, 300))
+    for i in range(700):
+        np.add.at(dense[i], np.minimum(rng.zipf(1.5, 6) - 1, 299), 1 + rng.integers(3, size=6) / 4)
+    i, j = np.nonzero(dense)
+    rows = agglom.Rows(np.searchsorted(i, np.arange(701)), j, dense[i, j], 300)
+    theta = rng.dirichlet(np.full(300, 0.5), 12)
+    theta[7] = theta[3]  # equal clusters: the first counts
+    assert 0 < rows._layout()[1] < 300
+    want = -dense @ np.log(theta).T
+    assert np.allclose(rows.losses(theta), want)
+    at, loss = rows.closest(theta)
+    assert (at == np.round(want + np.log(12), 9).argmin(axis=1)).all() and np.allclose(loss, want.min(axis=1) + np.log(12)) and 7 not in at
+    assert np.allclose(rows.sums(at, 12), [dense[at == k].sum(axis=0) for k in range(12)])
+
+
 def test_cut_and_curve(spark):
     rows = [("v", i, "ab"[i // 3], 4.0) for i in range(6)]
     nodes, leaves = tree.clustered(spark.createDataFrame(rows, "verb_type string, instance bigint, item string, value double"))

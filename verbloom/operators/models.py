@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from verbloom.functions import lexicon
 from verbloom.operators import flat
 from verbloom.operators import tree as trees
-from verbloom.session import cut
+from verbloom.session import cut, dropped, written
 
 c = F.col
 
@@ -261,26 +263,31 @@ def random_clusters(instances: DataFrame, k: int, seed: int) -> DataFrame:
 # --- full models
 
 
-def hybrid_model(dist: DataFrame, alpha: float = 0.01, task_limit: int = 20_000, task_entries: int = 2_000_000, flat_clusters: int = 100, seed: int = 0, terms: trees.Terms = trees.ENTROPY) -> tuple[DataFrame, DataFrame]:
+def hybrid_model(dist: DataFrame, alpha: float = 0.01, task_limit: int = 500_000, task_entries: int = 8_000_000, flat_clusters: int = 100, seed: int = 0, terms: trees.Terms = trees.ENTROPY) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of the hybrid clustering of verb types of any size: those up to `task_limit` instances and
-    `task_entries` rows within a task each; larger ones get the same flat clusters by jobs, which are then agglomerated
-    as sets of their members. `dist` may have a column `term` for several `terms`."""
-    dist = cut(trees.with_term(dist, terms))
+    `task_entries` rows within a task each (some 40 bytes a row); larger ones get the same flat clusters by jobs, of
+    several verb types at a time, which are then agglomerated as sets of their members. `dist` may have a column `term`
+    for several `terms`."""
+    dist, path = written(trees.with_term(dist, terms))
     size = dist.groupBy("verb_type").agg(F.countDistinct("instance").alias("n"), F.count(F.lit(1)).alias("entries"))
-    large = cut(size.filter((c("n") > task_limit) | (c("n") > flat_clusters) & (c("entries") > task_entries)).select("verb_type"))
-    small = dist.join(large, "verb_type", "left_anti")
+    size = size.filter((c("n") > task_limit) | (c("n") > flat_clusters) & (c("entries") > task_entries))
+    large = [r[0] for r in size.select("verb_type").collect()]  # few: each has more than task_limit instances or task_entries rows
+    small = dist.filter(~F.coalesce(c("verb_type").isin(large), F.lit(False))) if large else dist
     nodes, leaves = trees.clustered(small, alpha, seed=seed, flat_clusters=flat_clusters, terms=terms)
+    if not large:
+        dropped(dist.sparkSession, path)
+        return nodes, leaves
     plain = terms if any(kind == "entropy" for kind, _ in terms) else (*terms, ("entropy", 1.0))
-    at = None
-    for (name,) in large.collect():  # few: each has more than task_limit instances or task_entries rows
+
+    def sets_of(name: object) -> DataFrame:
         own = flat.Blocks(trees.flat_items(dist.filter(c("verb_type") == F.lit(name)), plain)).sets(flat_clusters, alpha, seed)
-        own = own.select(F.lit(name).alias("verb_type"), "instance", "set")
-        at = own if at is None else at.unionByName(own)
-    if at is None:
-        return nodes, leaves
-    at = cut(at)
+        return cut(own.select(F.lit(name).alias("verb_type"), "instance", "set"))
+
+    with ThreadPoolExecutor(4) as pool:  # jobs are short, so several verb types share the executors
+        at = reduce(DataFrame.unionByName, pool.map(sets_of, large))
     n = at.groupBy("verb_type", "set").agg(F.count(F.lit(1)).alias("members"))
     sets = dist.join(at, ["verb_type", "instance"]).groupBy("verb_type", "set", "term", "item").agg(F.sum("value").alias("value")).join(n, ["verb_type", "set"])
     top, inner = trees.clustered(sets.withColumnRenamed("set", "instance"), alpha, seed=seed, limit=flat_clusters, terms=terms)
+    dropped(dist.sparkSession, path)  # all trees are written
     members = inner.withColumnRenamed("instance", "set").join(at, ["verb_type", "set"]).select("verb_type", "leaf", "instance")
     return nodes.unionByName(top), leaves.unionByName(members)

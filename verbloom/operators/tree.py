@@ -7,14 +7,19 @@ a node is part of the cut at step t exactly if born <= t < died.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from verbloom.operators.agglom import DIRECT_LIMIT, FLAT_CLUSTERS, MAX_DEPTH, Rows, Term, Tree, agglomerate, capped, flat_sets, max_prior, min_entropy, no_loss, random_tree, repeated_keys
-from verbloom.session import cut
+from verbloom.session import cut, parallelism
 
 c = F.col
 NODE_SCHEMA = "verb_type string, node int, parent int, left int, right int, loss double, size bigint, depth int, leaf_lo int, leaf_hi int, born int, died int"
@@ -116,43 +121,97 @@ def with_term(dist: DataFrame, terms: Terms) -> DataFrame:
     return rows.unionByName(bare.withColumns({"item": F.lit("<none>"), "value": F.lit(1.0), "term": F.lit(kinds[0] if kinds else len(terms))}), allowMissingColumns=True)
 
 
-def _matrix(pdf: pd.DataFrame, ids: np.ndarray) -> Rows:
-    i = np.searchsorted(ids, pdf["instance"].to_numpy())
-    j, names = pd.factorize(pdf["item"], sort=True)
-    code, at = np.unique(i.astype(np.int64) * max(len(names), 1) + j, return_inverse=True)
-    values = np.bincount(at, pdf["value"].to_numpy(float), minlength=len(code))
-    return Rows(np.searchsorted(code // max(len(names), 1), np.arange(len(ids) + 1)), code % max(len(names), 1), values, max(len(names), 1))
+@dataclass
+class _Group:
+    """The rows of one verb type by instance: those of ids[i] are start[i]..start[i + 1]; items are places in `names`."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    names: list[str]
+    items: np.ndarray
+    values: np.ndarray
+    terms: np.ndarray
+    members: np.ndarray
+
+    def rows(self, weights: dict[int, float]) -> Rows:
+        """The entries of some terms, times their weight; the items of different terms are told apart."""
+        kept = np.isin(self.terms, list(weights))
+        scale = np.array([weights.get(k, 0.0) for k in range(max([*weights, -1]) + 1)])
+        if len(weights) == 1 and kept.all():
+            return Rows(self.start, self.items, self.values * scale[-1], len(self.names))
+        at, terms = np.repeat(np.arange(len(self.ids)), np.diff(self.start))[kept], self.terms[kept]
+        used, items = np.unique(terms.astype(np.int64) * len(self.names) + self.items[kept], return_inverse=True)
+        return Rows(np.searchsorted(at, np.arange(len(self.ids) + 1)), items, self.values[kept] * scale[terms], max(len(used), 1))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, _Group]]:
+    """The verb types of sorted (verb_type, instance, item, value, term, members) rows, one at a time. What is kept of a
+    row is its numbers, each item's text once."""
+
+    def whole(parts: list[tuple[np.ndarray, ...]], names: dict[str, int]) -> _Group:
+        instance = np.concatenate([p[0] for p in parts])
+        order = np.argsort(instance, kind="stable")
+        instance = instance[order]
+        start = np.flatnonzero(np.r_[True, instance[1:] != instance[:-1]])
+        ids = instance[start]
+        del instance
+        place = np.empty(len(names), np.int32)
+        place[sorted(range(len(names)), key=list(names).__getitem__)] = np.arange(len(names), dtype=np.int32)
+        joined = lambda k: np.concatenate([p[k] for p in parts])[order]
+        members = np.maximum.reduceat(joined(4), start)
+        return _Group(ids, np.r_[start, len(order)], sorted(names), place[joined(1)], joined(2), joined(3), members)
+
+    parts, names, last = [], {}, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds, item, instance, value, term, members = (batch.column(k) for k in ("verb_type", "item", "instance", "value", "term", "members"))
+        place = kinds.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            own = kinds[lo].as_py()
+            if parts and own != last:
+                yield last, whole(parts, names)
+                parts, names = [], {}
+            last, coded = own, item.slice(lo, hi - lo).dictionary_encode()
+            code = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()], np.int32)
+            number = lambda x, kind: np.array(x.slice(lo, hi - lo).to_numpy(zero_copy_only=False), kind)  # noqa: B023, E731
+            parts.append((number(instance, np.int64), code[coded.indices.to_numpy()], number(value, float), number(term, np.int16), number(members, np.int32)))
+    if parts:
+        yield last, whole(parts, names)
 
 
 def clustered(dist: DataFrame, alpha: float = 0.01, prior_weight: float = 0.0, limit: int = DIRECT_LIMIT, seed: int = 0, flat_clusters: int = FLAT_CLUSTERS, terms: Terms = ENTROPY) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves) of the hybrid clustering of each verb type, from (verb_type, instance, item, value), with `term`
     where there are several `terms`; merges go by the sum of their losses, each times its weight.
 
-    One task per verb type, which holds its rows and flat clusters by items. Larger ones get flat clusters first, which
-    are then the instances here, with a column `members` that counts theirs (see models.hybrid_model).
+    A task reads its verb types one after the other and holds the rows of one as numbers, and flat clusters by items.
+    Larger ones get flat clusters first, which are then the instances here, with a column `members` that counts theirs
+    (see models.hybrid_model).
     """
     dist = with_term(dist, terms)
-    members = F.coalesce(c("members"), F.lit(1)).cast("bigint").alias("members") if "members" in dist.columns else F.lit(1).cast("bigint").alias("members")
-    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"), c("term").cast("int"), members)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["instance", "item"])
-        ids, first = np.unique(pdf["instance"].to_numpy(), return_index=True)
-        members = pdf.groupby("instance")["members"].max().to_numpy()  # sets of one term may lack in another
-        if len(ids) > limit:
-            flat = pdf.assign(w=pdf["term"].map({k: w for k, (kind, w) in enumerate(terms) if kind == "entropy"} | ({} if any(kind == "entropy" for kind, _ in terms) else {len(terms): 1.0}))).dropna(subset=["w"])
-            flat = flat.assign(item=flat["term"].astype(str) + ":" + flat["item"], value=flat["value"] * flat["w"])
-            at = flat_sets(_matrix(flat, ids), flat_clusters, alpha, seed)
-        else:
-            at = np.arange(len(ids))
+    members = F.coalesce(c("members"), F.lit(1)) if "members" in dist.columns else F.lit(1)
+    rows = dist.select(c("verb_type").cast("string"), c("instance").cast("bigint"), c("item").cast("string"), c("value").cast("double"), c("term").cast("int"), members.cast("int").alias("members"))
+    flat_weights = {k: w for k, (kind, w) in enumerate(terms) if kind == "entropy"} or {len(terms): 1.0}
+
+    def tree_of(name: str | None, g: _Group) -> pd.DataFrame:
+        at = np.arange(len(g.ids))
+        if len(g.ids) > limit:
+            at = flat_sets(g.rows(flat_weights), flat_clusters, alpha, seed)
         sets = int(at.max()) + 1
-        costs = [KINDS[kind](_matrix(pdf[pdf["term"] == k], ids).sums(at, sets), weight=w) for k, (kind, w) in enumerate(terms) if kind in KINDS]
-        costs += [max_prior(np.bincount(at, members), members.sum(), prior_weight)] if prior_weight else []
+        costs = [KINDS[kind](g.rows({k: 1.0}).sums(at, sets), weight=w) for k, (kind, w) in enumerate(terms) if kind in KINDS]
+        costs += [max_prior(np.bincount(at, g.members), g.members.sum(), prior_weight)] if prior_weight else []
         tree, at = capped(agglomerate(costs or [no_loss(sets)], check=False), at, MAX_DEPTH)
-        nodes = frame(pdf["verb_type"].iloc[0], tree, np.bincount(at, members, minlength=tree.n).tolist())
-        return _tables(nodes, at, ids)
+        return _tables(frame(name, tree, np.bincount(at, g.members, minlength=tree.n).tolist()), at, g.ids)
+
+    schema = to_arrow_schema(_parse_datatype_string(_BOTH))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, group in _groups(batches):
+            yield from pa.Table.from_pandas(tree_of(name, group), schema, preserve_index=False).to_batches()
 
-    return _split(rows.groupBy("verb_type").applyInPandas(build, _BOTH))
+    rows = rows.filter("instance IS NOT NULL AND item IS NOT NULL").repartition(2 * parallelism(dist.sparkSession), "verb_type").sortWithinPartitions("verb_type")
+    return _split(rows.mapInArrow(build, _BOTH))
 
 
 _BOTH = f"{NODE_SCHEMA}, {LEAF_SCHEMA.split(', ', 1)[1]}"
