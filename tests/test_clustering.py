@@ -242,6 +242,19 @@ def test_common_items_are_multiplied_and_rare_ones_looked_up():
     assert np.allclose(rows.sums(at, 12), [dense[at == k].sum(axis=0) for k in range(12)])
 
 
+def test_curve_counts_labels_by_leaf_before_nodes(spark):
+    from verbloom.operators import agglom
+
+    t = agglom.Tree(2, [1.0, 1.0], [(0, 1, 8.0)])
+    nodes = spark.createDataFrame(tree.frame("v", t, [300, 300]))
+    leaves = spark.range(600).selectExpr("'v' AS verb_type", "cast(id % 2 AS int) AS leaf", "id AS instance")
+    gold = spark.range(600).selectExpr("id AS instance", "concat('L', id % 3) AS label")
+    points = tuning.curve(nodes, leaves, gold)
+    assert {r.n_clusters: (round(r.precision, 6), round(r.recall, 6), r.weight) for r in points.collect()} == {1: (0.333333, 1.0, 600.0), 2: (0.333333, 0.5, 600.0)}
+    plan = points._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Aggregate [" in x and "leaf#" in x and "label#" in x for x in plan.split("\n"))
+
+
 def test_cut_and_curve(spark):
     rows = [("v", i, "ab"[i // 3], 4.0) for i in range(6)]
     nodes, leaves = tree.clustered(spark.createDataFrame(rows, "verb_type string, instance bigint, item string, value double"))

@@ -173,8 +173,9 @@ def curve(nodes: DataFrame, leaves: DataFrame, gold: DataFrame, limit: int = 100
     and running sums over births and deaths give all points.
     """
     never = 2**31 - 1
-    members = nodes.filter(c("born") < limit).select("verb_type", "node", "leaf_lo", "leaf_hi").withColumn("leaf", F.explode(F.sequence("leaf_lo", "leaf_hi"))).join(leaves, ["verb_type", "leaf"]).join(gold, "instance")
-    counts = members.groupBy("verb_type", "node", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = leaves.join(gold, "instance").groupBy("verb_type", "leaf", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))  # first by leaf, as each is below many nodes
+    at = nodes.filter(c("born") < limit).select("verb_type", "node", F.explode(F.sequence("leaf_lo", "leaf_hi")).alias("leaf"))
+    counts = at.join(held, ["verb_type", "leaf"]).groupBy("verb_type", "node", "label").agg(F.sum("n").alias("n"))
     out = leaves.select("verb_type", "instance")
     if extra is not None:
         out = out.unionByName(extra.select("verb_type", "instance"))
