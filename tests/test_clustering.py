@@ -242,6 +242,15 @@ def test_common_items_are_multiplied_and_rare_ones_looked_up():
     assert np.allclose(rows.sums(at, 12), [dense[at == k].sum(axis=0) for k in range(12)])
 
 
+def test_verbs_have_one_row_each_without_listing_components(spark, data):
+    from verbloom.plans import presets
+
+    have = presets.verbs(spark, data)
+    plan = have["instances"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, have["instances"].collect())) == sorted(map(tuple, have["mlm_masked"].select("verb_type", "instance").distinct().collect()))
+
+
 def test_curve_counts_labels_by_leaf_before_nodes(spark):
     from verbloom.operators import agglom
 

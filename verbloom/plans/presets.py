@@ -98,16 +98,16 @@ def verbs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     the frameset of a verb whose argument has the feature's span as its label."""
     t = table(spark, d, "mlm_feature").filter("feature_id IS NOT NULL").select("feature_id", norm_id("verb_lemma").alias("verb_type"), norm_id("sentence_id").alias("sentence_id"), "span", "arg_mlm_vec", "produced_at")
     v = latest(t, ["feature_id"], ties=("verb_type", "sentence_id")).filter("verb_type IS NOT NULL AND size(arg_mlm_vec) = 64")
-    rows = cut(v.select("verb_type", c("feature_id").alias("instance"), F.posexplode("arg_mlm_vec").alias("i", "x")).filter("x > 0 AND NOT isnan(x)").select("verb_type", "instance", c("i").cast("string").alias("item"), c("x").cast("double").alias("value")))
-    every = rows.select("verb_type", "instance").distinct()
+    v = cut(v.select("verb_type", c("feature_id").alias("instance"), "arg_mlm_vec").filter(F.exists("arg_mlm_vec", lambda x: F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)))))
+    rows = v.select("verb_type", "instance", F.posexplode("arg_mlm_vec").alias("i", "x")).filter("x > 0 AND NOT isnan(x)").select("verb_type", "instance", c("i").cast("string").alias("item"), c("x").cast("double").alias("value"))
+    every = v.select("verb_type", "instance")  # one row per feature
     label = F.concat_ws(".", "verb_type", F.lpad((c("instance") % 3).cast("string"), 2, "0"))  # a stand-in sense
     return {"instances": every, "mlm_masked": rows, "sides": every.withColumn("sense", label), "gold": every.select("instance", label.alias("label"))}
 
 
 def verb_models(spark: SparkSession, d: str) -> DataFrame:
     """What has to hold of the verb model of masked vectors: each verb is in one tree, whose root holds them all."""
-    have = verbs(spark, d)
-    nodes, leaves, _ = models.run("verb/mlm_masked", have)
+    nodes, leaves, _ = models.run("verb/mlm_masked", {"mlm_masked": verbs(spark, d)["mlm_masked"]})  # every verb has rows of its own
     root = nodes.filter("parent < 0").select("verb_type", c("size").alias("n_verbs"), F.round("loss", 3).alias("loss"))
     return root.join(leaves.groupBy("verb_type").agg(F.countDistinct("instance").alias("placed")), "verb_type")
 
