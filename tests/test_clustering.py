@@ -251,6 +251,21 @@ def test_verbs_have_one_row_each_without_listing_components(spark, data):
     assert sorted(map(tuple, have["instances"].collect())) == sorted(map(tuple, have["mlm_masked"].select("verb_type", "instance").distinct().collect()))
 
 
+def test_baselines_in_one_cluster_score_the_first_cut_only(spark, monkeypatch):
+    from verbloom.operators import agglom
+    from verbloom.plans import presets
+
+    nodes = spark.createDataFrame(tree.frame("v", agglom.Tree(3, [0.0] * 3, [(0, 1, 0.0), (2, 3, 0.0)]), [2, 2, 2]))
+    leaves = spark.range(6).selectExpr("'v' AS verb_type", "cast(id % 3 AS int) AS leaf", "id AS instance")
+    gold = spark.range(6).selectExpr("id AS instance", "concat('L', id % 3) AS label")
+    limits, points = [], tuning.model_points
+    monkeypatch.setattr(presets, "verbs", lambda spark, d: {"gold": gold})
+    monkeypatch.setattr(presets.models, "run", lambda name, have: (nodes, leaves, None))
+    monkeypatch.setattr(presets.tuning, "model_points", lambda *args: limits.append(args[4]) or points(*args))
+    got = {r.model: (round(r.precision, 6), r.recall) for r in presets.verb_baselines(spark, "").collect()}
+    assert got == {"verb/gold": (1.0, 1.0), "verb/random": (0.333333, 1.0), "verb/noop": (0.333333, 1.0)} and limits == [2**31 - 2, 1, 1]
+
+
 def test_curve_counts_labels_by_leaf_before_nodes(spark):
     from verbloom.operators import agglom
 
